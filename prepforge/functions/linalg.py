@@ -32,15 +32,19 @@ def gram(df: DataFrame, cols: list[str], shift: list[float] | None = None,
     sel = [qcol(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
     if weight:
         sel.append(qcol(weight).cast("double").alias("w"))
-    src = df.select(*sel).dropna()
+    # incomplete rows are skipped in numpy, not with a filter: a null filter
+    # over many aliased columns makes Catalyst's constraint inference explode
+    src = df.select(*sel)
 
     def partial(it):
         acc = np.zeros(L)
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            x = pdf[[f"x{i}" for i in range(p)]].to_numpy(dtype=float) - shift_arr
+            x = pdf[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
             w = pdf["w"].to_numpy(dtype=float) if weight else np.ones(len(pdf))
+            ok = ~np.isnan(x).any(axis=1) & ~np.isnan(w)
+            x, w = x[ok] - shift_arr, w[ok]
             acc[0] += w.sum()
             acc[1:1 + p] += (x * w[:, None]).sum(axis=0)
             acc[1 + p:] += ((x * w[:, None]).T @ x)[iu]
@@ -54,7 +58,10 @@ def gram(df: DataFrame, cols: list[str], shift: list[float] | None = None,
         yield pd.DataFrame({"v": [acc.tolist()]})
 
     parts = src.mapInPandas(partial, "v array<double>")
-    folded = parts.repartition(_FOLD).mapInPandas(fold, "v array<double>")
+    # one partial row per input partition; fold them on a few reducers so
+    # the final per-entry sum sees at most _FOLD rows per entry
+    n_fold = max(1, min(_FOLD, df.sparkSession.sparkContext.defaultParallelism // 8))
+    folded = parts.repartition(n_fold).mapInPandas(fold, "v array<double>")
     rows = (folded.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
             .collect())
     vec = np.zeros(L)
