@@ -9,6 +9,7 @@ also runs unchanged on a streaming DataFrame. Fitted state is JSON-able.
 
 from __future__ import annotations
 
+import copy
 import json
 from dataclasses import dataclass, field
 
@@ -78,6 +79,21 @@ class Fitted:
     def to_json(self) -> str:
         return json.dumps({"op": self.op, "cols": self.cols, "params": self.params}, default=float)
 
+    def renamed(self, mapping: dict[str, str]) -> "Fitted":
+        """The same fitted operator reading (and writing) renamed columns:
+        column names among the parameters' dict keys and list items are
+        mapped. Used to evaluate an operator at shifted inputs."""
+        def walk(v):
+            if isinstance(v, dict):
+                return {mapping.get(k, k) if isinstance(k, str) else k: walk(x) for k, x in v.items()}
+            if isinstance(v, list):
+                return [mapping.get(x, x) if isinstance(x, str) else walk(x) for x in v]
+            return v
+        clone = copy.copy(self)
+        clone.cols = [mapping.get(c, c) for c in self.cols]
+        clone.params = {k: (v if k.startswith("_") else walk(v)) for k, v in self.params.items()}
+        return clone
+
 
 class Identity(Fitted):
     pass

@@ -124,13 +124,13 @@ def large_categoricals(df: DataFrame, cols, limit: int = MAX_CATEGORIES) -> list
     cols = categorical_cols(df, cols)
     if not cols:
         return []
-    row = agg_row(df, {f"d{i}": F.approx_count_distinct(qcol(c), 0.01) for i, c in enumerate(cols)})
+    row = agg_row(df, {f"d{i}": F.approx_count_distinct(qcol(c)) for i, c in enumerate(cols)})
     big, near = [], []
     for i, c in enumerate(cols):
         est = row[f"d{i}"]
-        if est > limit * 1.2:
+        if est > limit * 1.3:       # ~5% relative error: 6 standard errors away
             big.append(c)
-        elif est > limit * 0.8:
+        elif est > limit * 0.7:
             near.append(c)
     for c in near:
         if df.select(qcol(c)).filter(qcol(c).isNotNull()).distinct().count() > limit:

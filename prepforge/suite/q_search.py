@@ -170,3 +170,57 @@ def q_comparison(spark, sf):
     lb = leaderboard(out, feats, "label", n_classes=2).collect()[0]
     rec = comparison(base.as_row(), {"accuracy": lb["accuracy"]}, "documents_quality", f"default+{lb['model']}")
     return spark.createDataFrame([rec])
+
+
+# ---------------------------------------------------------------- gradient search (EVL8)
+
+_SEARCH_CACHE: dict = {}
+
+
+def _search(spark, sf, flexible: bool):
+    """One first-order iteration over search space A (library default: 30);
+    the state is reused by ``final_dataset`` within a process."""
+    from prepforge.plans.gradient import gradient_search
+    from prepforge.plans.space import SPACE_A
+    key = (sf, flexible)
+    if key in _SEARCH_CACHE:
+        return _SEARCH_CACHE[key]
+    df = _Q(spark, sf)
+    state = gradient_search(df, Q_FEATS, "label", SPACE_A, key="doc_id", iters=1, flexible=flexible)
+    rows = [(it, k, f, opt, pr) for it, k, f, opt, pr in state.probs_log]
+    probs = spark.createDataFrame(rows, "epoch int, stage int, feature string, option string, prob double")
+    hist = spark.createDataFrame([(h["iteration"], float(h["val_loss"]), float(h["val_acc"])) for h in state.history],
+                                 "epoch int, val_loss double, val_acc double")
+    _SEARCH_CACHE[key] = (state, probs, hist)
+    return state, probs, hist
+
+
+@query("search_fixed")
+def q_search_fixed(spark, sf):
+    """Fixed stage order, first-order gradient iteration over search space A:
+    option-probability log joined with the per-iteration validation loss."""
+    _, probs, hist = _search(spark, sf, flexible=False)
+    return rounded(probs.join(hist, "epoch"))
+
+
+@query("search_flex")
+def q_search_flex(spark, sf):
+    """Flexible order (Sinkhorn-normalised position x stage weights)."""
+    from prepforge.plans.gradient import stage_order
+    from prepforge.plans.space import SPACE_A
+    state, _, _ = _search(spark, sf, flexible=True)
+    order = stage_order(state, SPACE_A)
+    rows = [(f, pos, st) for f, o in order.items() for pos, st in enumerate(o)]
+    return spark.createDataFrame(rows, "feature string, position int, stage string")
+
+
+@query("final_dataset")
+def q_final_dataset(spark, sf):
+    """PIP18: the arg-max pipeline of a search, frozen and applied to every
+    split (val/test rows are never removed)."""
+    from prepforge.plans.gradient import final_dataset
+    from prepforge.plans.space import SPACE_A
+    state, _, _ = _search(spark, sf, flexible=False)
+    df = _Q(spark, sf)
+    model, out = final_dataset(df, Q_FEATS, "label", SPACE_A, state, key="doc_id")
+    return rounded(out.select("doc_id", "split", "label", *model.features))
