@@ -110,9 +110,10 @@ def test_fitted_model_applies_to_stream(spark, tmp_path):
         df, ["value_m", "user_m", "type_m"], "event_type", "split")
     src = tmp_path / "in"
     df.drop("split").write.parquet(str(src))
+    from prepforge.streaming.apply import start_prepared
     stream = spark.readStream.schema(df.drop("split").schema).parquet(str(src))
-    q = (model.transform(stream, keep=["event_id"]).writeStream.format("memory").queryName("prepared_stream")
-         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start())
+    q = start_prepared(model, stream, ["event_id"], sink="memory", name="prepared_stream",
+                       checkpoint=str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
     got = spark.sql("SELECT * FROM prepared_stream")
