@@ -120,3 +120,38 @@ def test_fitted_model_applies_to_stream(spark, tmp_path):
     batch = model.transform(df.drop("split"), keep=["event_id"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     _ = F
+
+
+def test_model_save_load_roundtrip(spark, tmp_path):
+    from prepforge.sources.sinks import load_model, save_model, space_table
+    df = tag_split(frame_E(spark, SF), "event_id")
+    model = PrepPipeline({"imputation": "median", "scaling": "robust", "encoding": "onehot"}).fit(
+        df, ["value_m", "user_m", "type_m"], "event_type", "split")
+    save_model(spark, model.steps, str(tmp_path / "m"))
+    steps = load_model(spark, str(tmp_path / "m"))
+    a = df
+    for _, f in model.steps:
+        a = f.transform(a)
+    b = df
+    for _, f in steps:
+        b = f.transform(b)
+    cols = ["event_id"] + model.output_cols
+    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+    assert space_table(spark, SPACE_B).count() == sum(len(s.options) for s in SPACE_B) + len(SPACE_B[0].cat_options)
+
+
+def test_sinkhorn_backward_matches_finite_difference():
+    from prepforge.plans.gradient import sinkhorn_backward, sinkhorn_np
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(3, 3))
+    w = rng.normal(size=(3, 3))
+    m, tr = sinkhorn_np(a, iters=50, tol=0.0)
+    g = sinkhorn_backward(tr, w)
+    eps = 1e-6
+    for i in range(3):
+        for j in range(3):
+            ap, am = a.copy(), a.copy()
+            ap[i, j] += eps
+            am[i, j] -= eps
+            fd = ((sinkhorn_np(ap, iters=50, tol=0.0)[0] * w).sum() - (sinkhorn_np(am, iters=50, tol=0.0)[0] * w).sum()) / (2 * eps)
+            assert g[i, j] == pytest.approx(fd, abs=1e-5)
