@@ -76,7 +76,9 @@ class OneHotFitted(Fitted):
 
 
 class MapFitted(Fitted):
-    """Category -> number (frequency, count, ordinal)."""
+    """Category -> number (frequency, count, ordinal). Small maps are literal
+    maps in the projection; a map kept as a DataFrame (``_tables``: large
+    vocabulary, never collected) is applied with an equi-join."""
 
     def transform(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
@@ -84,6 +86,10 @@ class MapFitted(Fitted):
         ex = {}
         joins = []
         for c in self.cols:
+            tab = (self.params.get("_tables") or {}).get(c)
+            if tab is not None:
+                df = _join_table(df, c, tab, self.params["default"], self.params.get("_sizes", {}).get(c, 0))
+                continue
             mp = self.params["maps"][c]
             if len(mp) <= inline:
                 ex[c] = _lookup(c, {(None if k == "\x00null" else k): v for k, v in mp.items()},
@@ -100,13 +106,27 @@ class MapFitted(Fitted):
 def _join_lookup(df: DataFrame, c: str, mp: dict, default) -> DataFrame:
     spark = df.sparkSession
     rows = [(k, float(v)) for k, v in mp.items() if k != "\x00null"]
-    tab = spark.createDataFrame(rows, "k string, v double")
+    tab = spark.createDataFrame(rows, "_lk string, _lv double")
     if len(rows) <= 1_000_000:
         tab = F.broadcast(tab)
     null_v = mp.get("\x00null", default)
-    j = df.join(tab, qcol(c).cast("string") == F.col("k"), "left")
-    val = F.when(qcol(c).isNull(), F.lit(float(null_v))).otherwise(F.coalesce(F.col("v"), F.lit(float(default))))
-    return j.withColumn(c, val).drop("k", "v")
+    j = df.join(tab, qcol(c).cast("string") == F.col("_lk"), "left")
+    val = F.when(qcol(c).isNull(), F.lit(float(null_v))).otherwise(F.coalesce(F.col("_lv"), F.lit(float(default))))
+    return j.withColumn(c, val).drop("_lk", "_lv")
+
+
+def _join_table(df: DataFrame, c: str, tab: DataFrame, default, size: int) -> DataFrame:
+    """``tab``: (k string, v double) with k NULL for the missing category."""
+    tab = tab.select(F.col("k").alias("_lk"), F.col("v").alias("_lv"))
+    known = tab.filter(F.col("_lk").isNotNull())
+    null_row = tab.filter(F.col("_lk").isNull()).select(F.col("_lv").alias("_nullv"))
+    if size <= 1_000_000:      # size checked (HyperLogLog estimate) before broadcasting
+        known = F.broadcast(known)
+    j = df.join(known, qcol(c).cast("string") == F.col("_lk"), "left")
+    null_v = null_row.limit(1).collect()
+    nv = null_v[0]["_nullv"] if null_v else default
+    val = F.when(qcol(c).isNull(), F.lit(float(nv))).otherwise(F.coalesce(F.col("_lv"), F.lit(float(default))))
+    return j.withColumn(c, val).drop("_lk", "_lv")
 
 
 class BinaryFitted(MapFitted):
@@ -137,6 +157,11 @@ class Encode(PrepOp):
         if m == "onehot":
             voc = _vocab(df, cols, keep_null=True)
             return OneHotFitted("encode.onehot", cols, {"vocab": {c: [v for v, _, _ in voc[c]] for c in cols}})
+        inline = conf_int(df.sparkSession, "prepforge.lookup.maxInline")
+        sizes = _approx_sizes(df, cols)
+        big = [c for c in cols if sizes[c] > inline]
+        if big and m in ("frequency", "count", "ordinal"):
+            return _table_encoder(df, cols, big, m, self.kw.get("key"), sizes)
         if m in ("frequency", "count"):
             voc = _vocab(df, cols, keep_null=True)
             n = df.count() if m == "frequency" else 1
@@ -156,6 +181,39 @@ class Encode(PrepOp):
         raise ValueError(f"unknown encoding {m}")
 
 
+def _approx_sizes(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Vocabulary sizes (HyperLogLog, inflated for its ~5% error)."""
+    from prepforge.functions.stats import agg_row
+    row = agg_row(df, {f"d{i}": F.approx_count_distinct(qcol(c)) for i, c in enumerate(cols)})
+    return {c: int(row[f"d{i}"] * 1.25) + 1 for i, c in enumerate(cols)}
+
+
+def _table_encoder(df: DataFrame, cols: list[str], big: list[str], m: str, key: str | None,
+                   sizes: dict[str, int]) -> Fitted:
+    """Encoders whose vocabulary stays distributed (large columns) while
+    small columns keep literal maps."""
+    small = [c for c in cols if c not in big]
+    maps, tables = {}, {}
+    if small:
+        sub = Encode(m, **({"key": key} if key else {})).fit(df, small)
+        maps.update(sub.params["maps"])
+    n = df.count() if m == "frequency" else 1
+    for c in big:
+        if m in ("frequency", "count"):
+            tables[c] = (df.groupBy(qcol(c).cast("string").alias("k"))
+                         .agg((F.count(F.lit(1)) / F.lit(n)).cast("double").alias("v")))
+        else:
+            from prepforge.plans.catalog import global_positions
+            first = (df.filter(qcol(c).isNotNull())
+                     .groupBy(qcol(c).cast("string").alias("k"))
+                     .agg((F.min(qcol(key)) if key else F.lit(0)).alias("fk")))
+            ranked, _ = global_positions(first, ["fk", "k"])
+            tables[c] = ranked.select("k", (F.col("_pos") + 1).cast("double").alias("v")).unionByName(
+                df.sparkSession.createDataFrame([(None, float(MISSING_CODE))], "k string, v double"))
+    default = 0.0 if m in ("frequency", "count") else UNSEEN_CODE
+    return MapFitted(f"encode.{m}", cols, {"maps": maps, "default": default, "_tables": tables, "_sizes": sizes})
+
+
 def union_vocab(df: DataFrame, variants: dict[str, list[str]]) -> dict[str, list]:
     """ENC2: one vocabulary per source column over the union of its variant
     columns (e.g. every imputed alternative), so all variants share a width.

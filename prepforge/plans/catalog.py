@@ -31,28 +31,38 @@ def status_report(results: DataFrame, status: str, time_col: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def ntile_positions(df: DataFrame, order_col: str, k: int, out: str = "chunk") -> DataFrame:
-    """CAT5: near-equal contiguous chunks in ``order_col`` order (the first
-    ``n % k`` chunks one row larger) - the ``ntile`` definition - without a
+def global_positions(df: DataFrame, order_cols: list[str], out: str = "_pos") -> tuple[DataFrame, int]:
+    """0-based position of every row in ``order_cols`` order without a
     single-partition window: range partitioning gives each task a contiguous
-    slice, per-slice row numbers plus per-slice offsets (a tiny table) give
-    the global position."""
+    slice, per-slice row numbers plus per-slice offsets (a table with one row
+    per slice) give the global position. Returns (frame, row count)."""
+    cols = [qcol(c) for c in order_cols]
     n = df.count()
-    parts = max(1, min(df.rdd.getNumPartitions(), n // 10000 + 1))
-    r = df.repartitionByRange(parts, qcol(order_col)).withColumn("_pid", F.spark_partition_id())
-    local = r.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid").orderBy(qcol(order_col))) - 1)
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism * 4, n // 10000 + 1))
+    r = df.repartitionByRange(parts, *cols).withColumn("_pid", F.spark_partition_id())
+    local = r.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid").orderBy(*cols)) - 1)
     counts = sorted((row["_pid"], row["c"]) for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offs, acc = [], 0
     for pid, c in counts:
         offs.append((pid, acc))
         acc += c
     off_df = df.sparkSession.createDataFrame(offs, "_pid int, _off long")
-    pos = local.join(F.broadcast(off_df), "_pid").withColumn("_pos", F.col("_off") + F.col("_loc"))
+    pos = local.join(F.broadcast(off_df), "_pid").withColumn(out, F.col("_off") + F.col("_loc"))
+    return pos.drop("_pid", "_loc", "_off"), n
+
+
+def ntile_positions(df: DataFrame, order_col: str, k: int, out: str = "chunk") -> DataFrame:
+    """CAT5: near-equal contiguous chunks in ``order_col`` order (the first
+    ``n % k`` chunks one row larger) - the ``ntile`` definition - without a
+    single-partition window: range partitioning gives each task a contiguous
+    slice, per-slice row numbers plus per-slice offsets (a tiny table) give
+    the global position."""
+    pos, n = global_positions(df, [order_col])
     q, rem = divmod(n, k)
     big = rem * (q + 1)
     chunk = F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1))) \
         .otherwise(F.lit(rem) + F.floor((F.col("_pos") - big) / max(q, 1)))
-    return pos.withColumn(out, chunk.cast("int")).drop("_pid", "_loc", "_off", "_pos")
+    return pos.withColumn(out, chunk.cast("int")).drop("_pos")
 
 
 def top_results(results: DataFrame, score: str, tiebreak: list[str], n: int = 10) -> DataFrame:

@@ -192,3 +192,34 @@ def test_nan_becomes_null(spark):
     out = D.null_tokens(df, [])
     assert [r[0] for r in out.collect()] == [None, 1.0]
     assert not math.isnan(S.agg_row(out, {"m": F.avg("x")})["m"])
+
+
+def test_large_vocab_stays_distributed(spark):
+    rows = [(i, None if i % 9 == 0 else f"v{i % 13}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    want = {}
+    for m in ("count", "frequency", "ordinal"):
+        f = Encode(m, key="k").fit(df, ["s"])
+        want[m] = sorted(map(tuple, f.transform(df).select("k", "s").collect()))
+    spark.conf.set("prepforge.lookup.maxInline", "2")
+    try:
+        for m in ("count", "frequency", "ordinal"):
+            f = Encode(m, key="k").fit(df, ["s"])
+            assert "_tables" in f.params and "s" in f.params["_tables"]
+            got = sorted(map(tuple, f.transform(df).select("k", "s").collect()))
+            assert got == want[m], m
+    finally:
+        spark.conf.unset("prepforge.lookup.maxInline")
+
+
+def test_ntile_matches_definition(spark):
+    from prepforge.plans.catalog import ntile_positions
+    df = spark.range(0, 103).withColumnRenamed("id", "k")
+    got = {r["k"]: r["chunk"] for r in ntile_positions(df, "k", 7).collect()}
+    sizes = [len(a) for a in np.array_split(np.arange(103), 7)]
+    want, i = {}, 0
+    for c, sz in enumerate(sizes):
+        for _ in range(sz):
+            want[i] = c
+            i += 1
+    assert got == want
