@@ -35,9 +35,8 @@ EXCERPT = 512
 #: Bytes compressed at once: the dictionary counts as much in long texts as in short ones.
 BLOCK = 4096
 LEVEL = 6
-#: Texts of at most so many bytes are compressed at ``SHORT_LEVEL``, which finds shorter matches.
-SHORT = 256
-SHORT_LEVEL = 19
+#: A short text gets so many spaces after it: zstandard would store it raw, at the same size for all languages.
+PAD = 256
 #: A prediction whose runner-up is less than this share larger is rejected.
 MIN_MARGIN = 0.005
 
@@ -76,24 +75,22 @@ def learn(docs: DataFrame, train: Column, text: str = "text", label: str = "lang
 def predict(texts: Iterator[str | None], model: Model, block: int = BLOCK, level: int = LEVEL,
             min_margin: float = MIN_MARGIN) -> Iterator[tuple[str, float, bool]]:
     """(language, score, rejected) of each text."""
-    def coders_at(lvl: int) -> list:
-        out = []
-        for content in model.dictionaries:
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=lvl)
-            out.append(zstandard.ZstdCompressor(level=lvl, dict_data=d, write_content_size=False, write_checksum=False,
-                                                write_dict_id=False).compress)
-        return out
-
-    long_coders, short_coders = coders_at(level), coders_at(SHORT_LEVEL)
+    coders = []
+    for content in model.dictionaries:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False,
+                                               write_dict_id=False).compress)
     ascii_letter = re.compile("[A-Za-z]").search
     for text in texts:
-        if text is None or not long_coders or not (ascii_letter(text) or any(map(str.isalpha, text))):
+        if text is None or not coders or not (ascii_letter(text) or any(map(str.isalpha, text))):
             yield "und", 0.0, True
             continue
         body = text.lower().encode()
+        if len(body) <= PAD:
+            body += b" " * PAD
         parts = [body] if len(body) <= block else [body[i:i + block] for i in range(0, len(body), block)]
-        sizes = [sum(len(c(p)) for p in parts) for c in (short_coders if len(body) <= SHORT else long_coders)]
+        sizes = [sum(len(c(p)) for p in parts) for c in coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
         score = 1.0 if rest is None else (rest - sizes[best]) / rest
