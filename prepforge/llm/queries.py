@@ -1,8 +1,10 @@
 """The registered queries of the corpus operators, and their DuckDB SQL."""
 
 from prepforge.llm.langid import op6_language_id
+from prepforge.llm.simhash import op8_simhash
 
 QUERIES = {
     "op6_language_id": op6_language_id,
+    "op8_simhash": op8_simhash,
 }
 ORACLE: dict[str, str] = {}
