@@ -1,10 +1,17 @@
 """The registered queries of the corpus operators, and their DuckDB SQL."""
 
+from prepforge.llm import mixing
+from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
+from prepforge.llm.mixing import op5_mixing
 from prepforge.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_mixing": mixing.SQL,
+}
