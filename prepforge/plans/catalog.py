@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepforge.functions.stats import qcol
+from prepforge.session import cut_lineage
 
 # Fixed value: datasets with more features are not admitted.
 MAX_FEATURES = 200
@@ -31,15 +32,21 @@ def status_report(results: DataFrame, status: str, time_col: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def global_positions(df: DataFrame, order_cols: list[str], out: str = "_pos") -> tuple[DataFrame, int]:
+# Rows a slice of ``global_positions`` holds on average.
+SLICE_ROWS = 100_000
+
+
+def global_positions(df: DataFrame, order_cols: list[str | Column], out: str = "_pos",
+                     slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, int]:
     """0-based position of every row in ``order_cols`` order without a
-    single-partition window: range partitioning gives each task a contiguous
-    slice, per-slice row numbers plus per-slice offsets (a table with one row
-    per slice) give the global position. Returns (frame, row count)."""
-    cols = [qcol(c) for c in order_cols]
-    n = df.count()
-    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism * 4, n // 10000 + 1))
-    r = df.repartitionByRange(parts, *cols).withColumn("_pid", F.spark_partition_id())
+    single-partition window. The range-partitioned rows are written once, with
+    their slice number, to the shared checkpoint folder: range bounds come
+    from a sample that differs from job to job, so counts and positions must
+    come from the same slices. Per-slice row numbers plus per-slice offsets (a
+    table with one row per slice) give the position. Returns (frame, rows)."""
+    cols = [qcol(c) if isinstance(c, str) else c for c in order_cols]
+    parts = max(1, -(-df.count() // slice_rows))
+    r = cut_lineage(df.repartitionByRange(parts, *cols).withColumn("_pid", F.spark_partition_id()))
     local = r.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid").orderBy(*cols)) - 1)
     counts = sorted((row["_pid"], row["c"]) for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offs, acc = [], 0
@@ -48,7 +55,7 @@ def global_positions(df: DataFrame, order_cols: list[str], out: str = "_pos") ->
         acc += c
     off_df = df.sparkSession.createDataFrame(offs, "_pid int, _off long")
     pos = local.join(F.broadcast(off_df), "_pid").withColumn(out, F.col("_off") + F.col("_loc"))
-    return pos.drop("_pid", "_loc", "_off"), n
+    return pos.drop("_pid", "_loc", "_off"), acc
 
 
 def ntile_positions(df: DataFrame, order_col: str, k: int, out: str = "chunk") -> DataFrame:

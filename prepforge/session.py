@@ -51,6 +51,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PREPFORGE_DRIVER_MEMORY", "16g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,16 +60,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) fall back to a fresh scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local
+    master, whose driver and executors share one machine, gets a scratch
+    folder where the setting is missing; elsewhere that is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="prepforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if _CHECKPOINT_DIRS.get(spark.sparkContext.applicationId) != d:
+        spark.sparkContext.setCheckpointDir(d)
+        _CHECKPOINT_DIRS[spark.sparkContext.applicationId] = d
     return d
 
 
+#: The folder set for each application, so that it is set once.
+_CHECKPOINT_DIRS: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder: survives the loss
     of executors, unlike a local checkpoint."""
