@@ -4,6 +4,7 @@ from prepforge.llm import mixing
 from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
 from prepforge.llm.mixing import op5_mixing
+from prepforge.llm.secretscan import op10_secret_scan
 from prepforge.llm.simhash import op8_simhash
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE = {
     "op5_mixing": mixing.SQL,
