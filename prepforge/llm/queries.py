@@ -1,13 +1,15 @@
 """The registered queries of the corpus operators, and their DuckDB SQL."""
 
-from prepforge.llm import mixing
+from prepforge.llm import licenses, mixing
 from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
+from prepforge.llm.licenses import op1_license_scan
 from prepforge.llm.mixing import op5_mixing
 from prepforge.llm.secretscan import op10_secret_scan
 from prepforge.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
@@ -15,5 +17,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE = {
+    "op1_license_scan": licenses.SQL,
     "op5_mixing": mixing.SQL,
 }
