@@ -5,15 +5,19 @@ from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
 from prepforge.llm.licenses import op1_license_scan
 from prepforge.llm.mixing import op5_mixing
+from prepforge.llm.qualityrules import op9_quality_rules
+from prepforge.llm.resampling import op2_importance_resampling
 from prepforge.llm.secretscan import op10_secret_scan
 from prepforge.llm.simhash import op8_simhash
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_importance_resampling": op2_importance_resampling,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
+    "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE = {
