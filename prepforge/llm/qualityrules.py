@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepforge.llm.ngrams import buckets, flag_targets, log_ratios, summed, words
-from prepforge.llm.util import col, read_documents
+from prepforge.llm.util import col, let, read_documents
 
 BUCKETS = 16384
 MIN_RATIO = -0.1
@@ -31,18 +31,23 @@ def repeated_words(df: DataFrame, w: str, out: str) -> DataFrame:
     next to an equal one in sorted order are repeated, and a window looks its
     value up in one of about sqrt(windows) lists, so that a long text takes
     far less than the square of its windows."""
-    n = F.size(w) - (WINDOW - 1)
-    hashed = F.transform(F.slice(w, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, F.element_at(w, i + 2), F.element_at(w, i + 3)))
-    out1 = df.withColumn(f"{out}_h", hashed)
-    out1 = out1.withColumn(f"{out}_s", F.when(F.size(F.array_distinct(f"{out}_h")) < F.size(f"{out}_h"), F.sort_array(f"{out}_h")))
-    twice = F.array_distinct(F.filter(f"{out}_s", lambda x, i: (i > 0) & (x == F.get(f"{out}_s", i - 1))))
-    lists = F.ceil(F.sqrt(F.size(f"{out}_h"))).cast("int")
-    out2 = out1.withColumn(f"{out}_d", twice).withColumn(f"{out}_n", F.when(F.col(f"{out}_s").isNotNull(), lists))
-    dealt = F.transform(F.sequence(F.lit(0), F.col(f"{out}_n") - 1), lambda k: F.filter(f"{out}_d", lambda x: F.pmod(x, F.col(f"{out}_n")) == k))
-    out3 = out2.withColumn(f"{out}_l", F.when(F.col(f"{out}_n").isNotNull(), dealt))
-    again = F.filter(F.transform(f"{out}_h", lambda x, i: F.when(F.array_contains(F.element_at(f"{out}_l", (F.pmod(x, F.col(f"{out}_n")) + 1).cast("int")), x), i)), lambda i: i.isNotNull())
-    covered = F.size(F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2)))))
-    return out3.withColumn(out, F.when(F.col(f"{out}_s").isNotNull(), covered).otherwise(0).cast("long")).drop(*[f"{out}_{x}" for x in "hsdnl"])
+    n = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
+    pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    hashes = F.zip_with(pairs, F.slice(w, F.lit(3), n), lambda p, z: F.xxhash64(p["x"], p["y"], z))
+    h, s = f"{out}_h", f"{out}_s"
+    hashed = df.withColumn(h, hashes).withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
+
+    def covered(lists: Column) -> Column:
+        again = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(F.element_at(lists, (F.pmod(x, F.size(lists)) + 1).cast("int")), x), i)), lambda i: i.isNotNull())
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def dealt(twice: Column) -> Column:
+        lists = F.ceil(F.sqrt(F.size(h))).cast("int")
+        return F.transform(F.sequence(F.lit(0), lists - 1), lambda k: F.filter(twice, lambda x: F.pmod(x, lists) == k))
+
+    repeated = let(F.col(s), lambda srt: F.array_distinct(F.filter(srt, lambda x, i: (i > 0) & (x == F.get(srt, i - 1)))))
+    count = let(repeated, lambda twice: let(dealt(twice), covered))
+    return hashed.withColumn(out, F.when(F.col(s).isNotNull(), count).otherwise(0).cast("long")).drop(h, s)
 
 
 def text_counts(df: DataFrame, text: str, w: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row: the optimizer inlines
+    a column used once, into a lambda too, where it would be computed for each
+    element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
