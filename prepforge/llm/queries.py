@@ -9,6 +9,7 @@ from prepforge.llm.qualityrules import op9_quality_rules
 from prepforge.llm.resampling import op2_importance_resampling
 from prepforge.llm.secretscan import op10_secret_scan
 from prepforge.llm.simhash import op8_simhash
+from prepforge.llm.substrings import op7_substring_dedup
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
