@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators, and their DuckDB SQL."""
 
-from prepforge.llm import licenses, mixing
+from prepforge.llm import licenses, mixing, revisits
 from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
 from prepforge.llm.licenses import op1_license_scan
 from prepforge.llm.mixing import op5_mixing
 from prepforge.llm.qualityrules import op9_quality_rules
 from prepforge.llm.resampling import op2_importance_resampling
+from prepforge.llm.revisits import op3_warc_revisits
 from prepforge.llm.secretscan import op10_secret_scan
 from prepforge.llm.simhash import op8_simhash
 from prepforge.llm.substrings import op7_substring_dedup
@@ -14,6 +15,7 @@ from prepforge.llm.substrings import op7_substring_dedup
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_importance_resampling": op2_importance_resampling,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
@@ -24,5 +26,6 @@ QUERIES = {
 }
 ORACLE = {
     "op1_license_scan": licenses.SQL,
+    "op3_warc_revisits": revisits.SQL,
     "op5_mixing": mixing.SQL,
 }
