@@ -349,7 +349,7 @@ def test_secrets(spark, sf, rows):
 
 def test_markov_model(spark):
     digests = [hashlib.sha256(str(i).encode()) for i in range(200)]
-    samples = [(True, d.hexdigest()) for d in digests] + [(True, base64.b64encode(d.digest()).decode()) for d in digests]
+    samples = [(True, d.hexdigest()) for d in digests] + [(True, base64.b64encode(d.digest()).decode()) for d in digests] * 5
     samples += [(False, w) for w in "configuration parameter_name handler initialize connection_pool request response".split()] * 50
     model = secretscan.train(spark.createDataFrame(samples, "random boolean, token string"))
     df = spark.createDataFrame([(1, "the connection_pool_initialize_handler got 7f3a9c0e1b5d2846aa0c and x81vQ7bR4kLm2pW0Zy6H ok")], "id long, t string")
