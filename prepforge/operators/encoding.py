@@ -46,13 +46,27 @@ def _lookup(c: str, mapping: dict, default) -> Column:
     return F.when(qcol(c).isNull(), F.lit(null_v)).otherwise(F.coalesce(hit, F.lit(default)))
 
 
+def onehot_names(vocab: dict[str, list]) -> dict[tuple[str, str | None], str]:
+    """A column name for each (column, category): ``column_category``, with
+    ``nan`` for the missing one; a name already given gets ``__1``, ``__2``..."""
+    names: dict = {}
+    taken: set[str] = set()
+    for c, values in vocab.items():
+        for v in values:
+            name = base = f"{c}_{NULL_NAME if v is None else v}"
+            n = 0
+            while name in taken:
+                n += 1
+                name = f"{base}__{n}"
+            taken.add(name)
+            names[c, v] = name
+    return names
+
+
 class OneHotFitted(Fitted):
     def _names(self):
-        out = []
-        for c in self.cols:
-            for v in self.params["vocab"][c]:
-                out.append((c, v, f"{c}_{NULL_NAME if v is None else v}"))
-        return out
+        named = onehot_names({c: self.params["vocab"][c] for c in self.cols})
+        return [(c, v, name) for (c, v), name in named.items()]
 
     def exprs(self):
         ex = {}

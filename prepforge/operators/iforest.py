@@ -85,8 +85,8 @@ def _path_lengths(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         cur[active] = np.where(go_left, left[ci], right[ci])
         depth[active] += 1
         active = feat[cur] >= 0
-    cf = np.vectorize(c_factor)(size[cur])
-    return depth + cf
+    leaf = np.array([c_factor(n) for n in size])  # per node, not per row
+    return depth + leaf[cur]
 
 
 class ForestFitted(Fitted):

@@ -253,17 +253,17 @@ class EMFitted(Fitted):
         sigma = np.asarray(self.params["sigma"])
         cols = self.cols
 
-        def fill(it):
-            for pdf in it:
-                x = pdf[cols].to_numpy(dtype=float)
-                if np.isnan(x).any():
-                    xhat, _ = _em_estep(mu, sigma, x)
-                    for j, c in enumerate(cols):
-                        pdf[c] = xhat[:, j]
-                yield pdf
-
-        cast = df.withColumns({c: qcol(c).cast("double") for c in cols})
-        return cast.mapInPandas(fill, cast.schema)
+        @F.pandas_udf("array<double>")
+        def fill(*series: pd.Series) -> pd.Series:
+            x = np.column_stack([s.to_numpy(dtype=float) for s in series])
+            if np.isnan(x).any():
+                x, _ = _em_estep(mu, sigma, x)
+            return pd.Series(list(x))
+
+        # only the imputed columns go through Python; the others keep their types
+        values = fill(*[qcol(c).cast("double") for c in cols])
+        out = df.withColumn("_em", values)
+        return out.withColumns({c: F.col("_em")[j] for j, c in enumerate(cols)}).drop("_em")
 
 
 @register("imputation", "em", "EM")

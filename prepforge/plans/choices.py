@@ -26,7 +26,8 @@ def choice_prior(options: DataFrame, default_option: str, p0: float = PRIOR_DEFA
     logit = ln(prob)."""
     w = Window.partitionBy(*_W)
     t = F.count(F.lit(1)).over(w)
-    prob = F.when(F.col("option") == F.lit(default_option), F.lit(p0)).otherwise(F.lit(1.0 - p0) / (t - 1))
+    prob = (F.when(t == 1, F.lit(1.0)).when(F.col("option") == F.lit(default_option), F.lit(p0))
+            .otherwise(F.lit(1.0 - p0) / F.nullif(t - 1, F.lit(0))))
     return options.withColumn("prob", prob).withColumn("logit", F.log(F.col("prob")))
 
 
@@ -38,9 +39,10 @@ def softmax(choices: DataFrame, logit: str = "logit", out: str = "prob") -> Data
 
 
 def argmax(choices: DataFrame, score: str = "logit") -> DataFrame:
-    """PIP11 ``max_only``: one option per feature, first option (by name) on
-    a tie."""
-    w = Window.partitionBy(*_W).orderBy(F.desc(score), F.asc("option"))
+    """PIP11 ``max_only``: one option per feature; a tie goes to the lowest
+    ``option_index`` where the table has one, else to the first name."""
+    first = "option_index" if "option_index" in choices.columns else "option"
+    w = Window.partitionBy(*_W).orderBy(F.desc(score), F.asc(first))
     return choices.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 

@@ -105,18 +105,19 @@ class PrepPipeline:
         for step in self.order:
             if step not in self.config and step not in self.per_feature:
                 continue
+            keyed = {"key": key} if key else {}
             if step == "imputation":
-                run(step, num + cat)
+                run(step, num + cat, **keyed)
             elif step == "scaling":
                 run(step, num)
             elif step == "encoding":
-                for f in run(step, cat, **({"key": key} if key else {})):
+                for f in run(step, cat, **keyed):
                     new = f.out_cols(cat)
                     if new != cat or f.op != "encode.none":
                         cat = new
                         cat_encoded = f.op != "encode.none"
             elif step == "outlier_removal":
-                run(step, num, split_col=split_col)
+                run(step, num, split_col=split_col, **keyed)
             elif step == "feature_selection":
                 cands = num + (cat if cat_encoded else [])
                 for f in run(step, cands):

@@ -235,8 +235,9 @@ def profile(df: DataFrame, label: str, name: str = "", dataset_id: int | None =
     return df.sparkSession.createDataFrame([card], schema=schema)
 
 
-def ingest_clean(df: DataFrame, label: str, key: str, max_samples: int = 5000, seed: int = 42):
-    """SRC7-12 in the reference's order; returns (frame, task_type)."""
+def ingest_clean(df: DataFrame, label: str, key: str, max_samples: int | None = None, seed: int = 42):
+    """SRC7-12 in order; returns (frame, task_type). Rows are sampled (SRC12)
+    only where ``max_samples`` is given."""
     from prepforge.operators.split import bounded_sample
     df = cast_categorical(df, [c for c in categorical_cols(df, df.columns) if c != label])
     df, _ = drop_all_missing(df, [c for c in df.columns if c not in (label, key)])
@@ -244,5 +245,6 @@ def ingest_clean(df: DataFrame, label: str, key: str, max_samples: int = 5000, s
     task = detect_task_type(df, label)
     if task == "classification":
         df = rare_class_filter(df, label)
-    df = bounded_sample(df, key, max_samples, seed=seed)
+    if max_samples is not None:
+        df = bounded_sample(df, key, max_samples, seed=seed)
     return df, task

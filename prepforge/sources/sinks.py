@@ -38,12 +38,24 @@ def space_table(spark: SparkSession, space) -> DataFrame:
 
 
 def save_model(spark: SparkSession, steps: list[tuple[str, Fitted]], path: str) -> None:
-    """SNK5 (write side): the fitted steps as JSON rows (operators whose
-    state is a DataFrame or a model object are not serialisable this way)."""
+    """SNK5 (write side): the fitted steps as JSON rows. Steps whose state is
+    a table or a trained model (kNN, MICE, tree and EM imputation, LOF,
+    isolation forest, encoders with a stored vocabulary) are refused here,
+    not at reload."""
+    for step, f in steps:
+        if not _saves(f):
+            raise TypeError(f"{step}: a fitted {f.op} can't be saved as JSON")
     rows = [(i, s, f.to_json()) for i, (s, f) in enumerate(steps)]
     spark.createDataFrame(rows, "pos int, step string, fitted string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def _saves(f: Fitted) -> bool:
+    from prepforge.operators import discretize, encoding, imputation, outliers, reduction, scaling, selection
+    plain = (Fitted, imputation.FillFitted, scaling.ScaleFitted, outliers.RepairFitted, outliers.RowFilterFitted, discretize.BinFitted,
+             selection.SelectFitted, reduction.ProjectFitted, encoding.OneHotFitted, encoding.BinaryFitted, encoding.MapFitted)
+    return type(f) in plain and not any(k.startswith("_") and v for k, v in f.params.items())
+
+
 def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
     """SNK5 (read side): rebuild the fitted steps (projection operators)."""
     from prepforge.operators import discretize, encoding, imputation, outliers, reduction, scaling, selection

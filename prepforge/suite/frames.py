@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_DIMS = 64
-BM_DIMS = 6
+BM_DIMS = N_DIMS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from prepforge.operators.imputation import Impute
 from prepforge.operators.outliers import RemoveOutliers, RepairOutliers
 from prepforge.operators.scaling import Scale, prenormalize
 from prepforge.operators.selection import SelectFeatures
-from prepforge.suite.frames import SQL_B, SQL_E, SQL_O, SQL_P, frame_B, frame_E, frame_O, frame_P, sql_split
+from prepforge.suite.frames import SQL_B, SQL_E, SQL_O, SQL_P, frame_B, frame_E, frame_O, frame_P, sql_split, table
 from prepforge.suite.helpers import fit_apply, long_form, query, rounded, split_frame, train_of
 
 E_SPLIT = sql_split(SQL_E, "event_id")
@@ -217,16 +217,19 @@ def q_binary(spark, sf):
 O_NUM = ["o_totalprice", "cust"]
 
 
-@query("remove_iqr", f"""WITH s AS ({O_SPLIT}), t AS (SELECT * FROM s WHERE split = 'train'),
-q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a1, quantile_cont(o_totalprice, 0.75) AS b1,
-             quantile_cont(cust, 0.25) AS a2, quantile_cont(cust, 0.75) AS b2 FROM t)
-SELECT o_orderkey, split FROM s, q
-WHERE split <> 'train' OR (
-  (b1 - a1 <= 0 OR coalesce(o_totalprice BETWEEN a1 - 1.5 * (b1 - a1) AND b1 + 1.5 * (b1 - a1), false)) AND
-  (b2 - a2 <= 0 OR coalesce(cust BETWEEN a2 - 1.5 * (b2 - a2) AND b2 + 1.5 * (b2 - a2), false)))""")
+L_SPLIT = sql_split("SELECT l_orderkey * 10 + l_linenumber AS line, l_extendedprice AS price, l_extendedprice * l_discount * l_discount AS cut FROM lineitem", "line")
+
+
+@query("remove_iqr", f"""WITH s AS ({L_SPLIT}), t AS (SELECT * FROM s WHERE split = 'train'),
+q AS (SELECT quantile_cont(price, 0.25) AS a1, quantile_cont(price, 0.75) AS b1, quantile_cont(cut, 0.25) AS a2, quantile_cont(cut, 0.75) AS b2 FROM t)
+SELECT line, split FROM s, q WHERE split <> 'train' OR (
+  (b1 - a1 <= 0 OR coalesce(price BETWEEN a1 - 1.5 * (b1 - a1) AND b1 + 1.5 * (b1 - a1), false)) AND
+  (b2 - a2 <= 0 OR coalesce(cut BETWEEN a2 - 1.5 * (b2 - a2) AND b2 + 1.5 * (b2 - a2), false)))""")
 def q_remove_iqr(spark, sf):
-    df = fit_apply(_O(spark, sf), RemoveOutliers("iqr", split_col="split"), O_NUM)
-    return df.select("o_orderkey", "split")
+    x = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_extendedprice").alias("price"),
+                                            (F.col("l_extendedprice") * F.col("l_discount") * F.col("l_discount")).alias("cut"))
+    df = fit_apply(split_frame(x, "line"), RemoveOutliers("iqr", split_col="split"), ["price", "cut"])
+    return df.select("line", "split")
 
 
 @query("remove_zscore", f"""WITH s AS ({E_SPLIT}), t AS (SELECT * FROM s WHERE split = 'train'),
@@ -386,3 +389,19 @@ def q_sel_mi(spark, sf):
     keep = set(fitted.params["keep"])
     rows = [(c, float(fitted.params["scores"][c]), c in keep) for c in _B_DIMS]
     return rounded(spark.createDataFrame(rows, "column_name string, score double, selected boolean"))
+
+
+# ---------------------------------------------------------------- a category called like the missing one
+
+_NAN = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'nan' ELSE event_type END"
+
+
+@query("encode_onehot_nan_literal", f"""WITH s AS ({sql_split(f"SELECT event_id, {_NAN} AS kind FROM events", "event_id")}),
+v AS (SELECT DISTINCT kind AS val, CASE WHEN kind IS NULL THEN 'kind_nan__1' ELSE 'kind_' || kind END AS name FROM s WHERE split = 'train')
+SELECT s.event_id, s.split, v.name AS column_name, CASE WHEN s.kind IS NOT DISTINCT FROM v.val THEN 1.0 ELSE 0.0 END AS value FROM s, v""")
+def q_onehot_nan(spark, sf):
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 13 == 0, "nan").otherwise(F.col("event_type"))
+    df = split_frame(e.select("event_id", kind.alias("kind")), "event_id")
+    fitted = Encode("onehot").fit(train_of(df), ["kind"])
+    return long_form(fitted.transform(df), ["event_id", "split"], fitted.out_cols(["kind"]))

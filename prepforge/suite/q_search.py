@@ -75,12 +75,16 @@ def q_best_epoch(spark, sf):
     return rounded(HI.best_epoch(frame_H(spark, sf)))
 
 
-@query("best_option_history", f"""WITH p AS (SELECT 0 AS epoch, stage, feature, option, prob FROM ({_SOFTMAX})),
+@query("best_option_history", f"""WITH p0 AS (SELECT stage, feature, option, prob FROM ({_SOFTMAX})),
+p AS (SELECT e.epoch, s.stage, feature, option, CASE WHEN (e.epoch + s.stage) % 2 = 0 THEN 1 - prob ELSE prob END AS prob
+      FROM p0, (VALUES (0), (1)) e(epoch), (VALUES (1), (2)) s(stage)),
 b AS (SELECT epoch, stage, feature, printf('%s:%.2f', option, prob) AS best FROM (
   SELECT *, row_number() OVER (PARTITION BY epoch, stage, feature ORDER BY prob DESC, option) AS r FROM p) WHERE r = 1)
 SELECT epoch, feature, string_agg(best, ' | ' ORDER BY stage) AS pipeline FROM b GROUP BY epoch, feature""")
 def q_best_option(spark, sf):
-    p = CH.softmax(frame_C(spark, sf)).withColumn("epoch", F.lit(0))
+    p = CH.softmax(frame_C(spark, sf)).drop("stage").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    p = p.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("stage"))
+    p = p.withColumn("prob", F.when((F.col("epoch") + F.col("stage")) % 2 == 0, 1 - F.col("prob")).otherwise(F.col("prob")))
     return HI.best_option(p)
 
 

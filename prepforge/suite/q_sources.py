@@ -139,10 +139,10 @@ def q_ntile(spark, sf):
 
 
 @query("pending_antijoin", """SELECT c_custkey FROM customer c
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' AND o.o_totalprice > 300000)""")
 def q_pending(spark, sf):
     cat = table(spark, sf, "customer").select("c_custkey")
-    done = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return pending(cat, done, "c_custkey")
 
 
@@ -165,12 +165,33 @@ def q_card(spark, sf):
                        "missing_percentage")
 
 
-@query("ingest_clean", """WITH o AS (SELECT * FROM orders WHERE o_orderstatus IS NOT NULL
-    AND o_orderstatus IN (SELECT o_orderstatus FROM orders GROUP BY o_orderstatus HAVING count(*) >= 5))
-SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (
-    ORDER BY md5(concat('42', ':', CAST(o_orderkey AS VARCHAR))), o_orderkey) AS rn FROM o) WHERE rn <= 5000""")
+@query("ingest_clean", """WITH o AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 10 = 0 THEN NULL
+    WHEN o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3) THEN 'RARE' ELSE o_orderpriority END AS prio FROM orders)
+SELECT 'o_orderkey,o_totalprice,prio' AS columns, o_orderkey, o_totalprice, prio FROM o
+WHERE prio IS NOT NULL AND prio IN (SELECT prio FROM o GROUP BY prio HAVING count(*) >= 5)""")
 def q_ingest(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    df, _task = D.ingest_clean(o, "o_orderstatus", "o_orderkey", max_samples=5000, seed=42)
-    return df.select("o_orderkey")
-
+    o = table(spark, sf, "orders")
+    first = o.orderBy("o_orderkey").limit(3).select(F.col("o_orderkey").alias("rare_key"))
+    o = o.join(F.broadcast(first), F.col("o_orderkey") == F.col("rare_key"), "left")
+    prio = F.when(F.col("o_orderkey") % 10 == 0, F.lit(None)).when(F.col("rare_key").isNotNull(), "RARE").otherwise(F.col("o_orderpriority"))
+    o = o.select("o_orderkey", "o_totalprice", F.lit(None).cast("double").alias("nothing"), prio.alias("prio"))
+    df, _task = D.ingest_clean(o, "prio", "o_orderkey")
+    return df.select(F.lit(",".join(sorted(df.columns))).alias("columns"), "o_orderkey", "o_totalprice", "prio")
+
+
+@query("src_csv_round_trip", """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM customer""")
+def q_csv(spark, sf):
+    """The table written as CSV with missing-value tokens and a metadata file
+    beside it, both read back: tokens to NULL, types inferred, a column dropped."""
+    import os
+    import uuid
+
+    from prepforge.session import ensure_checkpoint_dir
+    at = os.path.join(ensure_checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    c = table(spark, sf, "customer")
+    tok = lambda k, t, x: F.when(F.col("c_custkey") % k == 0, F.lit(t)).otherwise(F.col(x).cast("string")).alias(x)
+    c.select("c_custkey", tok(5, "?", "c_acctbal"), tok(7, "NA", "c_mktsegment"), F.lit("x").alias("unused")).write.option("header", True).csv(f"{at}/data")
+    spark.createDataFrame([("c_mktsegment", ["unused"], ["c_mktsegment"], "?")], "label string, drop_variables array<string>, categorical_variables array<string>, missing_value string").coalesce(1).write.json(f"{at}/info")
+    df = D.load_csv(spark, f"{at}/data", D.load_spec(spark, f"{at}/info"))
+    return df.select(F.col("c_custkey").cast("long").alias("c_custkey"), *[x for x in df.columns if x != "c_custkey"])
