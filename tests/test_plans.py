@@ -155,3 +155,60 @@ def test_sinkhorn_backward_matches_finite_difference():
             am[i, j] -= eps
             fd = ((sinkhorn_np(ap, iters=50, tol=0.0)[0] * w).sum() - (sinkhorn_np(am, iters=50, tol=0.0)[0] * w).sum()) / (2 * eps)
             assert g[i, j] == pytest.approx(fd, abs=1e-5)
+
+
+def test_global_positions_over_many_slices(spark):
+    """Counts and positions come from the same slices, whatever the bounds."""
+    from pyspark.sql import functions as F
+    from prepforge.plans.catalog import global_positions, ntile_positions
+    df = spark.range(1_000_000, numPartitions=16).select(F.pmod(F.xxhash64("id"), F.lit(10 ** 9)).alias("k"), "id")
+    pos, n = global_positions(df, ["k", "id"], slice_rows=40_000)
+    assert n == 1_000_000
+    bad = pos.agg(F.countDistinct("_pos").alias("d"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi")).first()
+    assert tuple(bad) == (1_000_000, 0, 999_999)
+    from pyspark.sql import Window
+    part = pos.where("_pos < 2000")
+    w = Window.orderBy("k", "id")
+    assert part.withColumn("r", F.row_number().over(w) - 1).where("r <> _pos").count() == 0
+    x = spark.range(1003).select(F.col("id").alias("v"))
+    assert ntile_positions(x, "v", 10).groupBy("chunk").count().count() == 10
+
+
+def test_ordinal_codes_of_a_large_vocabulary(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window
+    from prepforge.operators.encoding import Encode
+    df = spark.range(100_000).select("id", F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("string")).alias("c"))
+    got = Encode("ordinal").fit(df, ["c"]).transform(df.withColumn("raw", F.col("c"))).select("raw", "c").distinct()
+    want = df.select(F.col("c").alias("raw")).distinct().withColumn("r", F.row_number().over(Window.orderBy("raw")).cast("double"))
+    assert got.count() == want.count() > 40_000
+    assert got.join(want, "raw").where("c <> r").count() == 0
+
+
+def test_single_option_prior_and_index_ties(spark):
+    from prepforge.plans.choices import argmax, choice_prior
+    one = spark.createDataFrame([(1, "f", "only"), (1, "g", "a"), (1, "g", "b")], "stage int, feature string, option string")
+    got = {(r["feature"], r["option"]): r["prob"] for r in choice_prior(one, "a").collect()}
+    assert got == {("f", "only"): 1.0, ("g", "a"): 0.5, ("g", "b"): 0.5}
+    tie = spark.createDataFrame([(1, "f", "z", 0, 1.0), (1, "f", "a", 1, 1.0)], "stage int, feature string, option string, option_index int, logit double")
+    assert argmax(tie).first()["option"] == "z"
+
+
+def test_unsavable_steps_are_refused(spark, tmp_path):
+    import pytest
+    from prepforge.plans.pipeline import PrepPipeline
+    from prepforge.sources.sinks import save_model
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 5 == 0 else float(i)) for i in range(60)], "k long, a double, b double")
+    model = PrepPipeline({"imputation": "knn", "outlier_removal": "isolation_forest"}).fit(df, ["a", "b"], key="k")
+    assert model.transform(df).where("b is null").count() == 0
+    with pytest.raises(TypeError, match="can't be saved"):
+        save_model(spark, model.steps, str(tmp_path / "m"))
+
+
+def test_em_keeps_other_columns(spark):
+    from prepforge.operators.model_impute import EMImpute
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big + i, None if i == 3 else big, float(i), None if i % 4 == 0 else 2.0 * i) for i in range(40)], "k long, w long, a double, b double")
+    out = EMImpute("em").fit(df, ["a", "b"]).transform(df)
+    assert out.where("b is null").count() == 0 and dict(out.dtypes)["w"] == "bigint"
+    assert sorted(r["w"] or 0 for r in out.collect()) == sorted([0] + [big] * 39)
