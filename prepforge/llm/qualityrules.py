@@ -42,8 +42,9 @@ def repeated_words(df: DataFrame, w: str, out: str) -> DataFrame:
         return F.size(F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2)))))
 
     def dealt(twice: Column) -> Column:
-        lists = F.ceil(F.sqrt(F.size(h))).cast("int")
-        return F.transform(F.sequence(F.lit(0), lists - 1), lambda k: F.filter(twice, lambda x: F.pmod(x, lists) == k))
+        # a lambda never refers to a column: a filter pushed below would compute it for each element
+        return let(F.ceil(F.sqrt(F.size(h))).cast("int"), lambda n: F.transform(
+            F.sequence(F.lit(0), n - 1), lambda k: F.filter(twice, lambda x: F.pmod(x, n) == k)))
 
     repeated = let(F.col(s), lambda srt: F.array_distinct(F.filter(srt, lambda x, i: (i > 0) & (x == F.get(srt, i - 1)))))
     count = let(repeated, lambda twice: let(dealt(twice), covered))
