@@ -3,8 +3,8 @@
 Vocabularies come from one exploded ``groupBy`` over all columns. A small
 vocabulary becomes a literal map inside the projection (stays in codegen, no
 join); a vocabulary above ``prepforge.lookup.maxInline`` entries is applied
-with an equi-join on the category (broadcast only when its checked size
-allows, else a shuffle join).
+with an equi-join on the category; Spark picks broadcast or shuffle from the
+table's bytes.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ class MapFitted(Fitted):
         for c in self.cols:
             tab = (self.params.get("_tables") or {}).get(c)
             if tab is not None:
-                df = _join_table(df, c, tab, self.params["default"], self.params.get("_sizes", {}).get(c, 0))
+                df = _join_table(df, c, tab, self.params["default"])
                 continue
             mp = self.params["maps"][c]
             if len(mp) <= inline:
@@ -121,21 +121,17 @@ def _join_lookup(df: DataFrame, c: str, mp: dict, default) -> DataFrame:
     spark = df.sparkSession
     rows = [(k, float(v)) for k, v in mp.items() if k != "\x00null"]
     tab = spark.createDataFrame(rows, "_lk string, _lv double")
-    if len(rows) <= 1_000_000:
-        tab = F.broadcast(tab)
     null_v = mp.get("\x00null", default)
     j = df.join(tab, qcol(c).cast("string") == F.col("_lk"), "left")
     val = F.when(qcol(c).isNull(), F.lit(float(null_v))).otherwise(F.coalesce(F.col("_lv"), F.lit(float(default))))
     return j.withColumn(c, val).drop("_lk", "_lv")
 
 
-def _join_table(df: DataFrame, c: str, tab: DataFrame, default, size: int) -> DataFrame:
+def _join_table(df: DataFrame, c: str, tab: DataFrame, default) -> DataFrame:
     """``tab``: (k string, v double) with k NULL for the missing category."""
     tab = tab.select(F.col("k").alias("_lk"), F.col("v").alias("_lv"))
     known = tab.filter(F.col("_lk").isNotNull())
     null_row = tab.filter(F.col("_lk").isNull()).select(F.col("_lv").alias("_nullv"))
-    if size <= 1_000_000:      # size checked (HyperLogLog estimate) before broadcasting
-        known = F.broadcast(known)
     j = df.join(known, qcol(c).cast("string") == F.col("_lk"), "left")
     null_v = null_row.limit(1).collect()
     nv = null_v[0]["_nullv"] if null_v else default
@@ -175,7 +171,7 @@ class Encode(PrepOp):
         sizes = _approx_sizes(df, cols)
         big = [c for c in cols if sizes[c] > inline]
         if big and m in ("frequency", "count", "ordinal"):
-            return _table_encoder(df, cols, big, m, self.kw.get("key"), sizes)
+            return _table_encoder(df, cols, big, m, self.kw.get("key"))
         if m in ("frequency", "count"):
             voc = _vocab(df, cols, keep_null=True)
             n = df.count() if m == "frequency" else 1
@@ -202,8 +198,7 @@ def _approx_sizes(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return {c: int(row[f"d{i}"] * 1.25) + 1 for i, c in enumerate(cols)}
 
 
-def _table_encoder(df: DataFrame, cols: list[str], big: list[str], m: str, key: str | None,
-                   sizes: dict[str, int]) -> Fitted:
+def _table_encoder(df: DataFrame, cols: list[str], big: list[str], m: str, key: str | None) -> Fitted:
     """Encoders whose vocabulary stays distributed (large columns) while
     small columns keep literal maps."""
     small = [c for c in cols if c not in big]
@@ -225,7 +220,7 @@ def _table_encoder(df: DataFrame, cols: list[str], big: list[str], m: str, key:
             tables[c] = ranked.select("k", (F.col("_pos") + 1).cast("double").alias("v")).unionByName(
                 df.sparkSession.createDataFrame([(None, float(MISSING_CODE))], "k string, v double"))
     default = 0.0 if m in ("frequency", "count") else UNSEEN_CODE
-    return MapFitted(f"encode.{m}", cols, {"maps": maps, "default": default, "_tables": tables, "_sizes": sizes})
+    return MapFitted(f"encode.{m}", cols, {"maps": maps, "default": default, "_tables": tables})
 
 
 def union_vocab(df: DataFrame, variants: dict[str, list[str]]) -> dict[str, list]:
