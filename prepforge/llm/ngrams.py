@@ -36,9 +36,14 @@ def flag_targets(docs: DataFrame, target_ids: DataFrame, out: str) -> DataFrame:
 
 def log_ratios(flagged: DataFrame, n: int, smooth: float = 1.0) -> list[float]:
     """Per bucket log p(target) - log p(raw), add-``smooth`` smoothed.
-    ``flagged`` (grams, target) holds every document; the counts combine
-    before the shuffle and at most ``n`` rows reach the driver."""
-    rows = (flagged.select("target", F.explode("grams").alias("b")).groupBy("b")
+    ``flagged`` (words ``w``, target) holds every document; the counts combine
+    before the shuffle and at most ``n`` rows reach the driver. Each word is
+    exploded with the one after it, so that the buckets (those of ``buckets``)
+    are hashed in generated code."""
+    bucket = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(n)) + 1).cast("int")
+    pairs = flagged.select("target", F.explode(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w")).alias("y"))).alias("z")).select("target", "z.*")
+    grams = pairs.select("target", F.explode(F.array(bucket("x"), F.when(F.col("y").isNotNull(), bucket("x", "y")))).alias("b"))
+    rows = (grams.where(F.col("b").isNotNull()).groupBy("b")
             .agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("own")).collect())
     raw, own = [smooth] * n, [smooth] * n
     for r in rows:

@@ -32,10 +32,12 @@ def repeated_words(df: DataFrame, w: str, out: str) -> DataFrame:
     value up in one of about sqrt(windows) lists, so that a long text takes
     far less than the square of its windows."""
     n = F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))
-    pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    hashes = F.zip_with(pairs, F.slice(w, F.lit(3), n), lambda p, z: F.xxhash64(p["x"], p["y"], z))
-    h, s = f"{out}_h", f"{out}_s"
-    hashed = df.withColumn(h, hashes).withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
+    h, s, one, two = f"{out}_h", f"{out}_s", f"{out}_1", f"{out}_2"
+    tail = lambda a, k: F.slice(a, F.lit(k + 1), n)
+    hashed = df.withColumn(one, F.transform(w, lambda x: F.xxhash64(x)))
+    hashed = hashed.withColumn(two, F.zip_with(tail(one, 0), tail(one, 1), lambda x, y: F.xxhash64(x, y)))
+    hashed = hashed.withColumn(h, F.zip_with(two, tail(one, 2), lambda x, y: F.xxhash64(x, y))).drop(one, two)
+    hashed = hashed.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
 
     def covered(lists: Column) -> Column:
         again = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(F.element_at(lists, (F.pmod(x, F.size(lists)) + 1).cast("int")), x), i)), lambda i: i.isNotNull())
@@ -69,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS) -> list[float] | N
     """Bucket log ratios; None without any target document."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
     flagged = flag_targets(docs.select(col("doc_id").alias("doc_id"), words(col("text")).alias("w")), good, "target")
-    ratios = log_ratios(flagged.select("target", buckets(F.col("w"), n).alias("grams")), n)
+    ratios = log_ratios(flagged, n)
     return ratios if len(set(ratios)) > 1 else None
 
 

@@ -33,7 +33,7 @@ def log_weights(docs: DataFrame, target_ids: DataFrame, n: int = BUCKETS) -> Dat
     """(doc_id, key, log_weight), stored; ``key`` identifies id and text."""
     rows = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
     flagged = flag_targets(rows.select("doc_id", words(F.col("text")).alias("w")), target_ids, "target")
-    ratios = log_ratios(flagged.select("target", buckets(F.col("w"), n).alias("grams")), n)
+    ratios = log_ratios(flagged, n)
     if len(set(ratios)) == 1:  # no target document
         ratios = [0.0] * n
     return store(rows.select("doc_id", coin_key(F.col("doc_id"), F.col("text")).alias("key"), words(F.col("text")).alias("w"))
