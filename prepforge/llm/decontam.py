@@ -9,7 +9,7 @@ document: a shard holds some MB of consecutive rows, and for each term (a
 other terms, rarest first, each list shifted by the term's offset. What is
 left are exact phrase matches. Proximity matches are items whose
 ``NEAR_TERMS`` rarest terms all stand within ``NEAR_WORDS`` words of the
-rarest one, in any order.
+rarest one, in any order (terms equally rare: in the order of their bytes).
 
 Neither step shuffles postings: a document's lists are all in its shard. Only
 term frequencies of the benchmark's words and the matches leave the shards.
@@ -82,10 +82,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
 
 
 class Queries(NamedTuple):
-    """A block of the benchmark: distinct terms; windows by their number of
-    words, as codes into ``terms``; items of each window; all terms of an item."""
+    """A block of the benchmark: distinct terms and their places in byte order;
+    windows by their number of words, as codes into ``terms``; items of each
+    window; all terms of an item."""
 
     terms: np.ndarray
+    places: np.ndarray
     windows: list[tuple[np.ndarray, list[list[int]]]]
     items: list[str | None]
     item_terms: list[np.ndarray]
@@ -94,7 +96,9 @@ class Queries(NamedTuple):
 def parse_items(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Queries:
     texts = pa.array([t for _, t in rows], pa.string())
     w = split_words(texts, alnum_table())
-    terms, codes = np.unique(word_hashes(w), return_inverse=True)
+    terms, at, codes = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+    names = [w.low[s:e].tobytes() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
+    places = np.argsort(np.array(sorted(range(len(names)), key=names.__getitem__), np.int64))
     found: dict[tuple[int, ...], set[int]] = {}
     own = []
     for i in range(len(rows)):
@@ -105,7 +109,7 @@ def parse_items(rows: list[tuple[str | None, str | None]], window: int = WINDOW)
     by: dict[int, list[tuple[int, ...]]] = {}
     for x in found:
         by.setdefault(len(x), []).append(x)
-    return Queries(terms, [(np.array(x, np.int64), [sorted(found[y]) for y in x]) for _, x in sorted(by.items())], [i for i, _ in rows], own)
+    return Queries(terms, places, [(np.array(x, np.int64), [sorted(found[y]) for y in x]) for _, x in sorted(by.items())], [i for i, _ in rows], own)
 
 
 def phrase_matches(keys: np.ndarray, codes: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +146,7 @@ def near_matches(keys: np.ndarray, codes: np.ndarray, terms: np.ndarray, words:
 
 
 def _search_shards(batches: Iterator[pa.RecordBatch], q: Queries, freq: np.ndarray, near_terms: int, near_words: int) -> Iterator[pa.RecordBatch]:
-    rank = np.argsort(np.argsort(freq, kind="stable"), kind="stable")
+    rank = np.argsort(np.lexsort((q.places, freq)), kind="stable")
     rare = [x[np.argsort(rank[x])][:near_terms] if len(x) >= near_terms else None for x in q.item_terms]
     for b in batches:
         shard, words, terms, freqs, steps = (b.column(c) for c in ("shard", "n_words", "terms", "freqs", "steps"))
@@ -227,3 +231,29 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = store(found.where(F.size("spans") > 0).select(F.struct("doc_id", "mark").alias(key)).distinct(), "contaminated")
     keyed = docs.withColumn(key, F.struct(col("doc_id").alias("doc_id"), F.xxhash64(col("text"), F.lit("row")).alias("mark")))
     return keyed.join(bad, keyed[key].eqNullSafe(bad[key]), "left_anti").select(*[col(c) for c in docs.columns])
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Word strings of all lengths that windows have, joined with the windows.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+b AS (SELECT row_number() OVER () AS q, item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT q, item, w, unnest(range(greatest(len(w) - {WINDOW - 1}, 1))) AS i FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS t FROM s),
+m AS (SELECT r, n, i, string_agg(word, ' ') OVER u AS t, count(*) OVER u AS got FROM x, (SELECT DISTINCT n FROM g)
+      WINDOW u AS (PARTITION BY r, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)),
+h AS (SELECT m.r, m.n, m.i, g.item FROM m JOIN g ON m.n = g.n AND m.t = g.t WHERE m.got = m.n),
+o AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r),
+f AS (SELECT word, count(*) AS n FROM x GROUP BY word),
+k AS (SELECT q, item, word, row_number() OVER (PARTITION BY q ORDER BY coalesce(f.n, 0), word) AS k
+      FROM (SELECT DISTINCT q, item, unnest(w) AS word FROM b) LEFT JOIN f USING (word)),
+z AS (SELECT q, item, max(word) FILTER (k = 1) AS t0, max(word) FILTER (k = 2) AS t1, max(word) FILTER (k = 3) AS t2 FROM k GROUP BY q, item HAVING count(*) >= {NEAR_TERMS}),
+y AS (SELECT DISTINCT a.r, z.item FROM z JOIN x a ON a.word = z.t0 JOIN x b ON b.r = a.r AND b.word = z.t1 AND abs(b.i - a.i) <= {NEAR_WORDS}
+      JOIN x c ON c.r = a.r AND c.word = z.t2 AND abs(c.i - a.i) <= {NEAR_WORDS}),
+e AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r),
+v AS (SELECT r, count(DISTINCT item) AS n_near FROM y GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN o USING (r) LEFT JOIN e USING (r) LEFT JOIN v USING (r)
+"""

@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their DuckDB SQL."""
 
-from prepforge.llm import licenses, mixing, revisits
+from prepforge.llm import decontam, licenses, mixing, revisits, substrings
 from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
 from prepforge.llm.licenses import op1_license_scan
@@ -27,5 +27,7 @@ QUERIES = {
 ORACLE = {
     "op1_license_scan": licenses.SQL,
     "op3_warc_revisits": revisits.SQL,
+    "op4_decontamination": decontam.SQL,
     "op5_mixing": mixing.SQL,
+    "op7_substring_dedup": substrings.SQL,
 }

@@ -286,3 +286,17 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read_documents(spark, sf_dir), with_text=False)
+
+
+#: Every window of every text, and the smallest id that has it.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+m AS (SELECT r, doc_id, i, word, md5(string_agg(word, ' ') OVER u) AS t, count(*) OVER u = {WINDOW} AS whole FROM x
+      WINDOW u AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+l AS (SELECT t, min(doc_id) AS least FROM m WHERE whole GROUP BY t),
+b AS (SELECT r, i, word, whole AND least IS NOT NULL AND (doc_id IS NULL OR doc_id > least) AS later FROM m LEFT JOIN l USING (t)),
+g AS (SELECT r, i, word, bool_or(later) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM b),
+k AS (SELECT r, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
