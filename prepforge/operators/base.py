@@ -77,7 +77,8 @@ class Fitted:
         return df.drop(*d) if d else df
 
     def to_json(self) -> str:
-        return json.dumps({"op": self.op, "cols": self.cols, "params": self.params}, default=float)
+        plain = {k: v for k, v in self.params.items() if not k.startswith("_")}
+        return json.dumps({"op": self.op, "cols": self.cols, "params": plain}, default=float)
 
     def renamed(self, mapping: dict[str, str]) -> "Fitted":
         """The same fitted operator reading (and writing) renamed columns:

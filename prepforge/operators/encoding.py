@@ -1,20 +1,21 @@
 """Categorical encoders (ENC1-7).
 
-Vocabularies come from one exploded ``groupBy`` over all columns. A small
-vocabulary becomes a literal map inside the projection (stays in codegen, no
-join); a vocabulary above ``prepforge.lookup.maxInline`` entries is applied
-with an equi-join on the category; Spark picks broadcast or shuffle from the
-table's bytes.
+Vocabularies come from one exploded ``groupBy`` over all columns. Frequency,
+count, ordinal and binary encoders keep theirs as a stored (category, number)
+table, whatever its size, and apply it with a left join on the category: Spark
+broadcasts the table or shuffles by its bytes, and splits hot categories with
+AQE's skew join. NULL needs no table: its number is a parameter. One-hot
+makes a column per category, so its vocabulary is bounded by the width.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.functions.stats import categorical_cols, qcol, value_counts
 from prepforge.operators.base import Fitted, PrepOp, register
-from prepforge.session import conf_int
+from prepforge.session import stored
 
 # Fixed values of the ordinal encoder.
 UNSEEN_CODE = -1
@@ -34,18 +35,6 @@ def _vocab(df: DataFrame, cols: list[str], keep_null: bool, key: str | None = No
     return out
 
 
-def _lookup(c: str, mapping: dict, default) -> Column:
-    """Literal map lookup; NULL input falls back to the ``None`` entry."""
-    items = [(k, v) for k, v in mapping.items() if k is not None]
-    if items:
-        m = F.create_map(*[x for k, v in items for x in (F.lit(k), F.lit(v))])
-        hit = m[qcol(c).cast("string")]
-    else:
-        hit = F.lit(None)
-    null_v = mapping.get(None, default)
-    return F.when(qcol(c).isNull(), F.lit(null_v)).otherwise(F.coalesce(hit, F.lit(default)))
-
-
 def onehot_names(vocab: dict[str, list]) -> dict[tuple[str, str | None], str]:
     """A column name for each (column, category): ``column_category``, with
     ``nan`` for the missing one; a name already given gets ``__1``, ``__2``..."""
@@ -90,53 +79,22 @@ class OneHotFitted(Fitted):
 
 
 class MapFitted(Fitted):
-    """Category -> number (frequency, count, ordinal). Small maps are literal
-    maps in the projection; a map kept as a DataFrame (``_tables``: large
-    vocabulary, never collected) is applied with an equi-join."""
+    """Category -> number (frequency, count, ordinal): ``_tables`` has a
+    DataFrame (k, v) for each column, ``nulls`` the number of the missing
+    category; categories without an entry get ``default``."""
 
     def transform(self, df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
-        inline = conf_int(spark, "prepforge.lookup.maxInline")
-        ex = {}
-        joins = []
         for c in self.cols:
-            tab = (self.params.get("_tables") or {}).get(c)
-            if tab is not None:
-                df = _join_table(df, c, tab, self.params["default"])
-                continue
-            mp = self.params["maps"][c]
-            if len(mp) <= inline:
-                ex[c] = _lookup(c, {(None if k == "\x00null" else k): v for k, v in mp.items()},
-                                self.params["default"]).cast("double")
-            else:
-                joins.append(c)
-        if ex:
-            df = df.withColumns(ex)
-        for c in joins:
-            df = _join_lookup(df, c, self.params["maps"][c], self.params["default"])
+            table = self.params["_tables"][c].select(F.col("k").alias("_lk"), F.col("v").alias("_lv"))
+            known = F.coalesce(F.col("_lv"), F.lit(float(self.params["default"])))
+            value = F.when(qcol(c).isNull(), F.lit(float(self.params["nulls"][c]))).otherwise(known)
+            df = df.join(table, qcol(c).cast("string") == F.col("_lk"), "left").withColumn(c, value).drop("_lk", "_lv")
         return df
 
-
-def _join_lookup(df: DataFrame, c: str, mp: dict, default) -> DataFrame:
-    spark = df.sparkSession
-    rows = [(k, float(v)) for k, v in mp.items() if k != "\x00null"]
-    tab = spark.createDataFrame(rows, "_lk string, _lv double")
-    null_v = mp.get("\x00null", default)
-    j = df.join(tab, qcol(c).cast("string") == F.col("_lk"), "left")
-    val = F.when(qcol(c).isNull(), F.lit(float(null_v))).otherwise(F.coalesce(F.col("_lv"), F.lit(float(default))))
-    return j.withColumn(c, val).drop("_lk", "_lv")
-
-
-def _join_table(df: DataFrame, c: str, tab: DataFrame, default) -> DataFrame:
-    """``tab``: (k string, v double) with k NULL for the missing category."""
-    tab = tab.select(F.col("k").alias("_lk"), F.col("v").alias("_lv"))
-    known = tab.filter(F.col("_lk").isNotNull())
-    null_row = tab.filter(F.col("_lk").isNull()).select(F.col("_lv").alias("_nullv"))
-    j = df.join(known, qcol(c).cast("string") == F.col("_lk"), "left")
-    null_v = null_row.limit(1).collect()
-    nv = null_v[0]["_nullv"] if null_v else default
-    val = F.when(qcol(c).isNull(), F.lit(float(nv))).otherwise(F.coalesce(F.col("_lv"), F.lit(float(default))))
-    return j.withColumn(c, val).drop("_lk", "_lv")
+    def renamed(self, mapping: dict[str, str]) -> "MapFitted":
+        clone = super().renamed(mapping)
+        clone.params["_tables"] = {mapping.get(c, c): t for c, t in self.params["_tables"].items()}
+        return clone
 
 
 class BinaryFitted(MapFitted):
@@ -167,60 +125,42 @@ class Encode(PrepOp):
         if m == "onehot":
             voc = _vocab(df, cols, keep_null=True)
             return OneHotFitted("encode.onehot", cols, {"vocab": {c: [v for v, _, _ in voc[c]] for c in cols}})
-        inline = conf_int(df.sparkSession, "prepforge.lookup.maxInline")
-        sizes = _approx_sizes(df, cols)
-        big = [c for c in cols if sizes[c] > inline]
-        if big and m in ("frequency", "count", "ordinal"):
-            return _table_encoder(df, cols, big, m, self.kw.get("key"))
-        if m in ("frequency", "count"):
-            voc = _vocab(df, cols, keep_null=True)
-            n = df.count() if m == "frequency" else 1
-            maps = {c: {("\x00null" if v is None else v): cnt / n for v, cnt, _ in voc[c]} for c in cols}
-            return MapFitted(f"encode.{m}", cols, {"maps": maps, "default": 0.0})
-        if m in ("ordinal", "binary"):
-            key = self.kw.get("key")
-            voc = _vocab(df, cols, keep_null=False, key=key)
-            maps, bits = {}, {}
-            for c in cols:
-                order = sorted(voc[c], key=lambda t: (t[2], t[0])) if key else voc[c]
-                maps[c] = {v: i + 1 for i, (v, _, _) in enumerate(order)}
-                maps[c]["\x00null"] = MISSING_CODE
-                bits[c] = max(1, len(order).bit_length())
-            cls = BinaryFitted if m == "binary" else MapFitted
-            return cls(f"encode.{m}", cols, {"maps": maps, "default": UNSEEN_CODE, "bits": bits})
+        if m in ("frequency", "count", "ordinal", "binary"):
+            return _table_encoder(df, cols, m, self.kw.get("key"))
         raise ValueError(f"unknown encoding {m}")
 
 
-def _approx_sizes(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Vocabulary sizes (HyperLogLog, inflated for its ~5% error)."""
-    from prepforge.functions.stats import agg_row
-    row = agg_row(df, {f"d{i}": F.approx_count_distinct(qcol(c)) for i, c in enumerate(cols)})
-    return {c: int(row[f"d{i}"] * 1.25) + 1 for i, c in enumerate(cols)}
-
-
-def _table_encoder(df: DataFrame, cols: list[str], big: list[str], m: str, key: str | None) -> Fitted:
-    """Encoders whose vocabulary stays distributed (large columns) while
-    small columns keep literal maps."""
-    small = [c for c in cols if c not in big]
-    maps, tables = {}, {}
-    if small:
-        sub = Encode(m, **({"key": key} if key else {})).fit(df, small)
-        maps.update(sub.params["maps"])
-    n = df.count() if m == "frequency" else 1
-    for c in big:
-        if m in ("frequency", "count"):
-            tables[c] = (df.groupBy(qcol(c).cast("string").alias("k"))
-                         .agg((F.count(F.lit(1)) / F.lit(n)).cast("double").alias("v")))
-        else:
-            from prepforge.plans.catalog import global_positions
-            first = (df.filter(qcol(c).isNotNull())
-                     .groupBy(qcol(c).cast("string").alias("k"))
-                     .agg((F.min(qcol(key)) if key else F.lit(0)).alias("fk")))
-            ranked, _ = global_positions(first, ["fk", "k"])
-            tables[c] = ranked.select("k", (F.col("_pos") + 1).cast("double").alias("v")).unionByName(
-                df.sparkSession.createDataFrame([(None, float(MISSING_CODE))], "k string, v double"))
-    default = 0.0 if m in ("frequency", "count") else UNSEEN_CODE
-    return MapFitted(f"encode.{m}", cols, {"maps": maps, "default": default, "_tables": tables})
+def _table_encoder(df: DataFrame, cols: list[str], m: str, key: str | None) -> Fitted:
+    """The vocabularies of all columns as one stored table (name, k, v). Only
+    two counts a column reach the driver. Ordinal codes follow the first key
+    (without a key the category), by positions over all columns together."""
+    from prepforge.plans.catalog import global_positions
+    counts = stored(value_counts(df, cols, key=key, keep_null=True), "vocabulary")
+    sizes = {r["name"]: r for r in counts.groupBy("name").agg(
+        F.count_if(~F.col("isnull")).alias("known"), F.sum("cnt").alias("n"), F.sum(F.when(F.col("isnull"), F.col("cnt"))).alias("missing")).collect()}
+    known = counts.where(~F.col("isnull"))
+    nulls, bits = {}, {}
+    if m in ("frequency", "count"):
+        for c in cols:
+            missing, n = (sizes[c]["missing"] or 0, sizes[c]["n"]) if c in sizes else (0, 1)
+            nulls[c] = missing / (n if m == "frequency" else 1)
+        total = max((r["n"] for r in sizes.values()), default=1) if m == "frequency" else 1
+        table = known.select("name", F.col("s").alias("k"), (F.col("cnt") / F.lit(total)).cast("double").alias("v"))
+        default = 0.0
+    else:
+        before, acc = {}, 0
+        for c in sorted(cols):
+            n = sizes[c]["known"] if c in sizes else 0
+            before[c], nulls[c], bits[c] = acc, MISSING_CODE, max(1, n.bit_length())
+            acc += n
+        placed, _ = global_positions(known, ["name", *(["first_key"] if key else []), "s"])
+        start = F.create_map(*[F.lit(x) for c, n in before.items() for x in (c, n)])
+        table = placed.select("name", F.col("s").alias("k"), (F.col("_pos") - start[F.col("name")] + 1).cast("double").alias("v"))
+        default = UNSEEN_CODE
+    table = stored(table, "encoder")
+    tables = {c: table.where(F.col("name") == c).select("k", "v") for c in cols}
+    cls = BinaryFitted if m == "binary" else MapFitted
+    return cls(f"encode.{m}", cols, {"nulls": nulls, "default": default, "bits": bits, "_tables": tables})
 
 
 def union_vocab(df: DataFrame, variants: dict[str, list[str]]) -> dict[str, list]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,6 @@ CONF_DEFAULTS = {
     "prepforge.percentile.maxDistinct": "200000",
     # largest number of values the radix select fetches to the driver
     "prepforge.radix.collectMax": "100000",
-    # largest category vocabulary inlined as a literal map in a projection;
-    # larger vocabularies are joined (broadcast if small enough, else shuffled)
-    "prepforge.lookup.maxInline": "20000",
     # rows per block in the blocked exact kNN
     "prepforge.knn.blockRows": "4096",
 }
@@ -85,3 +83,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of executors, unlike a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: its size is then known from its files, so joins with it choose
+    their side by bytes, and nothing is computed twice."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepforge.functions.stats import agg_row, categorical_cols, is_numeric, numeric_cols, qcol
+from prepforge.session import stored
 
 # The tokens pandas.read_csv reads as missing by default
 # (public pandas behaviour), in its documented order.
@@ -163,28 +164,23 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def rare_class_filter(df: DataFrame, label: str, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
     """SRC11: keep rows of classes with at least ``min_rows`` rows. The class
-    table is tiny for a classification target (its size is checked), so it
-    is broadcast into a left-semi join; no shuffle of the data rows."""
+    table joins with a left-semi join; Spark broadcasts it if its bytes allow."""
     keep = class_counts(df, label).filter(F.col("n_rows") >= min_rows).select(label)
-    return df.join(_maybe_broadcast(keep), on=label, how="left_semi")
-
-
-def _maybe_broadcast(small: DataFrame, limit_rows: int = 1_000_000) -> DataFrame:
-    n = small.count()
-    return F.broadcast(small) if n <= limit_rows else small
+    return df.join(keep, on=label, how="left_semi")
 
 
 def label_table(df: DataFrame, label: str) -> DataFrame:
-    """LBL1: sorted distinct labels -> 0..K-1. The window runs over the K-row
-    table only."""
-    from pyspark.sql import Window
+    """LBL1: sorted distinct labels -> 0..K-1, stored; positions come from
+    range slices, so a label with many values needs no single task."""
+    from prepforge.plans.catalog import global_positions
     d = df.select(qcol(label).alias("label_value")).filter(F.col("label_value").isNotNull()).distinct()
-    return d.withColumn("label_index", (F.dense_rank().over(Window.orderBy("label_value")) - 1).cast("int"))
+    placed, _ = global_positions(d, ["label_value"])
+    return stored(placed.select("label_value", F.col("_pos").cast("int").alias("label_index")), "labels")
 
 
 def encode_label(df: DataFrame, label: str, out: str = "label") -> DataFrame:
     lt = label_table(df, label)
-    j = df.join(_maybe_broadcast(lt), qcol(label) == F.col("label_value"), "left")
+    j = df.join(lt, qcol(label) == F.col("label_value"), "left")
     j = j.drop("label_value")
     if out == label:
         return j.drop(label).withColumnRenamed("label_index", out)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from prepforge.operators.base import Fitted
 
+VOCABULARY = "pos int, name string, k string, v double"
+
 
 def save_dataset(df: DataFrame, card: DataFrame, path: str, fmt: str = "parquet") -> None:
     """SNK1: the data plus a one-row dataset card (``info``) beside it."""
@@ -38,22 +40,27 @@ def space_table(spark: SparkSession, space) -> DataFrame:
 
 
 def save_model(spark: SparkSession, steps: list[tuple[str, Fitted]], path: str) -> None:
-    """SNK5 (write side): the fitted steps as JSON rows. Steps whose state is
-    a table or a trained model (kNN, MICE, tree and EM imputation, LOF,
-    isolation forest, encoders with a stored vocabulary) are refused here,
-    not at reload."""
+    """SNK5 (write side): the fitted steps as JSON rows, the encoders'
+    vocabularies as a table beside them. Steps whose state is rows or a
+    trained model (kNN, MICE, tree and EM imputation, LOF, isolation forest)
+    are refused here, not at reload."""
     for step, f in steps:
         if not _saves(f):
             raise TypeError(f"{step}: a fitted {f.op} can't be saved as JSON")
     rows = [(i, s, f.to_json()) for i, (s, f) in enumerate(steps)]
-    spark.createDataFrame(rows, "pos int, step string, fitted string").coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(rows, "pos int, step string, fitted string").coalesce(1).write.mode("overwrite").parquet(f"{path}/steps")
+    words = spark.createDataFrame([], VOCABULARY)
+    for i, (_, f) in enumerate(steps):
+        for c, table in (f.params.get("_tables") or {}).items():
+            words = words.unionAll(table.select(F.lit(i).alias("pos"), F.lit(c).alias("name"), "k", "v"))
+    words.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def _saves(f: Fitted) -> bool:
     from prepforge.operators import discretize, encoding, imputation, outliers, reduction, scaling, selection
     plain = (Fitted, imputation.FillFitted, scaling.ScaleFitted, outliers.RepairFitted, outliers.RowFilterFitted, discretize.BinFitted,
              selection.SelectFitted, reduction.ProjectFitted, encoding.OneHotFitted, encoding.BinaryFitted, encoding.MapFitted)
-    return type(f) in plain and not any(k.startswith("_") and v for k, v in f.params.items())
+    return type(f) in plain and not any(k.startswith("_") and k != "_tables" and v for k, v in f.params.items())
 
 
 def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
@@ -65,7 +72,8 @@ def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
         "reduce": reduction.ProjectFitted,
     }
     out = []
-    for r in spark.read.parquet(path).orderBy("pos").collect():
+    words = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary")
+    for r in spark.read.parquet(f"{path}/steps").orderBy("pos").collect():
         d = json.loads(r["fitted"])
         op = d["op"]
         if op == "encode.onehot":
@@ -78,6 +86,8 @@ def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
             cls = kinds.get(op.split(".")[0], Fitted)
             if op.endswith(".none") or op.endswith(".identity"):
                 cls = Fitted if op.split(".")[0] not in ("impute", "remove", "select") else cls
+        if issubclass(cls, encoding.MapFitted):
+            d["params"]["_tables"] = {c: words.where((F.col("pos") == r["pos"]) & (F.col("name") == c)).select("k", "v") for c in d["cols"]}
         out.append((r["step"], cls(op, d["cols"], d["params"])))
     return out
 

@@ -1,6 +1,7 @@
 """Hand-written edge frames: every statistic's corner case."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,22 +195,30 @@ def test_nan_becomes_null(spark):
     assert not math.isnan(S.agg_row(out, {"m": F.avg("x")})["m"])
 
 
-def test_large_vocab_stays_distributed(spark):
+def test_vocabulary_tables_against_python(spark):
     rows = [(i, None if i % 9 == 0 else f"v{i % 13}") for i in range(200)]
     df = spark.createDataFrame(rows, "k long, s string")
-    want = {}
-    for m in ("count", "frequency", "ordinal"):
+    n = Counter(v for _, v in rows)
+    code = {v: i + 1.0 for i, v in enumerate(dict.fromkeys(v for _, v in rows if v is not None))} | {None: -2.0}
+    for m, want in (("count", n), ("frequency", {v: x / 200 for v, x in n.items()}), ("ordinal", code)):
         f = Encode(m, key="k").fit(df, ["s"])
-        want[m] = sorted(map(tuple, f.transform(df).select("k", "s").collect()))
-    spark.conf.set("prepforge.lookup.maxInline", "2")
-    try:
-        for m in ("count", "frequency", "ordinal"):
-            f = Encode(m, key="k").fit(df, ["s"])
-            assert "_tables" in f.params and "s" in f.params["_tables"]
-            got = sorted(map(tuple, f.transform(df).select("k", "s").collect()))
-            assert got == want[m], m
-    finally:
-        spark.conf.unset("prepforge.lookup.maxInline")
+        got = {r["k"]: r["s"] for r in f.transform(df).select("k", "s").collect()}
+        assert got == {k: want[v] for k, v in rows}, m
+
+
+def test_encoders_of_several_columns_save_and_reload(spark, tmp_path):
+    from prepforge.sources.sinks import load_model, save_model
+    df = spark.createDataFrame([(1, "b", "x", 7), (2, None, "y", 8), (3, "a", "y", 7), (4, "b", None, 9)], "k long, a string, B string, _n int")
+    for m in ("frequency", "count", "ordinal", "binary"):
+        f = Encode(m, key="k").fit(df, ["a", "B"])
+        save_model(spark, [("encoding", f)], str(tmp_path / m))
+        (_, g), = load_model(spark, str(tmp_path / m))
+        new = df.unionByName(spark.createDataFrame([(5, "zz", None, 1)], df.schema))
+        assert sorted(map(tuple, f.transform(new).collect())) == sorted(map(tuple, g.transform(new).collect()))
+    got = {r["k"]: (r["a"], r["B"]) for r in Encode("ordinal", key="k").fit(df, ["a", "B"]).transform(new).collect()}
+    assert got == {1: (1.0, 1.0), 2: (-2.0, 2.0), 3: (2.0, 2.0), 4: (1.0, -2.0), 5: (-1.0, -2.0)}
+    empty = Encode("ordinal").fit(df.limit(0), ["a"]).transform(df)
+    assert sorted(r["a"] for r in empty.collect()) == [-2.0, -1.0, -1.0, -1.0]
 
 
 def test_ntile_matches_definition(spark):
