@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.functions.stats import qcol
+from prepforge.session import stored
 
 FEATURES = "features"
 LABEL = "label"
@@ -38,6 +39,14 @@ def assemble(df: DataFrame, feats: list[str], label: str | None = None) -> DataF
     return out
 
 
+def vectors(prepared: DataFrame, feats: list[str], label: str, split_col: str = "split", weight: str | None = None) -> DataFrame:
+    """The narrow (split, label, weight, features) of a prepared frame, stored
+    once: every pass of every model and grid point reads it instead of
+    preparing the rows again."""
+    data = assemble(prepared, feats, label)
+    return stored(data.select(qcol(split_col).alias("split"), F.col(LABEL), *([qcol(weight).alias("weight")] if weight else []), FEATURES), "vectors")
+
+
 def train_logreg(train: DataFrame, weight: str | None = None, reg: float = 0.0, max_iter: int = 100,
                  tol: float = 1e-6):
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, family="multinomial", standardization=False,
@@ -73,14 +82,11 @@ class RunResult:
                 "best_test_acc": self.best_test_acc, "seconds": self.seconds}
 
 
-def fit_and_score(prepared: DataFrame, feats: list[str], label: str, split_col: str = "split",
-                  weight: str | None = None, reg: float = 0.0, max_iter: int = 100) -> tuple[object, RunResult]:
-    """Train on the train split, score all splits (EVL1-3, EVL5)."""
+def score_vectors(data: DataFrame, reg: float = 0.0, max_iter: int = 100) -> tuple[object, RunResult]:
+    """Train on the train split of ``vectors``, score all splits (EVL1-3, EVL5)."""
     t0 = time.time()
-    data = assemble(prepared, feats, label)
-    train = data.filter(F.col(split_col) == "train")
-    model = train_logreg(train, weight=weight, reg=reg, max_iter=max_iter)
-    m = split_metrics(model.transform(data), split_col)
+    model = train_logreg(data.filter("split = 'train'"), weight="weight" if "weight" in data.columns else None, reg=reg, max_iter=max_iter)
+    m = split_metrics(model.transform(data))
     nan = float("nan")
     res = RunResult(model.summary.totalIterations if model.hasSummary else max_iter,
                     m.get("val", {}).get("loss", nan), m.get("train", {}).get("acc", nan),
@@ -88,6 +94,12 @@ def fit_and_score(prepared: DataFrame, feats: list[str], label: str, split_col:
     return model, res
 
 
+def fit_and_score(prepared: DataFrame, feats: list[str], label: str, split_col: str = "split",
+                  weight: str | None = None, reg: float = 0.0, max_iter: int = 100) -> tuple[object, RunResult]:
+    """``score_vectors`` of a prepared frame."""
+    return score_vectors(vectors(prepared, feats, label, split_col, weight), reg, max_iter)
+
+
 def expand_grid(params: dict) -> list[dict]:
     """EVL6: list-valued entries are the grid (product in key order)."""
     keys = list(params)
@@ -115,6 +127,21 @@ def grid_search(spark, run, params: dict, skip_failed: bool = False) -> DataFram
     return spark.createDataFrame(rows, TRIALS_SCHEMA)
 
 
+def random_search(spark, prepare, n: int = 20, grid: dict | None = None, seed: int = 0, skip_failed: bool = False) -> DataFrame:
+    """EVL7: ``n`` random pipelines, each with all points of the model's grid.
+    ``prepare(seed)`` gives the ``vectors`` of one pipeline; they are made
+    once a pipeline."""
+    made: dict = {}
+
+    def run(p: dict) -> RunResult:
+        if p["seed"] not in made:
+            made.clear()
+            made[p["seed"]] = prepare(p["seed"])
+        return score_vectors(made[p["seed"]], **{k: v for k, v in p.items() if k != "seed"})[1]
+
+    return grid_search(spark, run, {"seed": list(range(seed, seed + n)), **(grid or {})}, skip_failed)
+
+
 def best_trial(trials: DataFrame) -> DataFrame:
     """Lowest validation loss (ties: lowest trial id)."""
     return trials.filter(F.col("status") == "ok").agg(
@@ -124,9 +151,9 @@ def best_trial(trials: DataFrame) -> DataFrame:
 def leaderboard(prepared: DataFrame, feats: list[str], label: str, n_classes: int, split_col: str = "split",
                 seed: int = 0) -> DataFrame:
     """EVL10 + EVL12: several MLlib models fitted on train+val, scored on test."""
-    data = assemble(prepared, feats, label)
-    fit_rows = data.filter(F.col(split_col).isin("train", "val"))
-    test = data.filter(F.col(split_col) == "test")
+    data = vectors(prepared, feats, label, split_col)
+    fit_rows = data.filter(F.col("split").isin("train", "val"))
+    test = data.filter(F.col("split") == "test")
     p = len(feats)
     models = {
         "logistic_regression": LogisticRegression(family="multinomial", standardization=False, maxIter=100),

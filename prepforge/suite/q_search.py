@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prepforge.plans import choices as CH
 from prepforge.plans import history as HI
-from prepforge.plans.evaluate import comparison, fit_and_score, grid_search, leaderboard
+from prepforge.plans.evaluate import comparison, fit_and_score, grid_search, leaderboard, random_search, score_vectors, vectors
 from prepforge.plans.pipeline import PrepPipeline
 from prepforge.plans.space import SPACE_B, SpacePipeline, random_choices
 from prepforge.suite.frames import SQL_C, SQL_H, frame_C, frame_H, frame_Q
@@ -47,10 +47,19 @@ def q_choice_gumbel(spark, sf):
     return CH.gumbel_argmax(frame_C(spark, sf), seed=7).select("stage", "feature", "option")
 
 
-@query("sinkhorn_order")
+@query("sinkhorn_order", f"""WITH RECURSIVE c AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY option) - 1 AS j, logit FROM {_C}),
+x AS (SELECT f.feature, f.i, f.j, coalesce(c.logit * (f.i + 1), 0) AS v
+      FROM (SELECT feature, unnest(range(5)) AS i, j FROM (SELECT feature, unnest(range(5)) AS j FROM (SELECT DISTINCT feature FROM c))) f
+      LEFT JOIN c ON c.feature IS NOT DISTINCT FROM f.feature AND c.j = f.j),
+m AS (SELECT feature, i, j, exp(v - max(v) OVER (PARTITION BY feature)) AS m, 0 AS t, false AS done FROM x
+  UNION ALL
+  SELECT feature, i, j, m, t + 1, max(greatest(abs(by_row - 1), abs(by_col - 1))) OVER (PARTITION BY feature) < {CH.SINKHORN_TOL} FROM (
+    SELECT *, sum(m) OVER (PARTITION BY feature, i) AS by_row, sum(m) OVER (PARTITION BY feature, j) AS by_col FROM (
+      SELECT feature, i, j, t, m / sum(m) OVER (PARTITION BY feature, j) AS m FROM (
+        SELECT feature, i, j, t, m / sum(m) OVER (PARTITION BY feature, i) AS m FROM m WHERE NOT done AND t < {CH.SINKHORN_ITERS}))))
+SELECT feature, i::INTEGER AS position, j::INTEGER AS stage_idx, round(m, 6) AS prob FROM m QUALIFY t = max(t) OVER (PARTITION BY feature)""")
 def q_sinkhorn(spark, sf):
-    """Rows-only (pytest checks row and column sums): per feature a 5x5
-    order matrix from its option logits."""
+    """Per feature a 5x5 order matrix from its option logits."""
     c = frame_C(spark, sf)
     from pyspark.sql import Window
     w = Window.partitionBy("feature").orderBy("option")
@@ -100,10 +109,19 @@ def q_result_summary(spark, sf):
     return rounded(HI.result_summary(frame_H(spark, sf)))
 
 
-@query("early_stop")
+@query("early_stop", f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY epoch) AS k FROM ({SQL_H})),
+s AS (SELECT DISTINCT trial, 0::BIGINT AS k, 'inf'::DOUBLE AS bl, NULL::DOUBLE AS ba, NULL::INTEGER AS be, '-inf'::DOUBLE AS last,
+             {HI.PATIENCE} AS pat, NULL::INTEGER AS stop FROM h
+  UNION ALL
+  SELECT trial, k, bl, ba, be, CASE WHEN small THEN last ELSE ba END, CASE WHEN small THEN pat - 1 ELSE {HI.PATIENCE} END,
+         CASE WHEN small AND pat <= 1 THEN epoch END FROM (
+    SELECT *, ba - last < {HI.MIN_GAIN} AS small FROM (
+      SELECT h.trial, h.k, h.epoch, s.last, s.pat, least(h.val_loss, s.bl) AS bl, CASE WHEN h.val_loss < s.bl THEN h.val_acc ELSE s.ba END AS ba,
+             CASE WHEN h.val_loss < s.bl THEN h.epoch ELSE s.be END AS be
+      FROM s JOIN h ON h.trial = s.trial AND h.k = s.k + 1 WHERE s.stop IS NULL)))
+SELECT trial, stop AS stop_epoch, be AS best_epoch, round(ba, 6) AS best_val_acc FROM s QUALIFY k = max(k) OVER (PARTITION BY trial)""")
 def q_early_stop(spark, sf):
-    """Rows-only: the stopping rule replayed per trial (pytest replays it in
-    plain Python)."""
+    """The stopping rule replayed per trial."""
     return rounded(HI.early_stop(frame_H(spark, sf)))
 
 
@@ -137,26 +155,22 @@ def q_train_eval(spark, sf):
 def q_grid(spark, sf):
     df = _Q(spark, sf)
     out, feats = _prep_default(df)
-    out = out.persist()
-    trials = grid_search(spark, lambda p: fit_and_score(out, feats, "label", reg=p["reg"], max_iter=p["max_iter"])[1],
+    data = vectors(out, feats, "label")
+    trials = grid_search(spark, lambda p: score_vectors(data, **p)[1],
                          {"reg": [0.0, 0.01, 0.1], "max_iter": [50, 100]})
     return trials.drop("seconds")
 
 
 @query("random_search")
 def q_random(spark, sf):
-    """EVL7 with 4 seeded pipelines of search space B (library default 20)."""
+    """EVL7: seeded pipelines of search space B, each with every grid point."""
     df = _Q(spark, sf)
-    num, cat = ["n_chars"], ["lang", "source"]
 
-    def run(p):
-        ch = random_choices(SPACE_B, num, cat, seed=p["seed"])
-        m = SpacePipeline(SPACE_B, ch).fit(df, Q_FEATS, "label", "split", key="doc_id")
-        prepared = m.transform(df, with_weight=True)
-        return fit_and_score(prepared, m.features, "label", weight="_row_weight")[1]
+    def prepare(seed):
+        m = SpacePipeline(SPACE_B, random_choices(SPACE_B, ["n_chars"], ["lang", "source"], seed=seed)).fit(df, Q_FEATS, "label", "split", key="doc_id")
+        return vectors(m.transform(df, with_weight=True), m.features, "label", weight="_row_weight")
 
-    trials = grid_search(spark, run, {"seed": [0, 1, 2, 3]})
-    return trials.drop("seconds")
+    return random_search(spark, prepare, grid={"reg": [0.0, 0.01]}).drop("seconds")
 
 
 @query("leaderboard")
