@@ -6,16 +6,19 @@ character Markov models, of random strings and of ordinary identifiers, are
 counted from labelled samples; a long token whose mean log-likelihood ratio
 per character exceeds ``MIN_RATIO`` is a secret.
 
-Training samples: the values that the base patterns find in all texts (label
-random), and the letter words of about ``SAMPLE_DOCS`` documents, taken by
-hash (label ordinary). Only the character-pair counts reach the driver; they
-are bounded by the alphabet. Every whole text is scanned.
+Training samples of label random: strings drawn by hash from each alphabet of
+``RANDOM``, and the values that the base patterns find in all texts, which
+count at most as much as one alphabet. Of label ordinary: the words of about
+``SAMPLE_DOCS`` documents, taken by hash, outside the base patterns' matches,
+as they stand, in upper case, and joined to identifiers with and without
+numbers; long words with digits could be secrets and teach nothing. Only the character-pair counts reach the driver; they are bounded by the alphabet.
+Every whole text is scanned.
 
 Match positions come from the pieces around the matches (``split`` and
 ``regexp_extract_all`` see the same matches), in code points.
 
-Defined results: NULL text is empty. Without samples of both labels the model
-adds no span. Rows are scanned one by one, repeated ones alike.
+Defined results: NULL text is empty. Without ordinary words the model adds no
+span. Rows are scanned one by one, repeated ones alike.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepforge.llm.util import col, fresh, read_documents
+from prepforge.llm.util import col, fresh, let, read_documents
 
 # The base patterns, kinds in order of listing (letters of the names in either case).
 NAMES = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -36,8 +39,15 @@ MIN_VALUE = 6
 
 #: Tokens the models judge, and ordinary words they learn from.
 TOKEN = "[A-Za-z0-9+/_-]{16,}"
-WORD = "[A-Za-z_-]{5,}"
+WORD = "[A-Za-z0-9_-]{5,}"
+#: A word this long is judged itself.
+LONG = 16
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
+_LOWER, _UPPER, _DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: Alphabets of random strings, so many strings of each, and their length.
+RANDOM = {"hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "upper": _UPPER + _DIGITS, "lower": _LOWER + _DIGITS,
+          "base62": _LOWER + _UPPER + _DIGITS, "base64": _LOWER + _UPPER + _DIGITS + "+/", "base64url": _LOWER + _UPPER + _DIGITS + "-_"}
+RANDOM_TOKENS, RANDOM_CHARS = 2000, 32
 #: About how many documents give ordinary words.
 SAMPLE_DOCS = 2000
 #: Mean log-likelihood ratio (nats a character) above which a token is random.
@@ -87,29 +97,63 @@ def base_spans(df: DataFrame, text: str, extra: dict[str, str] | None = None) ->
     return out.withColumn("assign", F.filter("assign", lambda x: F.length(x["v"]) >= MIN_VALUE))
 
 
+def random_strings(spark: SparkSession, n: int = RANDOM_TOKENS, chars: int = RANDOM_CHARS) -> DataFrame:
+    """(part, token): ``n`` strings of each alphabet, the same in every run."""
+    letters = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(a).alias("a")) for k, a in RANDOM.items()])
+    rows = spark.range(n).select("id", F.explode(letters).alias("x")).select("id", "x.*")
+    draw = lambda i: F.substr(F.col("a"), (F.pmod(F.xxhash64("id", "part", i), F.length("a")) + 1).cast("int"), F.lit(1))
+    return rows.select("part", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(chars)), draw), "").alias("token"))
+
+
+def identifiers(words: Column, seed: Column) -> Column:
+    """Words as they stand, in upper case, and every three of them joined in
+    four ways; each joined word has a number after it one time in eight."""
+
+    def numbered(w: Column, i: Column) -> Column:
+        h = F.xxhash64(w, i, seed)
+        return F.when(F.pmod(h, F.lit(8)) == 0, F.concat(w, F.pmod(F.shiftright(h, 3), F.lit(1000)).cast("string"))).otherwise(w)
+
+    first = F.filter(F.transform(words, lambda _, i: i), lambda i: (i % 3 == 0) & (i + 3 <= F.size(words)))
+    threes = F.transform(first, lambda i: F.transform(F.slice(words, i + 1, F.lit(3)), lambda w, k: numbered(w, i + k)))
+    hump = lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.lower(F.substr(w, F.lit(2))))
+    join = lambda form, sep: F.transform(threes, lambda t: F.array_join(F.transform(t, form), sep))
+    lower, upper = lambda w: F.lower(w), lambda w: F.upper(w)
+    return F.concat(words, F.transform(words, upper), join(lower, "_"), join(upper, "_"), join(hump, ""), join(lower, "-"))
+
+
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(random, token) from the texts themselves."""
+    """(random, part, token): strings of all alphabets, and values and words
+    from the texts themselves."""
     texts = docs.select(F.coalesce(col("text"), F.lit("")).alias("t"), F.xxhash64(col("doc_id"), col("text"), F.lit("train")).alias("h"))
     secrets = base_spans(texts.select("t"), "t").select(F.explode(F.concat(
         F.transform("assign", lambda x: x["v"]), F.transform("access", lambda x: F.substr(x["v"], F.lit(5))), F.transform("hex", lambda x: x["v"]))).alias("token"))
     n = docs.count()
-    some = texts.where(F.pmod("h", F.lit(max(n, 1))) < sample_docs).select(F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("token"))
-    return secrets.select(F.lit(True).alias("random"), "token").unionAll(some.select(F.lit(False), "token"))
+    some = texts.where(F.pmod("h", F.lit(max(n, 1))) < sample_docs)
+    plain = F.regexp_replace("t", "|".join(f"(?:{p})" for p in PATTERNS.values()), " ")
+    words = F.filter(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: (F.length(w) < LONG) | ~w.rlike("[0-9]"))
+    some = some.select(F.explode(let(words, lambda w: identifiers(w, F.col("h")))).alias("token"))
+    return (random_strings(docs.sparkSession).select(F.lit(True).alias("random"), "part", "token")
+            .unionAll(secrets.select(F.lit(True), F.lit("found"), "token")).unionAll(some.select(F.lit(False), F.lit("words"), "token")))
 
 
 def train(samples: DataFrame) -> list[float] | None:
     """Log-likelihood ratios of all character pairs (add-one smoothed; the
-    first row is the start of a token), or None if a label has no sample."""
+    first row is the start of a token), or None if a label has no sample.
+    Where samples have a ``part``, values found in texts count in proportion,
+    as many characters as one alphabet's strings at most."""
     k = len(ALPHABET)
     token = F.concat(F.lit("^"), F.col("token"))
-    pairs = samples.where(F.length("token") > 0).select("random", F.explode(F.transform(
+    part = F.col("part") if "part" in samples.columns else F.lit("")
+    pairs = samples.where(F.length("token") > 0).select("random", part.alias("part"), F.explode(F.transform(
         F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substr(token, i, F.lit(2)))).alias("pair"))
-    counts = pairs.groupBy("random", "pair").count().collect()
+    counts = pairs.groupBy("random", "part", "pair").count().collect()
+    found = sum(r["count"] for r in counts if r["part"] == "found")
+    share = min(1.0, RANDOM_TOKENS * RANDOM_CHARS / found) if found else 1.0
     table = {x: [[1.0] * k for _ in range(k + 1)] for x in (True, False)}
     for r in counts:
         a, b = ALPHABET.find(r["pair"][0]) + 1, ALPHABET.find(r["pair"][1])
         if b >= 0:
-            table[r["random"]][a][b] += r["count"]
+            table[r["random"]][a][b] += r["count"] * (share if r["part"] == "found" else 1)
     if {r["random"] for r in counts} != {True, False}:
         return None
     part = {x: [[math.log(c / sum(row)) for c in row] for row in t] for x, t in table.items()}

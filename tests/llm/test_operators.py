@@ -5,6 +5,7 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import (SCHEMA, alnum, benchmark, components, corpus, counts, decontaminated, fingerprint, fold, grams, labels, listed, log_ratios, masked, mixed, secrets, spaced,
@@ -371,6 +372,20 @@ def test_markov_model(spark):
     assert found == ["7f3a9c0e1b5d2846aa0c", "x81vQ7bR4kLm2pW0Zy6H"]
 
 
+def test_markov_alphabets(spark):
+    """Planted tokens of every alphabet are found at the operator's threshold, ordinary ones are not."""
+    import random
+    rnd = random.Random(11)
+    docs = read_documents(spark, "/root/testdata/sf0.01")
+    model = secretscan.train(secretscan.labelled_samples(docs))
+    planted = [(k, "".join(rnd.choice(a) for _ in range(40))) for k, a in secretscan.RANDOM.items() for _ in range(100)]
+    planted += [("ordinary", x) for x in ("2353820953013749", "thatonblebleatther", "THATONBLEBLEATTHER", "theration_dieheit_reat2")]
+    rows = spark.createDataFrame(planted, "k string, v string").withColumn("ratio", secretscan.log_ratio(F.col("v"), model)).collect()
+    found = {k: [r["ratio"] > secretscan.MIN_RATIO for r in rows if r["k"] == k] for k in {r["k"] for r in rows}}
+    assert not any(found.pop("ordinary"))
+    assert {k: sum(x) / len(x) for k, x in found.items() if sum(x) < 0.8 * len(x)} == {}
+
+
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"ä token={i:08x} 😀" for i in range(700))
     got = secretscan.base_spans(spark.createDataFrame([(text,)], "t string"), "t").select(secretscan.listing(list(secretscan.PATTERNS)).alias("x")).first()["x"]
