@@ -4,7 +4,7 @@ Three pattern kinds are the base: assignments to password-like names, access
 keys, long hexadecimal runs. The method adds kind ``markov``: two first-order
 character Markov models, of random strings and of ordinary identifiers, are
 counted from labelled samples; a long token whose mean log-likelihood ratio
-per character exceeds ``MIN_RATIO`` is a secret.
+per character exceeds ``MIN_RATIO`` is a secret, unless it lies within a base span.
 
 Training samples of label random: strings drawn by hash from each alphabet of
 ``RANDOM``, and the values that the base patterns find in all texts, which
@@ -175,8 +175,8 @@ def scan(df: DataFrame, text: str, model: list[float] | None, min_ratio: float =
     if model is None:
         return out.withColumn("markov", F.slice("markov", 1, 0))
     base = reduce(lambda a, b: F.concat(a, b), [F.col(k) for k in PATTERNS])
-    apart = lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return out.withColumn("markov", F.filter("markov", lambda c: apart(c) & (log_ratio(c["v"], model) > min_ratio)))
+    beyond = lambda c: ~F.exists(base, lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"]))
+    return out.withColumn("markov", F.filter("markov", lambda c: beyond(c) & (log_ratio(c["v"], model) > min_ratio)))
 
 
 def listing(kinds: list[str]) -> Column:

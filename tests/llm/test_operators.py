@@ -386,6 +386,15 @@ def test_markov_alphabets(spark):
     assert {k: sum(x) / len(x) for k, x in found.items() if sum(x) < 0.8 * len(x)} == {}
 
 
+def test_markov_beyond_base_span(spark):
+    """A token that goes on around a base span is kept whole; one within is dropped."""
+    token = "x81vQ7bR4kLm2pW0Zy6H" + "0123456789abcdef01234567" + "Kq9Zt4Xv"
+    model = [2.0] * (len(secretscan.ALPHABET) * (len(secretscan.ALPHABET) + 1))
+    df = spark.createDataFrame([(f"a {token} b token={'Zm9vYmFyYmF6cXV4MTIz'} c",)], "t string")
+    r = secretscan.scan(df, "t", model).select("hex.s", "markov.v").first()
+    assert (r["s"], r["v"]) == ([22], [token])
+
+
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"ä token={i:08x} 😀" for i in range(700))
     got = secretscan.base_spans(spark.createDataFrame([(text,)], "t string"), "t").select(secretscan.listing(list(secretscan.PATTERNS)).alias("x")).first()["x"]
