@@ -52,22 +52,21 @@ class Model(NamedTuple):
 
 def learn(docs: DataFrame, train: Column, text: str = "text", label: str = "lang",
           docs_per_lang: int = DOCS_PER_LANG, excerpt: int = EXCERPT) -> Model:
-    """Dictionaries from a sample in hash order; per language at most
-    ``docs_per_lang * excerpt`` code points reach the driver. The row number
-    limit is pushed below the shuffle, so a language holding most rows sends
-    only its sample from each partition."""
+    """Dictionaries from a sample in hash order, of distinct texts; per
+    language at most ``docs_per_lang * excerpt`` code points reach the driver.
+    Copies share a hash and are dropped before places are given, in a shuffle
+    of labels and hashes only; a second pass fetches the excerpts."""
     room = F.greatest(F.length("t") - F.lit(excerpt) + 1, F.lit(1))
     sample = (docs.where(train & col(text).isNotNull() & col(label).isNotNull())
               .select(col(label).cast("string").alias("l"), col(text).alias("t"), F.xxhash64(col(text), F.lit("sample")).alias("h"))
-              .where(F.col("t").rlike(r"\p{L}"))
-              .select("l", "h", F.substring(F.col("t"), (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(excerpt)).alias("t")))
-    top = Window.partitionBy("l").orderBy("h", "t")
-    rows = sample.select("l", "h", "t", F.row_number().over(top).alias("n")).where(F.col("n") <= docs_per_lang).collect()
+              .where(F.col("t").rlike(r"\p{L}")))
+    top = Window.partitionBy("l").orderBy("h")
+    first = sample.select("l", "h").distinct().select("l", "h", F.row_number().over(top).alias("n")).where(F.col("n") <= docs_per_lang)
+    cut = F.substring(F.col("t"), (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(excerpt))
+    rows = sample.join(F.broadcast(first), ["l", "h"]).select("l", "n", cut.alias("t")).groupBy("l", "n").agg(F.min("t").alias("t")).collect()
     by: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["l"], r["n"])):
-        own = by.setdefault(r["l"], [])
-        if not own or own[-1] != r["t"]:  # copies follow each other: the hash is of the text
-            own.append(r["t"])
+        by.setdefault(r["l"], []).append(r["t"])
     langs = sorted(by)
     return Model(langs, [" ".join(by[x]).lower().encode() for x in langs])
 

@@ -253,6 +253,17 @@ def test_language_id_edges(spark, sf, ran, rows):
         assert r["lang_pred"] in ("und", "de", "en", "fr")
 
 
+def test_language_id_copies(spark):
+    """A thousand copies of one text take one place of the sample."""
+    texts = [f"text number {i} of many words that differ {i * i}" for i in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text", F.lit("sample")).alias("h")).orderBy("h")
+    first = df.first()["text"]
+    docs = spark.createDataFrame([(t, "en") for t in texts + [first] * 1000], "text string, lang string").repartition(5)
+    model = langid.learn(docs, F.lit(True))
+    own = model.dictionaries[0].decode()
+    assert model.langs == ["en"] and own.count("text number") == langid.DOCS_PER_LANG and own.count(first) == 1
+
+
 def test_language_id_unlabelled(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, "x y", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in langid.identify(docs, langid.learn(docs, langid.fold() != 0)).select("language.*").collect()] == ["und", "und"]
