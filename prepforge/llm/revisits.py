@@ -13,7 +13,7 @@ written once, so a URL that holds a third of all records is spread over many
 slices; each slice is filled by a window, and what the slices before it left
 open for its first URL comes from a table with one row per slice.
 
-Defined results: a revisit without URL or time, or without an earlier full
+Defined results: a revisit without URL (NULL, or one that names no host) or time, or without an earlier full
 response, is ``missing``; full responses without URL or time serve none. A
 full response at the revisit's own time is not earlier; of several at one time
 the largest record id counts. Validators that disagree: ``mismatch``; none in
@@ -30,6 +30,9 @@ from prepforge.session import cut_lineage
 
 # Headers that a not-modified response may update; query parameters that don't tell pages apart.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
+SCHEME = "[A-Za-z][A-Za-z0-9+.-]*://"
+#: A host at the start of a URL without scheme: a dotted name that is no file's, IPv4, or localhost, with an optional port.
+HOST = r"^(?!(?i)[^/?]*[.](?:html?|php|aspx?|jsp|js|css|png|jpe?g|gif|svg|pdf|txt|xml|json)(?:[/?]|$))(?:(?:[A-Za-z0-9_-]+[.])+[A-Za-z][A-Za-z0-9-]*|(?:[0-9]{1,3}[.]){3}[0-9]{1,3}|[Ll][Oo][Cc][Aa][Ll][Hh][Oo][Ss][Tt])(?::[0-9]+)?(?:[/?]|$)"
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
 
 FULL = ["record_id", "ts", "etag", "last_modified", "digest", "headers"]
@@ -38,12 +41,18 @@ FULL = ["record_id", "ts", "etag", "last_modified", "digest", "headers"]
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. and default port, path without index
     file and last slash, query parameters sorted and without tracking ones;
-    scheme and fragment don't count."""
+    scheme and fragment don't count. ``//host/path`` and ``host/path`` whose
+    host has a dot, or is localhost, read as if they had a scheme; what names
+    no host (relative, ``mailto:``, empty) has no canonical URL: NULL."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)), "^www[.]|:(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "(/index[.]html?)?/*$", "")
+    named = u.rlike(f"^(?:{SCHEME}|//)[^/?]")
+    bare = ~named & u.rlike(HOST)
+    rest = F.when(bare, u).otherwise(F.regexp_replace(u, f"^(?:{SCHEME}|//)", ""))
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), "^www[.]|:(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "(/index[.]html?)?/*$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(u, "[?](.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
-    return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    full = F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.when((named | bare) & (host != ""), full)
 
 
 def latest_full(records: DataFrame) -> DataFrame:

@@ -179,6 +179,20 @@ def test_revisits(spark, sf):
     assert sum(map(len, got.values())) == len(recs)
 
 
+def test_canonical_urls(spark):
+    """Expected by hand; URLs that name no host have none, and their revisits find no response."""
+    want = {"http://www.a.com/x/#f": "a.com/x", "https://A.com/x?utm_x=1": "a.com/x", "https://b.org/?b=2&a=1&ref=z": "b.org?a=1&b=2", "http://b.org:80/index.html": "b.org",
+            "a.com/nothost": "a.com/nothost", "WWW.a.com/x/": "a.com/x", "//a.com/x": "a.com/x", "a.com:443": "a.com", "a.com?q=1": "a.com?q=1", "10.0.0.1/p": "10.0.0.1/p",
+            "localhost:8080/p": "localhost:8080/p", "": None, "  ": None, "#top": None, "/rel/page": None, "rel/page": None, "index.html?x=1": None, "mailto:me@a.com": None,
+            "?q=1": None, "http://": None, "http:///x": None, None: None}
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: r["c"] for r in df.select("url", revisits.canonical_url(F.col("url")).alias("c")).collect()} == want
+    pages = [(1, "mailto:me@a.com"), (2, ""), (3, "rel/page"), (4, "a.com/x"), (5, "b.com/x"), (6, "http://a.com/x")]
+    df = spark.createDataFrame([(i, u, "same") for i, u in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in revisits.resolve(revisits.page_records(df)).where("not full").collect()}
+    assert [(got[i]["ref_id"], got[i]["status"] == "missing") for i in range(1, 7)] == [(None, True)] * 3 + [("r6", False), ("r5", False), ("r6", False)]
+
+
 def test_revisits_hot_url(spark):
     """One URL in nearly all rows, over many slices; ties in time; merged headers."""
     recs = [(f"f{i:04}", "u", i * 10, True, f'"{i}"', None, None, {"etag": f'"{i}"', "content-length": "9", "vary": "a"}) for i in range(300)]
