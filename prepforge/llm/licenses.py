@@ -14,7 +14,10 @@ word are made at all, and they join the templates' prefix index on it. The
 length filter drops blocks with fewer template words than ``need``, the
 positional filter those where the words that follow the shared one, in the
 block or in the template, can't make up ``need`` any more. What is left is
-compared in full. The templates are a parameter; their index is broadcast while
+compared in full. A statement that has marks, the runs of words that tell its
+license from others, must then stand in one window of twice its length with
+all of them: the one word that may be missing is not the one that names the
+license. The templates are a parameter; their index is broadcast while
 it has at most ``BROADCAST_ROWS`` rows and shuffled beyond that.
 
 Base phrases are templates whose threshold is 1; their places are then the
@@ -47,6 +50,17 @@ STATEMENTS = {
     "this source code form is subject to the terms of the mozilla public license": "mpl-2.0",
 }
 CONTAINMENT = 0.8
+#: Runs of words that a statement's place must have, by its first words; | parts alternatives.
+MARKS = {
+    "licensed under the apache": ("apache license", "version 2|license 2|v2"),
+    "released under the mit": ("mit", "license|licence"),
+    "permission is hereby granted": ("free of charge", "copy of this software"),
+    "redistribution and use": ("redistribution", "binary", "permitted"),
+    "this work is licensed under the gnu": ("gnu general public license", "version 3|v3"),
+    "licensed under cc by nc": ("cc by nc 4",),
+    "licensed under a creative commons": ("creative commons", "attribution sharealike|attribution share alike"),
+    "this source code form": ("mozilla public license", "source code form"),
+}
 
 #: Words of a text in any letter case; they are lower-cased one by one.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -61,6 +75,7 @@ class Template(NamedTuple):
     words: list[str]
     threshold: float
     base: bool
+    marks: tuple[str, ...] = ()
 
     @property
     def need(self) -> int:
@@ -69,7 +84,8 @@ class Template(NamedTuple):
 
 
 def templates() -> list[Template]:
-    return [Template(p, x, p.split(), 1.0, True) for p, x in PHRASES.items()] + [Template(p, x, p.split(), CONTAINMENT, False) for p, x in STATEMENTS.items()]
+    return [Template(p, x, p.split(), 1.0, True) for p, x in PHRASES.items()] + [
+        Template(p, x, p.split(), CONTAINMENT, False, next((m for k, m in MARKS.items() if p.startswith(k)), ())) for p, x in STATEMENTS.items()]
 
 
 def text_words(text: Column) -> Column:
@@ -100,8 +116,8 @@ def license_matches(docs: DataFrame, text: str = "text", known: list[Template] |
     order = frequency_order(docs.select(F.explode(text_words(col(text))).alias("word")), known)
     rank = {w: i for i, w in enumerate(order)}
     sets = [sorted({rank[w] for w in t.words}) for t in known]
-    index = [(r, n, i, s, t.need, t.words) for n, (t, s) in enumerate(zip(known, sets, strict=True)) for i, r in enumerate(s[: len(s) - t.need + 1])]
-    prefixes = spark.createDataFrame([(*x[:3], x[3], *x[4:]) for x in index], "rank int, template int, i int, ranks array<int>, need int, words array<string>")
+    index = [(r, n, i, s, t.need, t.words, [m.split("|") for m in t.marks]) for n, (t, s) in enumerate(zip(known, sets, strict=True)) for i, r in enumerate(s[: len(s) - t.need + 1])]
+    prefixes = spark.createDataFrame([(*x[:3], x[3], *x[4:]) for x in index], "rank int, template int, i int, ranks array<int>, need int, words array<string>, marks array<array<string>>")
     if len(index) <= BROADCAST_ROWS:
         prefixes = F.broadcast(prefixes)
     stride = max([MIN_STRIDE, *(len(t.words) for t in known)])
@@ -124,6 +140,15 @@ def license_matches(docs: DataFrame, text: str = "text", known: list[Template] |
     joined = probes.join(prefixes, (F.col("shared") == F.col("rank")) & (F.size("own") >= F.col("need")) & (most_left >= F.col("need")), "left")
     joined = joined.withColumn("common", F.when(F.col("template").isNotNull(), common))
     match = F.coalesce((F.size("common") >= F.col("need")) & (F.element_at("common", 1) == F.col("shared")), F.lit(False))
+
+    def marked(s: Column) -> Column:
+        """The window at word ``s`` of a block has all marks and the template's share."""
+        window = F.slice("tokens", s + 1, F.least(2 * F.size("words"), F.lit(stride)))
+        line = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
+        marks = F.forall("marks", lambda m: F.exists(m, lambda x: F.contains(line, F.concat(F.lit(" "), x, F.lit(" ")))))
+        return marks & (F.size(F.array_intersect(window, F.col("words"))) >= F.col("need"))
+
+    match = F.when(match, (F.size("marks") == 0) | F.exists(F.sequence(F.lit(0), F.size("tokens") - 1), marked)).otherwise(False)
     start = F.filter(F.sequence(F.lit(0), F.lit(stride - 1)), lambda s: F.slice("tokens", s + 1, F.size("words")) == F.col("words"))
     return joined.select("row", *keep, "n_words", "block", F.when(match, F.col("template")).alias("template"),
                          F.when(match, F.size("common") / F.size("ranks")).alias("containment"),

@@ -130,6 +130,22 @@ def test_license_phrases_across_blocks(spark):
     same(got, [(n, n) for n in range(70)])
 
 
+def test_licenses_by_their_names(spark, tmp_path):
+    """The words that name a license must stand together; other lines get no such label."""
+    want = {"licensed under cc by 4 0": "cc-by", "licensed under cc by sa 4 0": "cc-by", "licensed under cc by nc sa 4 0": "cc-by", "released under the bsd license": "",
+            "licensed under a creative commons attribution license": "", "this work is licensed under the gnu general public license version 2": "gpl",
+            "licensed under the gnu general public license version 2 0": "gpl", "this work is licensed under the gnu lesser general public license version 3": "gpl",
+            "released under the bsd license " + "x " * 20 + "at mit": "", "permission is hereby granted free of charge to any person obtaining a copy of the font software": "",
+            **{p: x for p, x in licenses.STATEMENTS.items() if x not in ("gpl-3.0", "cc-by-nc-4.0")},
+            "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0", "this work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+            "licensed under the apache license 2 0": "apache-2.0", "licensed under a creative commons attribution share alike license": "cc-by-sa", "released under the mit licence": "mit"}
+    # at every place relative to the blocks
+    docs = [(i, "y " * n + t + " z" * 40) for i, t in enumerate(want) for n in (0, 25, 31, 50, 63)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["labels"]) for r in licenses.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got == set(enumerate(want.values()))
+
+
 # ------------------------------------------------------------------ operator 2
 
 def test_importance_resampling(spark, sf, ran, rows):
