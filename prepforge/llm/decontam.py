@@ -185,7 +185,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
     to the driver in blocks of about ``block_bytes``; a block's matches are
     stored before the next one is fetched."""
     spark = index.sparkSession
-    own = benchmark.select(col(item_id).cast("string").alias("i"), col(text).alias("t")).where(F.col("t").isNotNull())
+    own = benchmark.select(col(item_id).cast("string").alias("i"), col(text).alias("t")).where(F.col("t").isNotNull()).distinct()
     blocks = max(1, -(-(own.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     found = None
     for k in range(blocks):

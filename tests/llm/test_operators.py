@@ -244,6 +244,17 @@ def test_decontamination_query(ran, rows):
     same(got, [(r[0], n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for r, (n, h, i) in zip(rows, want, strict=True)])
 
 
+def test_decontamination_repeated_items(spark, monkeypatch):
+    """Copies of a benchmark row come to the driver once."""
+    seen, parse = [], decontam.parse_items
+    monkeypatch.setattr(decontam, "parse_items", lambda rows, window: (seen.extend(rows), parse(rows, window))[1])
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "alpha beta gamma")] * 500 + [(8, "alpha beta gamma")], "item_id long, text string")
+    got = decontam.search(decontam.build_index(docs), items, block_bytes=60).select("doc_id", "items").collect()
+    same(got, [(1, ["8", "9"])])
+    assert sorted(seen) == [("8", "alpha beta gamma"), ("9", "alpha beta gamma")]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "gamma far alpha and beta"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
