@@ -1,16 +1,19 @@
 """The registered queries of the corpus operators, and their DuckDB SQL."""
 
-from prepforge.llm import decontam, licenses, mixing, revisits, substrings
+from prepforge.llm import collocations, decontam, licenses, mixing, negatives, revisits, substrings
+from prepforge.llm.collocations import op13_collocations
 from prepforge.llm.decontam import op4_decontamination
 from prepforge.llm.langid import op6_language_id
 from prepforge.llm.licenses import op1_license_scan
 from prepforge.llm.mixing import op5_mixing
+from prepforge.llm.negatives import op11_hard_negatives
 from prepforge.llm.qualityrules import op9_quality_rules
 from prepforge.llm.resampling import op2_importance_resampling
 from prepforge.llm.revisits import op3_warc_revisits
 from prepforge.llm.secretscan import op10_secret_scan
 from prepforge.llm.simhash import op8_simhash
 from prepforge.llm.substrings import op7_substring_dedup
+from prepforge.llm.tokenfiles import op12_token_files
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_collocations": op13_collocations,
 }
 ORACLE = {
     "op1_license_scan": licenses.SQL,
@@ -30,4 +36,6 @@ ORACLE = {
     "op4_decontamination": decontam.SQL,
     "op5_mixing": mixing.SQL,
     "op7_substring_dedup": substrings.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op13_collocations": collocations.SQL,
 }

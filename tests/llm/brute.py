@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import xxhash
 
-TABLES = "documents benchmark labels pages".split()
+VECTORS = "vec_id long, embedding array<float>, label int, score string, no string, id string"
 #: Names that operators use inside, as columns of the input.
 CLASHING = "row key t w fp h l n size mark spans language target seed part grams hits own block n_words kept score __row __key __language".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
@@ -218,3 +218,57 @@ def benchmark(rows):
 
 def labels():
     return [(i, int(i % 6 > 0), int(i % 13 == 0)) for i in range(0, 60, 2)] + [(None, 1, 0), (12, 1, 0), (13, None, None), (500, 1, 0)]
+
+
+def vectors():
+    """Rows of a messy embeddings table: ties, repeated rows and ids, NULLs and
+    non-finite components, other lengths, a hot label, negative ids."""
+    import random
+    rnd = random.Random(4)
+    rows = [(i, [round(rnd.gauss(0, 0.2), 2) for _ in range(12)], 3 if i % 3 else i % 5) for i in range(-60, 260)]
+    rows += [(300, rows[70][1], 1), (300, rows[70][1], 1), (350, [], 2), (351, [0.5], 3), (352, [1.0] * 20, 2), (400, [0.0] * 12, 3), (450, None, 3), (451, [0.1, None], 3), (500, [0.1] * 12, None),
+             (501, [math.nan, 0.1], 3), (550, [math.inf, 0.1], 3), (None, [0.3] * 12, 3), (None, [0.3] * 12, 0), (600, [0.25] * 12, 3), (650, [1e6] * 12, 0), (651, [1e6] * 12, 3)]
+    return [(*r, "x", None, "y") for r in rows]
+
+
+def hard_negatives(rows, every=50, positives=5, negatives=3, low=50, high=95):
+    """(anchor, positive, rank, negative, scores) of (id, vector, label)."""
+    own = []
+    for i, v, x in rows:
+        if x is None or v is None or any(c is None or not math.isfinite(c) for c in v):
+            continue
+        own.append((i, [math.floor(256 * c) for c in v], (x + 1) % 10 if i is not None and i % 7 == 0 else x))
+    key = lambda t: (-t[1], math.inf if t[0] is None else t[0])
+    out = []
+    for i, v, x in own:
+        if i is None or i % every:
+            continue
+        others = [(j, sum(a * b for a, b in zip(v, w, strict=False)), y) for j, w, y in own if j != i]
+        near = sorted(((j, s) for j, s, y in others if y == x), key=key)[:positives]
+        for j, s in near:
+            fit = sorted(((k, u) for k, u, y in others if y != x and low * s <= 100 * u <= high * s), key=key)[:negatives]
+            out += [(i, j, n, k, s, u) for n, (k, u) in enumerate(fit, 1)]
+    return out
+
+
+def phrases(docs, least, longest=5, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
+    f, n = defaultdict(Counter), Counter()
+    for x, t in docs:
+        x = "und" if x is None else x
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(t)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[x] += len(w)
+            for k in range(1, longest + 1):
+                f[x].update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for x, c in f.items():
+        often = {p: a for p, a in c.items() if a >= least}
+        rows = []
+        for p, a in often.items():
+            if len(p) == 1 or any(len(q) > len(p) and 100 * b >= 100 * a and p in {q[i:i + len(p)] for i in range(len(q))} for q, b in often.items()):
+                continue
+            s, _, l, r = min((1000 * a * n[x] // (c[p[:k]] * c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))  # noqa: E741
+            rows.append((-s, -a, " ".join(p).encode(), l, r))
+        out += [(x, i, p.decode(), -a, l, r, n[x], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
+    return out

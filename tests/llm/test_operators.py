@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brute import (SCHEMA, alnum, benchmark, components, corpus, counts, decontaminated, fingerprint, fold, grams, labels, listed, log_ratios, masked, mixed, secrets, spaced,
-                   without_repeats)
+from brute import (SCHEMA, VECTORS, alnum, benchmark, components, corpus, counts, decontaminated, fingerprint, fold, grams, labels, listed, log_ratios, masked, mixed, secrets, spaced,
+                   vectors, without_repeats)
 from prepforge.llm import decontam, langid, licenses, mixing, qualityrules, resampling, revisits, secretscan, simhash, substrings
 from prepforge.llm.queries import ORACLE, QUERIES
 from prepforge.llm.util import read_documents
@@ -22,6 +22,7 @@ def write(spark, path, docs, items, marks):
     pages = [(i, u, None if i == 3 else f"<p>{i % 2}</p>") for i, u in enumerate(
         ["http://www.a.com/x/#f", "https://A.com/x?utm_x=1", "a.com/nothost", None, "http://b.org:80/index.html", "https://b.org", "https://b.org/?b=2&a=1&ref=z", ""])] + [(None, "http://a.com/x", "z"), (5, "https://b.org", "<p>1</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(vectors(), VECTORS).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -38,7 +39,7 @@ def sf(spark, tmp_path_factory, rows):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name, kind in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+    for name, kind in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", VECTORS)):
         spark.createDataFrame([], kind).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -75,12 +76,15 @@ def test_contract_columns(ran, name):
     want = {"op1": "doc_id n_words n_base first_word last_word base_labels labels score", "op4": "doc_id n_words n_hit n_items items_sha256 contaminated",
             "op5": "doc_id size source_size target taken", "op6": "doc_id held_out lang_pred score", "op7": "doc_id n_words n_removed kept_sha256",
             "op8": "doc_id fingerprint component_id", "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-            "op10": "doc_id n_assign n_access n_hex base_sha256 spans"}.get(name.split("_")[0], "")
+            "op10": "doc_id n_assign n_access n_hex base_sha256 spans", "op11": "anchor_id positive_id rank negative_id positive_score negative_score",
+            "op12": "doc_id start n_tokens ids_crc32", "op13": "lang rank phrase a l r n score"}.get(name.split("_")[0], "")
     df, got = ran(name)
     assert set(want.split()) <= set(df.columns)
     kinds = dict(df.dtypes)
-    assert all(kinds[c] == "bigint" for c in want.split() if c.startswith("n_") or c in ("size", "source_size", "taken", "first_word", "last_word", "doc_id", "component_id"))
-    if name != "op3_warc_revisits":
+    assert all(kinds[c] == "bigint" for c in want.split() if c.startswith("n_") or c in (
+        "size", "source_size", "taken", "first_word", "last_word", "doc_id", "component_id", "start", "ids_crc32", "anchor_id", "positive_id", "negative_id", "positive_score",
+        "negative_score", "a", "l", "r", "n"))
+    if name not in ("op3_warc_revisits", "op11_hard_negatives", "op13_collocations"):
         assert len(got) == len(corpus())
 
 
@@ -88,7 +92,7 @@ def test_contract_columns(ran, name):
 def test_oracle_sql(spark, name):
     import duckdb
     con, at = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet')")
     got = QUERIES[name](spark, at)
     cur = con.execute(ORACLE[name])
