@@ -192,53 +192,60 @@ def q_comparison(spark, sf):
 
 # ---------------------------------------------------------------- gradient search (EVL8)
 
-_SEARCH_CACHE: dict = {}
-
-
 def _search(spark, sf, flexible: bool):
-    """One first-order iteration over search space A (library default: 30);
-    the state is reused by ``final_dataset`` within a process."""
+    """The library's 30 iterations over search space A."""
     from prepforge.plans.gradient import gradient_search
     from prepforge.plans.space import SPACE_A
-    key = (sf, flexible)
-    if key in _SEARCH_CACHE:
-        return _SEARCH_CACHE[key]
     df = _Q(spark, sf)
-    state = gradient_search(df, Q_FEATS, "label", SPACE_A, key="doc_id", iters=1, flexible=flexible)
-    rows = [(it, k, f, opt, pr) for it, k, f, opt, pr in state.probs_log]
-    probs = spark.createDataFrame(rows, "epoch int, stage int, feature string, option string, prob double")
-    hist = spark.createDataFrame([(h["iteration"], float(h["val_loss"]), float(h["val_acc"])) for h in state.history],
-                                 "epoch int, val_loss double, val_acc double")
-    _SEARCH_CACHE[key] = (state, probs, hist)
-    return state, probs, hist
+    return df, gradient_search(df, Q_FEATS, "label", SPACE_A, key="doc_id", flexible=flexible)
+
+
+def _search_log(spark, state):
+    """Option probabilities after each update, with that iteration's scores."""
+    probs = spark.createDataFrame(state.probs_log, "epoch int, stage int, feature string, option string, prob double")
+    hist = spark.createDataFrame([(h["iteration"], *[float(h[c]) for c in ("tr_loss", "val_loss", "val_acc")]) for h in state.history],
+                                 "epoch int, tr_loss double, val_loss double, val_acc double")
+    return probs.join(hist, "epoch")
 
 
 @query("search_fixed")
 def q_search_fixed(spark, sf):
-    """Fixed stage order, first-order gradient iteration over search space A:
-    option-probability log joined with the per-iteration validation loss."""
-    _, probs, hist = _search(spark, sf, flexible=False)
-    return rounded(probs.join(hist, "epoch"))
+    """Fixed stage order: the log of the option probabilities and losses."""
+    return rounded(_search_log(spark, _search(spark, sf, flexible=False)[1]))
 
 
 @query("search_flex")
 def q_search_flex(spark, sf):
-    """Flexible order (Sinkhorn-normalised position x stage weights)."""
-    from prepforge.plans.gradient import stage_order
+    """Flexible order (Sinkhorn-normalised position x stage weights): the stage
+    that each feature takes at each position, with the weight of the best iteration."""
+    from prepforge.plans.gradient import sinkhorn_np, stage_order
     from prepforge.plans.space import SPACE_A
-    state, _, _ = _search(spark, sf, flexible=True)
-    order = stage_order(state, SPACE_A)
-    rows = [(f, pos, st) for f, o in order.items() for pos, st in enumerate(o)]
-    return spark.createDataFrame(rows, "feature string, position int, stage string")
+    _, state = _search(spark, sf, flexible=True)
+    names = [st.name for st in SPACE_A[1:]]
+    rows = [(f, pos, st, float(sinkhorn_np(state.alpha[f])[0][pos, names.index(st)])) for f, o in stage_order(state, SPACE_A).items() for pos, st in enumerate(o)]
+    return rounded(spark.createDataFrame(rows, "feature string, position int, stage string, prob double"))
 
 
 @query("final_dataset")
 def q_final_dataset(spark, sf):
-    """PIP18: the arg-max pipeline of a search, frozen and applied to every
-    split (val/test rows are never removed)."""
+    """PIP18: the arg-max options of a flexible search in its learned order,
+    frozen and applied to every split (val/test rows are never removed)."""
     from prepforge.plans.gradient import final_dataset
     from prepforge.plans.space import SPACE_A
-    state, _, _ = _search(spark, sf, flexible=False)
-    df = _Q(spark, sf)
+    df, state = _search(spark, sf, flexible=True)
     model, out = final_dataset(df, Q_FEATS, "label", SPACE_A, state, key="doc_id")
     return rounded(out.select("doc_id", "split", "label", *model.features))
+
+
+@query("search_result")
+def q_search_result(spark, sf):
+    """EVL9: default pipeline, the search's best iteration, and the classifier
+    retrained on the final dataset."""
+    from prepforge.plans.gradient import retrain, search_result
+    from prepforge.plans.space import SPACE_A, default_choices
+    df, state = _search(spark, sf, flexible=False)
+    m = SpacePipeline(SPACE_A, default_choices(SPACE_A, ["n_chars"], ["lang", "source"])).fit(df, Q_FEATS, "label", "split", key="doc_id")
+    _, base = fit_and_score(m.transform(df, with_weight=True), m.features, "label", weight="_row_weight")
+    _, final = retrain(df, Q_FEATS, "label", SPACE_A, state, "doc_id")
+    records = [r.as_row(method=n, dataset="documents_quality") for n, r in (("default", base), ("search", search_result(state)), ("retrained", final))]
+    return rounded(spark.createDataFrame(records).drop("seconds"))
