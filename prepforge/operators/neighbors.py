@@ -1,14 +1,20 @@
 """Exact k-nearest-neighbour operators: kNN imputation (IMP8) and local
-outlier factor (OUT3).
-
-Exact kNN is quadratic by nature; it is made distributed, never
-single-task: rows are hashed into blocks of at most
-``prepforge.knn.blockRows`` rows, every (query block, base block) pair is one
-cogroup task that computes its distance tile in numpy (in slices of 512
-queries, so memory stays bounded) and emits only its k best candidates per
-query; a partitioned window then merges the candidates of each query.
-Shuffle volume is O(n * blocks), output O(n * blocks * k); no pair list is
-ever materialised and nothing is collected to the driver.
+outlier factor (OUT3), and an approximate method beside them (LSH).
+
+Base rows lie in cells around pivots, a bounded sample of them. A cell knows
+its radius, so by the triangle inequality no row of it is nearer to a query
+than the query's distance to the pivot less the radius. Each query searches
+the cell of its nearest pivot first; its k-th distance there then rules out
+most other cells, and it is sent to the rest only. Rows are compared in
+tiles of one block of a cell and one slice of the queries that need it, both
+of at most ``prepforge.knn.blockRows`` rows, in numpy, a few hundred queries
+at a time; a tile emits its k best per query and a window merges them. Base
+rows are copied only where a cell has more queries than a slice holds.
+
+With missing values the distance is no metric. It is never less than the
+distance over the columns that are complete everywhere, times
+sqrt(p / columns that the query has), so cells are built and ruled out over
+those columns. Without any such column there is one cell.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 
 from prepforge.functions.stats import agg_row, numeric_cols, qcol
 from prepforge.operators.base import Fitted, PrepOp, register
-from prepforge.session import conf_int
+from prepforge.session import conf_int, stored
 
 _SLICE = 512
 # Fixed values of the reference's estimators.
@@ -30,17 +36,8 @@ KNN_IMPUTE_K = 5
 LOF_K = 20
 LOF_CUT = 1.5
 LOF_EPS = 1e-10
-
-
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
-def _replicate(df: DataFrame, key: str, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
-    """Hash rows into ``n_own`` blocks and copy each row to every block of the
-    other side."""
-    return (df.withColumn(own, F.pmod(F.xxhash64(qcol(key)), F.lit(n_own)).cast("int"))
-              .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
+#: Most pivots (their coordinates go to every task).
+MAX_PIVOTS = 1024
 
 
 def _nan_sq_dist(q: np.ndarray, b: np.ndarray, nan_aware: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +55,113 @@ def _nan_sq_dist(q: np.ndarray, b: np.ndarray, nan_aware: bool) -> tuple[np.ndar
     return d, npres
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(_nan_sq_dist(x, pivots, False)[0])
+
+
+def _tile(Q: np.ndarray, qk: np.ndarray, B: np.ndarray, bk: np.ndarray, k: int, exclude_self: bool, per_column: bool) -> pd.DataFrame:
+    """The k best base rows of each query (and missing column) of a tile."""
+    border = np.argsort(bk, kind="stable")          # ties -> smaller base key first
+    B, bk = B[border], bk[border]
+    out = [pd.DataFrame({"qk": qk[:0], "j": np.zeros(0, np.int32), "bk": bk[:0], "dist": np.zeros(0), "value": np.zeros(0)})]
+    for s in range(0, len(Q) if len(B) else 0, _SLICE):
+        Qs, qks = Q[s:s + _SLICE], qk[s:s + _SLICE]
+        d, _ = _nan_sq_dist(Qs, B, per_column)
+        if exclude_self:
+            d = np.where(qks[:, None] == bk[None, :], np.inf, d)
+        targets = [(j, ~np.isnan(B[:, j]), np.isnan(Qs[:, j])) for j in range(Q.shape[1])] if per_column else \
+            [(-1, np.ones(len(B), bool), np.ones(len(Qs), bool))]
+        for j, donor_ok, need in targets:
+            rows = np.nonzero(need)[0]
+            if len(rows) == 0:
+                continue
+            dj = np.where(donor_ok[None, :], d[rows], np.inf)
+            kk = min(k, dj.shape[1])
+            # the k smallest with their ties, then those in order
+            edge = np.partition(dj, kk - 1, axis=1)[:, kk - 1:kk]
+            r, c = np.nonzero((dj <= edge) & np.isfinite(dj))
+            dist = dj[r, c]
+            order = np.lexsort((c, dist, r))
+            r, c, dist = r[order], c[order], dist[order]
+            first = np.searchsorted(r, np.arange(len(rows)))
+            best = np.arange(len(r)) - first[r] < kk
+            r, c, dist = rows[r[best]], c[best], dist[best]
+            out.append(pd.DataFrame({"qk": qks[r], "j": np.full(len(c), j, dtype=np.int32), "bk": bk[c], "dist": np.sqrt(dist), "value": B[c, j] if j >= 0 else np.zeros(len(c))}))
+    return pd.concat(out, ignore_index=True)
+
+
+class CellIndex:
+    """Base rows by nearest pivot, with what rules a cell out."""
+
+    def __init__(self, base: DataFrame, n: int, metric: list[int], p: int, block_rows: int) -> None:
+        """``base``: bk, x (array of p values); ``metric``: the columns that are complete everywhere."""
+        self.metric, self.p, self.block_rows = metric, p, block_rows
+        count = min(MAX_PIVOTS, math.ceil(math.sqrt(n))) if metric else 1
+        some = base.orderBy(F.xxhash64("bk"), "bk").limit(max(count, 1)).collect()
+        self.pivots = np.unique(np.array([[r["x"][i] for i in metric] for r in some], float).reshape(len(some), len(metric)), axis=0)
+        self.base = stored(self.assigned(base, "bk"), "cells")
+        rows = self.base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()
+        self.size, self.radius = np.zeros(len(self.pivots), np.int64), np.zeros(len(self.pivots))
+        for r in rows:
+            self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
+        self.blocks = np.maximum(1, -(-self.size // block_rows))
+
+    def assigned(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows with their cell and the distance to its pivot."""
+        metric, pivots = self.metric, self.pivots
+
+        def work(it):
+            for pdf in it:
+                if len(pdf):
+                    d = _distances(np.array(pdf["x"].tolist(), float)[:, metric], pivots)
+                    yield pdf.assign(cell=d.argmin(1).astype(np.int32), dist=d.min(1))
+
+        return df.mapInPandas(work, f"{key} {dict(df.dtypes)[key]}, x array<double>, cell int, dist double")
+
+    def still_needed(self, queries: DataFrame, p: int) -> DataFrame:
+        """qk, x and ``need``: the other cells that may hold one of the query's
+        neighbours, given the distance ``tau`` that it has to beat."""
+        metric, pivots, radius, size = self.metric, self.pivots, self.radius, self.size
+
+        def work(it):
+            for pdf in it:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["x"].tolist(), float)
+                grow = np.sqrt(p / np.maximum((~np.isnan(x)).sum(1), 1))
+                least = (_distances(x[:, metric], pivots) - radius) * grow[:, None]
+                need = (least <= pdf["tau"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9) & (size > 0)
+                need[np.arange(len(x)), pdf["cell"].to_numpy()] = False
+                yield pd.DataFrame({"qk": pdf["qk"], "x": pdf["x"], "need": [np.flatnonzero(r).astype(np.int32) for r in need]})
+
+        return queries.mapInPandas(work, f"qk {dict(queries.dtypes)['qk']}, x array<double>, need array<int>")
+
+    def search(self, queries: DataFrame, k: int, exclude_self: bool, per_column: bool) -> DataFrame:
+        """The k best rows of ``cell`` for each query row (qk, x, cell), by tiles."""
+        spark = self.base.sparkSession
+        asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        cells = [(c, int(self.blocks[c]), max(1, math.ceil(n / self.block_rows))) for c, n in asked.items()]
+        kinds = dict(queries.dtypes)["qk"], dict(self.base.dtypes)["bk"]
+        schema = f"qk {kinds[0]}, j int, bk {kinds[1]}, dist double, value double"
+        shape = F.broadcast(spark.createDataFrame(cells, "cell int, blocks int, slices int"))  # a row per pivot, MAX_PIVOTS at most
+        q = queries.join(shape, "cell").select("cell", "qk", "x", F.pmod(F.xxhash64("qk"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        b = self.base.join(shape, "cell").select("cell", "bk", "x", F.pmod(F.xxhash64("bk"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+        p = self.p
+
+        def tile(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
+            rows = [np.array(t["x"].tolist(), float).reshape(len(t), p) for t in (qpdf, bpdf)]
+            return _tile(rows[0], qpdf["qk"].to_numpy(), rows[1], bpdf["bk"].to_numpy(), k, exclude_self, per_column)
+
+        on = ["cell", "block", "slice"]
+        return q.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(tile, schema)
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qk", "j").orderBy("dist", "bk")
+    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
 def knn_candidates(query: DataFrame, base: DataFrame, qkey: str, bkey: str, cols: list[str], k: int,
                    exclude_self: bool = False, per_column: bool = False) -> DataFrame:
     """k nearest base rows of every query row: ``(qk, j, bk, dist, value)``.
@@ -67,62 +171,49 @@ def knn_candidates(query: DataFrame, base: DataFrame, qkey: str, bkey: str, cols
     that value); otherwise plain Euclidean over complete rows (``j = -1``).
     Ties are broken by the base key.
     """
-    spark = query.sparkSession
-    block_rows = conf_int(spark, "prepforge.knn.blockRows")
+    return neighbour_search(query, base, qkey, bkey, cols, k, exclude_self, per_column)[0]
+
+
+def neighbour_search(query: DataFrame, base: DataFrame, qkey: str, bkey: str, cols: list[str], k: int, exclude_self: bool = False,
+                     per_column: bool = False) -> tuple[DataFrame, CellIndex, DataFrame]:
+    """The candidates of ``knn_candidates``, the index, and the cells that each
+    query needed besides its own."""
     p = len(cols)
-    q = query.select(qcol(qkey).alias("qk"), *[qcol(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    b = base.select(qcol(bkey).alias("bk"), *[qcol(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    x = F.array(*[qcol(c).cast("double") for c in cols])
+    q, b = query.select(qcol(qkey).alias("qk"), x.alias("x")), base.select(qcol(bkey).alias("bk"), x.alias("x"))
     if per_column:
-        miss = F.greatest(*[qcol(f"x{i}").isNull() for i in range(p)]) if p > 1 else qcol("x0").isNull()
-        q = q.filter(miss)
-    nq, nb = q.count(), b.count()
-    bq, bb = _blocks(nq, block_rows), _blocks(nb, block_rows)
-    qr = _replicate(q, "qk", "qb", "bb", bq, bb)
-    br = _replicate(b, "bk", "bb", "qb", bb, bq)
-    xs = [f"x{i}" for i in range(p)]
-    key_type = dict(query.select(qcol(qkey)).dtypes)[qkey]
-    bkey_type = dict(base.select(qcol(bkey)).dtypes)[bkey]
-    schema = f"qk {key_type}, j int, bk {bkey_type}, dist double, value double"
-
-    def tile(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(bpdf) == 0:
-            return pd.DataFrame({"qk": [], "j": [], "bk": [], "dist": [], "value": []})
-        Q = qpdf[xs].to_numpy(dtype=float)
-        B = bpdf[xs].to_numpy(dtype=float)
-        qk = qpdf["qk"].to_numpy()
-        bk = bpdf["bk"].to_numpy()
-        border = np.argsort(bk, kind="stable")          # ties -> smaller base key first
-        B, bk = B[border], bk[border]
-        out = []
-        for s in range(0, len(Q), _SLICE):
-            Qs, qks = Q[s:s + _SLICE], qk[s:s + _SLICE]
-            d, _ = _nan_sq_dist(Qs, B, per_column)
-            if exclude_self:
-                d = np.where(qks[:, None] == bk[None, :], np.inf, d)
-            targets = [(j, ~np.isnan(B[:, j]), np.isnan(Qs[:, j])) for j in range(p)] if per_column else \
-                [(-1, np.ones(len(B), bool), np.ones(len(Qs), bool))]
-            for j, donor_ok, need in targets:
-                rows = np.nonzero(need)[0]
-                if len(rows) == 0:
-                    continue
-                dj = np.where(donor_ok[None, :], d[rows], np.inf)
-                kk = min(k, dj.shape[1])
-                idx = np.argsort(dj, axis=1, kind="stable")[:, :kk]
-                dsel = np.take_along_axis(dj, idx, axis=1)
-                ok = np.isfinite(dsel)
-                r_i = np.repeat(rows, kk).reshape(len(rows), kk)[ok]
-                c_i = idx[ok]
-                out.append(pd.DataFrame({
-                    "qk": qks[r_i], "j": np.full(len(c_i), j, dtype=np.int32), "bk": bk[c_i],
-                    "dist": np.sqrt(dsel[ok]),
-                    "value": B[c_i, j] if j >= 0 else np.zeros(len(c_i))}))
-        if not out:
-            return pd.DataFrame({"qk": [], "j": [], "bk": [], "dist": [], "value": []})
-        return pd.concat(out, ignore_index=True)
-
-    cand = (qr.groupBy("qb", "bb").cogroup(br.groupBy("qb", "bb")).applyInPandas(tile, schema))
-    w = Window.partitionBy("qk", "j").orderBy("dist", "bk")
-    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        q = q.filter(F.exists("x", F.isnull))
+    gaps = [F.sum(F.col("x")[i].isNull().cast("long")).alias(f"g{i}") for i in range(p)]
+    nb, *base_gaps = b.agg(F.count(F.lit(1)), *gaps).first()
+    query_gaps = q.agg(*gaps).first()
+    metric = [i for i in range(p) if not base_gaps[i] and not query_gaps[i]]
+    index = CellIndex(b, nb, metric, p, conf_int(query.sparkSession, "prepforge.knn.blockRows"))
+    own = stored(index.assigned(q, "qk"), "queries")
+    first = stored(_best(index.search(own, k, exclude_self, per_column), k), "near")
+    # the distance to beat: the k-th so far, for every column wanted; none where one has fewer
+    lists = first.groupBy("qk", "j").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("d"))
+    reached = lists.where(F.col("n") >= k).groupBy("qk").agg(F.count(F.lit(1)).alias("lists"), F.max("d").alias("tau"))
+    wanted = F.size(F.filter("x", F.isnull)) if per_column else F.lit(1)
+    tau = F.when(F.col("lists") >= wanted, F.col("tau")).otherwise(F.lit(float("inf")))
+    queries = own.join(reached, "qk", "left").select("qk", "x", "cell", tau.alias("tau"))
+    need = stored(index.still_needed(queries, p), "needed")
+    rest = index.search(need.select("qk", "x", F.explode("need").alias("cell")), k, exclude_self, per_column)
+    return _best(first.unionByName(rest), k), index, need
+
+
+def knn_approximate(query: DataFrame, base: DataFrame, qkey: str, bkey: str, cols: list[str], k: int, radius: float, bucket_length: float,
+                    tables: int = 4, exclude_self: bool = False, seed: int = 0) -> DataFrame:
+    """Approximate neighbours by random-projection LSH, for sizes at which an
+    exact search is too long: up to k base rows within ``radius`` that share a
+    bucket with the query in one of ``tables`` hash tables. Complete rows only."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    x = F.array(*[qcol(c).cast("double") for c in cols])
+    rows = lambda df, key: df.select(qcol(key).alias("k"), array_to_vector(x).alias("x"))
+    q, b = rows(query, qkey), rows(base, bkey)
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(b)
+    pairs = model.approxSimilarityJoin(q, b, radius, "dist").select(F.col("datasetA.k").alias("qk"), F.lit(-1).alias("j"), F.col("datasetB.k").alias("bk"), "dist", F.lit(0.0).alias("value"))
+    return _best(pairs.where("qk <> bk") if exclude_self else pairs, k)
 
 
 # ---------------------------------------------------------------- kNN imputation

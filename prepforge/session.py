@@ -22,7 +22,7 @@ CONF_DEFAULTS = {
     "prepforge.percentile.maxDistinct": "200000",
     # largest number of values the radix select fetches to the driver
     "prepforge.radix.collectMax": "100000",
-    # rows per block in the blocked exact kNN
+    # rows of a cell's block, and queries of a slice, in the exact kNN
     "prepforge.knn.blockRows": "4096",
 }
 

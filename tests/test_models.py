@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepforge.operators.iforest import RemoveIsolationForest
-from prepforge.operators.model_impute import EMImpute, MiceImpute, bayesian_ridge
-from prepforge.operators.neighbors import KnnImpute, knn_candidates, lof_scores
+from prepforge.functions import patterns
+from prepforge.operators import model_impute as M
+from prepforge.operators.model_impute import EMImpute, MiceImpute, TreeImpute, bayesian_ridge
+from prepforge.operators.neighbors import KnnImpute, knn_approximate, knn_candidates, lof_scores, neighbour_search
 from prepforge.operators.reduction import Reduce
 
 
@@ -20,7 +22,7 @@ def test_knn_candidates_blocked_equals_bruteforce(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 4))
     df = _frame(spark, x, with_nan=False)
-    spark.conf.set("prepforge.knn.blockRows", "25")          # force 5 x 5 block tiles
+    spark.conf.set("prepforge.knn.blockRows", "5")           # cells of several blocks and slices
     try:
         got = knn_candidates(df, df, "k", "k", ["c0", "c1", "c2", "c3"], 3, exclude_self=True).collect()
     finally:
@@ -33,6 +35,68 @@ def test_knn_candidates_blocked_equals_bruteforce(spark):
     assert len(got) == 120 * 3
 
 
+def test_cells_rule_out_most_tiles(spark):
+    """Clustered rows: the same neighbours as by brute force, from a small part of the cells."""
+    rng = np.random.default_rng(21)
+    x = np.vstack([rng.normal(size=(40, 3)) * 0.1 + c for c in rng.normal(size=(30, 3)) * 20])
+    x[5] = x[6]  # ties
+    df = _frame(spark, x, with_nan=False)
+    cand, index, need = neighbour_search(df, df, "k", "k", ["c0", "c1", "c2"], 4, exclude_self=True)
+    got = {}
+    for r in cand.collect():
+        got.setdefault(r["qk"], []).append((r["dist"], r["bk"]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        assert [b for _, b in sorted(got[i])] == sorted(range(len(x)), key=lambda j: (round(d[i, j], 6), j))[:4]
+    searched = need.selectExpr("sum(size(need))").first()[0] + len(x)
+    assert len(index.pivots) > 20 and searched < 0.2 * len(x) * len(index.pivots)
+
+
+@pytest.mark.parametrize("block", ["7", "4096"])
+def test_knn_impute_over_cells_and_blocks(spark, block):
+    """Gaps in query and base, hot cells cut into blocks and slices, repeated rows."""
+    rng = np.random.default_rng(22)
+    x = np.vstack([rng.normal(size=(30, 4)) + c for c in ([0, 0, 0, 0], [30, 30, 30, 30], [60, 0, 60, 0])])
+    x[60:75] = x[60]
+    x[::5, 0] = np.nan
+    x[1::7, 1] = np.nan
+    x[0, :2] = np.nan
+    df = _frame(spark, x)
+    spark.conf.set("prepforge.knn.blockRows", block)
+    try:
+        got = {r["k"]: (r["c0"], r["c1"]) for r in KnnImpute("knn", key="k").fit(df, ["c0", "c1", "c2", "c3"]).transform(df).collect()}
+    finally:
+        spark.conf.unset("prepforge.knn.blockRows")
+    for i in range(len(x)):
+        for j in (0, 1):
+            if np.isnan(x[i, j]):
+                donors = []
+                for b in np.flatnonzero(~np.isnan(x[:, j])):
+                    m = ~np.isnan(x[i]) & ~np.isnan(x[b])
+                    donors.append((round(np.sqrt(4.0 / m.sum() * ((x[i, m] - x[b, m]) ** 2).sum()), 9), b))
+                want = np.mean([x[b, j] for _, b in sorted(donors)[:5]])
+                assert got[i][j] == pytest.approx(want)
+
+
+def test_knn_without_a_complete_column(spark):
+    x = np.array([[1.0, np.nan], [np.nan, 2.0], [1.5, 2.5], [3.0, 4.0]])
+    got = {r["k"]: (r["c0"], r["c1"]) for r in KnnImpute("knn", key="k", k=1).fit(_frame(spark, x), ["c0", "c1"]).transform(_frame(spark, x)).collect()}
+    assert got[0] == (1.0, 2.5) and got[1] == (1.5, 2.0)
+
+
+def test_approximate_neighbours(spark):
+    """LSH: true distances, and most of the true neighbours of clustered rows."""
+    rng = np.random.default_rng(23)
+    x = np.vstack([rng.normal(size=(30, 6)) * 0.2 + c for c in rng.normal(size=(8, 6)) * 10])
+    df = _frame(spark, x, with_nan=False)
+    cols = [f"c{j}" for j in range(6)]
+    got = {(r["qk"], r["bk"]): r["dist"] for r in knn_approximate(df, df, "k", "k", cols, 5, 3.0, 2.0, exclude_self=True).collect()}
+    want = {(r["qk"], r["bk"]): r["dist"] for r in knn_candidates(df, df, "k", "k", cols, 5, exclude_self=True).collect()}
+    assert len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(got[x] == pytest.approx(want[x], abs=1e-6) for x in got.keys() & want.keys())
+
+
 def test_knn_impute_matches_nan_euclidean(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 3))
@@ -105,6 +169,106 @@ def test_mice_imputes_linear_structure(spark):
         assert out[i] == pytest.approx(2 * a[i], abs=0.05)
 
 
+def _gappy(seed=12, n=240):
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=(n, 2))
+    x = np.column_stack([z[:, 0] + 5, 2 * z[:, 0] + 0.3 * rng.normal(size=n), z[:, 1] * 100, z[:, 0] - z[:, 1] + 0.2 * rng.normal(size=n)])
+    for j, share in ((0, 0.2), (1, 0.3), (3, 0.1)):
+        x[rng.uniform(size=n) < share, j] = np.nan
+    x[7, [0, 1, 3]] = np.nan
+    x[9] = np.nan
+    return x
+
+
+def _mice_by_rows(x, rounds):
+    """The chain over the rows themselves."""
+    miss, means = np.isnan(x), np.nanmean(x, axis=0)
+    cur = np.where(miss, means, x)
+    order = [j for j in sorted(range(x.shape[1]), key=lambda j: (miss[:, j].sum(), j)) if miss[:, j].any()]
+    out = []
+    for _ in range(rounds):
+        before = cur.copy()
+        for j in order:
+            rest = [i for i in range(x.shape[1]) if i != j]
+            seen = cur[~miss[:, j]]
+            mu = seen.mean(0)
+            c = seen - mu
+            coef = bayesian_ridge(c[:, rest].T @ c[:, rest], c[:, rest].T @ c[:, j], float(c[:, j] @ c[:, j]), float(len(c)))
+            out.append((j, coef, mu[j] - coef @ mu[rest]))
+            cur[miss[:, j], j] = cur[miss[:, j]][:, rest] @ coef + out[-1][2]
+        if np.abs(cur - before).max() < M.TOL * np.nanmax(np.abs(x)):
+            break
+    return out, cur
+
+
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_mice_equals_the_chain_over_rows(spark, monkeypatch, local):
+    """Pattern statistics give the rows' own coefficients and stop in the same round; on the driver or as jobs."""
+    monkeypatch.setattr(M, "TOL", 1e-2 if local else 1e-1)
+    x = _gappy()
+    df = _frame(spark, x).repartition(3)
+    f = MiceImpute("mice", local_bytes=local, max_rounds=10 if local else 2).fit(df, ["c0", "c1", "c2", "c3"])
+    want, cur = _mice_by_rows(x, 10 if local else 2)
+    got = [s for r in f.params["rounds"] for s in r]
+    assert len(got) == len(want) and len(want) >= 4
+    for s, (j, coef, a) in zip(got, want, strict=True):
+        assert s["col"] == f"c{j}" and s["coef"] == pytest.approx(coef.tolist(), abs=1e-7) and s["intercept"] == pytest.approx(a, abs=1e-6)
+    filled = f.transform(df).orderBy("k").select("c0", "c1", "c2", "c3").collect()
+    assert np.allclose([tuple(r) for r in filled], cur, atol=1e-5)
+
+
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_em_equals_the_steps_over_rows(spark, local):
+    x = _gappy()
+    iters = 20 if local else 2
+    f = EMImpute("em", local_bytes=local, max_iter=iters).fit(_frame(spark, x).repartition(3), ["c0", "c1", "c2", "c3"])
+    mu, sigma = np.nanmean(x, axis=0), np.diag(np.nanvar(x, axis=0))
+    for _ in range(iters):
+        xhat, extra = M._em_estep(mu, sigma, x)
+        new = xhat.mean(0)
+        new_sigma = (xhat.T @ xhat + extra) / len(x) - np.outer(new, new)
+        done = np.abs(new - mu).max() < M.EM_TOL and np.abs(new_sigma - sigma).max() < M.EM_TOL
+        mu, sigma = new, new_sigma
+        if done:
+            break
+    assert np.allclose(f.params["mu"], mu, atol=1e-6) and np.allclose(f.params["sigma"], sigma, rtol=1e-6, atol=1e-6)
+
+
+def test_pattern_statistics(spark, monkeypatch):
+    """Sums by pattern, whatever a task holds; one scan."""
+    x = _gappy(13, 90)
+    monkeypatch.setattr(patterns, "HELD_PATTERNS", 2)
+    p = patterns.Patterns(_frame(spark, x).repartition(4), ["c0", "c1", "c2", "c3"])
+    z = x - np.nanmean(x, axis=0)
+    want = {}
+    for row in z:
+        m = tuple(np.isnan(row))
+        want.setdefault(m, []).append(np.nan_to_num(row))
+    assert len(p.local) == len(want)
+    for miss, n, s, c in p.local:
+        rows = np.array(want[tuple(miss)])
+        assert n == len(rows) and np.allclose(s, rows.sum(0)) and np.allclose(c, rows.T @ rows)
+
+
+def test_tree_imputes_a_step(spark):
+    """The chained tree learns a step of another column; nothing else changes."""
+    rng = np.random.default_rng(14)
+    a = rng.uniform(size=300)
+    x = np.column_stack([a, np.where(a > 0.5, 10.0, -10.0), a * 2])
+    x[::6, 1] = np.nan
+    df = _frame(spark, x)
+    out = {r["k"]: r for r in TreeImpute("dt", max_rounds=2).fit(df, ["c0", "c1", "c2"]).transform(df).collect()}
+    assert all(out[i]["c1"] == pytest.approx(10.0 if a[i] > 0.5 else -10.0, abs=4.0) for i in range(0, 300, 6) if abs(a[i] - 0.5) > 0.05)
+    assert all(out[i]["c0"] == a[i] and (i % 6 == 0 or out[i]["c1"] == x[i, 1]) for i in range(300))
+
+
+def test_imputers_without_gaps_or_rows(spark):
+    df = _frame(spark, np.arange(6.0).reshape(3, 2), with_nan=False)
+    for op in (MiceImpute("mice"), EMImpute("em")):
+        assert sorted(map(tuple, op.fit(df, ["c0", "c1"]).transform(df).collect())) == sorted(map(tuple, df.collect()))
+        assert op.fit(df.limit(0), ["c0", "c1"]).transform(df.limit(0)).collect() == []
+
+
 def test_em_conditional_mean(spark):
     rng = np.random.default_rng(9)
     cov = np.array([[1.0, 0.8], [0.8, 1.0]])
