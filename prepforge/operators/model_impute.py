@@ -1,26 +1,30 @@
 """Model-based numeric imputation (IMP9-11).
 
-* ``mice``: chained equations with Bayesian ridge regression. Each column
-  model is fitted from distributed sufficient statistics (Gram matrix of
-  the other columns and the target over rows where the target is observed)
-  and a p x p evidence-maximisation loop on the driver; the prediction is a
-  linear column expression. Rounds are cut with a reliable checkpoint.
+* ``mice``: chained equations with Bayesian ridge regression, fitted from the
+  sufficient statistics of the missing patterns (``functions.patterns``). The
+  models are linear, so whatever the chain has done so far, a row's completed
+  values are an affine map of its observed ones, one map per pattern. The
+  Gram matrix of the completed rows follows from the map and the pattern's
+  sums, for every column and round, without reading rows; a round reads them
+  once to find the largest change of an imputed cell. The evidence
+  maximisation is a p x p loop on the driver; the prediction is a linear
+  column expression.
 * ``dt``: the same chain with a single regression tree per column (MLlib
   random forest with one tree, sqrt feature subsets, no bootstrap).
-* ``em``: Gaussian expectation-maximisation; the E-step runs per Arrow batch
-  in numpy (``mapInPandas``) and emits partial moment sums, the M-step is a
-  p x p update on the driver. Imputation = conditional mean given the
-  observed coordinates.
+* ``em``: Gaussian expectation-maximisation from the same statistics: one
+  scan, whatever the number of iterations. Imputation = conditional mean
+  given the observed coordinates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepforge.functions.linalg import gram
+from prepforge.functions.patterns import LOCAL_BYTES, Pattern, Patterns, by_pattern, matrix
 from prepforge.functions.stats import agg_row, numeric_cols, qcol
 from prepforge.operators.base import Fitted, PrepOp, register
 from prepforge.session import cut_lineage
@@ -82,76 +86,78 @@ class ChainFitted(Fitted):
         return e
 
 
-def _fit_chain(df: DataFrame, cols: list[str], key: str | None, fit_column, max_rounds: int) -> tuple[dict, list]:
-    """Shared driver of the chained imputers. ``fit_column(cur, target,
-    inputs) -> step`` fits one column model on rows where the target was
-    observed; returns the step and an expression predicting the target."""
-    row = agg_row(df, {**{f"m{i}": F.avg(qcol(c)) for i, c in enumerate(cols)},
-                       **{f"n{i}": F.sum(qcol(c).isNull().cast("long")) for i, c in enumerate(cols)},
-                       **{f"a{i}": F.max(F.abs(qcol(c))) for i, c in enumerate(cols)}})
-    means = {c: row[f"m{i}"] for i, c in enumerate(cols)}
-    nmiss = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    scale = max((row[f"a{i}"] or 0.0) for i in range(len(cols)))
-    order = [c for c in sorted(cols, key=lambda c: (nmiss[c], cols.index(c))) if nmiss[c] > 0]
-    miss = {c: f"_miss_{i}" for i, c in enumerate(cols)}
-    cur = df.select(*([qcol(key)] if key else []), *[qcol(c).cast("double").alias(c) for c in cols])
-    cur = cur.withColumns({miss[c]: qcol(c).isNull() for c in cols})
-    cur = cur.withColumns({c: F.coalesce(qcol(c), F.lit(means[c])) for c in cols})
-    cur = cut_lineage(cur)
-    rounds = []
-    for _ in range(max_rounds):
-        if not order:
-            break
-        steps = []
-        prev = cur
-        for c in order:
-            inputs = [x for x in cols if x != c]
-            step, pred = fit_column(cur, c, inputs, miss[c])
-            steps.append(step)
-            cur = cur.withColumn(c, F.when(F.col(miss[c]), pred).otherwise(qcol(c)))
-        rounds.append(steps)
-        cur = cut_lineage(cur)
-        # convergence: largest change of an imputed cell vs tolerance x largest |observed|
-        both = cur.alias("a").join(prev.alias("b"), on=key) if key else None
-        if both is None:
-            break
-        delta = agg_row(both, {"d": F.max(F.greatest(*[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in order]))
-                               if len(order) > 1 else F.max(F.abs(F.col(f"a.{order[0]}") - F.col(f"b.{order[0]}")))})
-        if delta["d"] is not None and delta["d"] < TOL * scale:
-            break
-    return means, rounds
-
-
-def _mice_column(cur: DataFrame, target: str, inputs: list[str], miss_col: str):
-    obs = cur.filter(~F.col(miss_col))
-    allc = inputs + [target]
-    mrow = agg_row(obs, {f"m{i}": F.avg(qcol(c)) for i, c in enumerate(allc)})
-    mu = np.array([mrow[f"m{i}"] for i in range(len(allc))], dtype=float)
-    n, s, g = gram(obs, allc, shift=mu.tolist())
-    g = g - np.outer(s, s) / max(n, 1.0)    # exact centring
-    p = len(inputs)
-    coef = bayesian_ridge(g[:p, :p], g[:p, p], float(g[p, p]), n)
-    intercept = float(mu[p] - mu[:p] @ coef)
-    step = {"col": target, "inputs": inputs, "coef": coef.tolist(), "intercept": intercept}
-    pred = F.lit(intercept)
-    for c, w in zip(inputs, coef):
-        pred = pred + qcol(c) * F.lit(float(w))
-    return step, pred
+#: A fitted link of the chain: target, intercept and one coefficient per column
+#: (0 for the target), all for values less the column means.
+Link = tuple[int, float, np.ndarray]
+
+
+def completed(miss: np.ndarray, links: list[Link], start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The map (b, a) of a pattern after some links: completed values are
+    ``b @ observed + a``, with 0 (the mean) for what is missing at first."""
+    b, a = (np.diag((~miss).astype(float)), np.zeros(len(miss))) if start is None else (start[0].copy(), start[1].copy())
+    for target, intercept, coef in links:
+        if miss[target]:
+            b[target], a[target] = coef @ b, coef @ a + intercept
+    return b, a
+
+
+def _completed_sums(x: Pattern, links: list[Link], target: int) -> np.ndarray:
+    """Count, sums and cross products of a pattern's completed rows, where the target is observed."""
+    miss, n, s, c = x
+    p = len(miss)
+    if miss[target]:
+        return np.zeros(1 + p + p * p)
+    b, a = completed(miss, links)
+    bs = b @ s
+    both = np.outer(a, bs)
+    return np.concatenate([[n], n * a + bs, (n * np.outer(a, a) + both + both.T + b @ c @ b.T).ravel()])
+
+
+def _largest_change(rows: DataFrame, shift: np.ndarray, before: list[Link], after: list[Link]) -> float:
+    """The largest change of an imputed cell by the links ``after`` those ``before``."""
+    p = len(shift)
+
+    def job(batches):
+        worst = 0.0
+        for batch in batches:
+            x = matrix(batch, p) - shift
+            for miss, at in by_pattern(x):
+                old = completed(miss, before)
+                new = completed(miss, after, old)
+                z = np.nan_to_num(x[at])
+                worst = max(worst, float(np.abs(z @ (new[0] - old[0]).T + (new[1] - old[1])).max()))
+        yield pa.RecordBatch.from_pydict({"d": [worst]})
+
+    return rows.mapInArrow(job, "d double").agg(F.max("d")).first()[0] or 0.0
 
 
 @register("imputation", "mice", "MICE")
 class MiceImpute(PrepOp):
+    """Chained equations; rows need no key."""
     stage = "imputation"
 
     def fit(self, df: DataFrame, cols: list[str], label: str | None = None) -> Fitted:
         cols = numeric_cols(df, cols)
-        key = self.kw.get("key")
-        if key is None:
-            df = df.withColumn("_rowkey", F.monotonically_increasing_id())
-            key = "_rowkey"
-            df = cut_lineage(df)
-        means, rounds = _fit_chain(df, cols, key, _mice_column, int(self.kw.get("max_rounds", MAX_ROUNDS)))
-        return ChainFitted("impute.mice", cols, {"means": means, "rounds": rounds})
+        stats = Patterns(df, cols, int(self.kw.get("local_bytes", LOCAL_BYTES)))
+        p = len(cols)
+        order = [j for j in sorted(range(p), key=lambda j: (stats.missing[j], j)) if stats.missing[j] > 0]
+        links: list[Link] = []
+        for _ in range(int(self.kw.get("max_rounds", MAX_ROUNDS)) if order else 0):
+            begun = len(links)
+            for j in order:
+                v = stats.total(lambda x, j=j, links=tuple(links): _completed_sums(x, links, j), 1 + p + p * p)
+                n, mu = v[0], v[1:1 + p] / max(v[0], 1.0)
+                g = v[1 + p:].reshape(p, p) - n * np.outer(mu, mu)
+                rest = [i for i in range(p) if i != j]
+                coef = np.zeros(p)
+                coef[rest] = bayesian_ridge(g[np.ix_(rest, rest)], g[rest, j], float(g[j, j]), n)
+                links.append((j, float(mu[j] - coef @ mu), coef))
+            if _largest_change(stats.rows, stats.means, links[:begun], links[begun:]) < TOL * stats.largest.max():
+                break
+        steps = [{"col": cols[j], "inputs": [c for i, c in enumerate(cols) if i != j], "coef": np.delete(coef, j).tolist(),
+                  "intercept": float(a + stats.means[j] - coef @ stats.means)} for j, a, coef in links]
+        rounds = [steps[i:i + len(order)] for i in range(0, len(steps), len(order))] if order else []
+        return ChainFitted("impute.mice", cols, {"means": dict(zip(cols, stats.means.tolist(), strict=True)), "rounds": rounds})
 
 
 # ---------------------------------------------------------------- tree chain
@@ -266,6 +272,20 @@ class EMFitted(Fitted):
         return out.withColumns({c: F.col("_em")[j] for j, c in enumerate(cols)}).drop("_em")
 
 
+def _expected(x: Pattern, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Expected sums and second moments of a pattern's rows, given the observed values."""
+    miss, n, s, c = x
+    p, seen = len(miss), ~miss
+    b, a, rest = np.diag(seen.astype(float)), np.zeros(p), np.zeros((p, p))
+    if miss.any():
+        k = sigma[np.ix_(miss, seen)] @ np.linalg.pinv(sigma[np.ix_(seen, seen)]) if seen.any() else np.zeros((p, 0))
+        b[np.ix_(miss, seen)], a[miss] = k, mu[miss] - k @ mu[seen]
+        rest[np.ix_(miss, miss)] = n * (sigma[np.ix_(miss, miss)] - k @ sigma[np.ix_(seen, miss)])
+    bs = b @ s
+    both = np.outer(a, bs)
+    return np.concatenate([[n], n * a + bs, (n * np.outer(a, a) + both + both.T + b @ c @ b.T + rest).ravel()])
+
+
 @register("imputation", "em", "EM")
 class EMImpute(PrepOp):
     stage = "imputation"
@@ -273,40 +293,16 @@ class EMImpute(PrepOp):
     def fit(self, df: DataFrame, cols: list[str], label: str | None = None) -> Fitted:
         cols = numeric_cols(df, cols)
         p = len(cols)
-        src = df.select(*[qcol(c).cast("double").alias(c) for c in cols])
-        row = agg_row(src, {**{f"m{i}": F.avg(qcol(c)) for i, c in enumerate(cols)},
-                            **{f"v{i}": F.var_pop(qcol(c)) for i, c in enumerate(cols)}})
-        mu = np.array([row[f"m{i}"] for i in range(p)], dtype=float)
-        sigma = np.diag([row[f"v{i}"] or 1.0 for i in range(p)])
-        iu = np.triu_indices(p)
+        stats = Patterns(df, cols, int(self.kw.get("local_bytes", LOCAL_BYTES)))
+        mu, sigma = np.zeros(p), np.diag(np.where(stats.variances > 0, stats.variances, 1.0))  # values less the means
         for _ in range(int(self.kw.get("max_iter", EM_ITERS))):
-            mu_b, sig_b = mu.copy(), sigma.copy()
-
-            def estep(it):
-                acc = np.zeros(1 + p + len(iu[0]))
-                for pdf in it:
-                    x = pdf[cols].to_numpy(dtype=float)
-                    if len(x) == 0:
-                        continue
-                    xhat, extra = _em_estep(mu_b, sig_b, x)
-                    acc[0] += len(x)
-                    acc[1:1 + p] += xhat.sum(0)
-                    acc[1 + p:] += (xhat.T @ xhat + extra)[iu]
-                yield pd.DataFrame({"v": [acc.tolist()]})
-
-            parts = src.mapInPandas(estep, "v array<double>")
-            tot = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-            vec = np.zeros(1 + p + len(iu[0]))
-            for r in tot:
-                vec[r["i"]] = r["x"]
-            n = vec[0]
-            new_mu = vec[1:1 + p] / n
-            sxx = np.zeros((p, p))
-            sxx[iu] = vec[1 + p:]
-            sxx = sxx + np.triu(sxx, 1).T
-            new_sigma = sxx / n - np.outer(new_mu, new_mu)
+            v = stats.total(lambda x, mu=mu, sigma=sigma: _expected(x, mu, sigma), 1 + p + p * p)
+            if not v[0]:
+                break
+            new_mu = v[1:1 + p] / v[0]
+            new_sigma = v[1 + p:].reshape(p, p) / v[0] - np.outer(new_mu, new_mu)
             done = np.max(np.abs(new_mu - mu)) < EM_TOL and np.max(np.abs(new_sigma - sigma)) < EM_TOL
             mu, sigma = new_mu, new_sigma
             if done:
                 break
-        return EMFitted("impute.em", cols, {"mu": mu.tolist(), "sigma": sigma.tolist()})
+        return EMFitted("impute.em", cols, {"mu": (mu + stats.means).tolist(), "sigma": sigma.tolist()})
