@@ -8,22 +8,27 @@ by comparing the ``WINDOW``-word windows that cover the anchor; a run of equal
 windows is the maximal exact repeat. A word goes if such a window's words also
 start in a document with a smaller id.
 
-Rows are packed into chunks of some MB, stored once in a table bucketed by the
-task that wrote them, so that texts never move again: what the buckets answer
-joins them where they lie. Hashes travel packed, a row per chunk and hash
-bucket, each value once a chunk, so a passage that stands everywhere is as
-cheap as any other. The probe sends 32 + log2(buckets) hash bits (a false hit
-only costs a comparison); the extension compares 96 bits. Buckets grow with
-the input, so a task's share does not.
+Rows are packed into chunks of a megabyte or so, stored once in a table
+bucketed by the task that wrote them, so that texts never move again: what the
+buckets answer joins them where they lie. Hashes travel packed, a row per chunk
+and hash bucket that the chunk has values for, each value once a chunk, so a
+passage that stands everywhere is as cheap as any other and there are never
+more rows than values, however many buckets there are. The probe sends
+32 + log2(buckets) hash bits (a false hit only costs a comparison); the
+extension compares 128 bits: two polynomials over two independent XXH64 hashes
+of each word. Buckets grow with the input, so a task's share does not.
 
 Defined results: NULL or blank text has no words. Rows that share an id don't
 remove each other's words. A NULL id counts as larger than any other. Texts of
-fewer words than a window stay as they are.
+fewer words than a window stay as they are. Ids must be whole numbers. A text
+is never cut, so the longest one must fit a Python worker (about 150 bytes of
+memory a word).
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,11 +39,13 @@ from pyspark.sql import functions as F
 
 from prepforge.llm.util import col, read_documents, store
 from prepforge.llm.words import Words, in_one_row, row_slices, space_table, split_words, window_hashes, word_hashes
+from prepforge.session import ensure_checkpoint_dir
 
 WINDOW = 50
 #: Bytes of text in a chunk, and (about) of text behind a hash bucket.
-CHUNK_BYTES = 4 << 20
-LEAST_BUCKETS = 256
+CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 128
 
 _LAST = np.int64((1 << 63) - 1)
 _SECOND = 0xA0761D6478BD642F
@@ -68,11 +75,17 @@ class _Chunk:
         at = np.flatnonzero(in_one_row(self.first, k) & (self.n >= least)[self.row[:len(v)]])
         return at, v[at]
 
+    def second(self, k: int) -> np.ndarray:
+        """Independent hashes of all windows of k words."""
+        return window_hashes(word_hashes(self.words, 1), k, _SECOND)
 
-def _dealt(v: np.ndarray, bits: int) -> np.ndarray:
-    """Limits of the buckets (the top bits) in sorted hashes."""
-    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(v, tops), [len(v)]]).astype(np.int32)
+
+def _dealt(v: np.ndarray, bits: int, has: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (top bits) that sorted hashes fall into, or ``has``, and
+    their limits; values of other buckets than ``has`` don't occur."""
+    bucket = (v >> np.uint64(64 - bits)).astype(np.int64)
+    has = np.unique(bucket) if has is None else has
+    return has, np.concatenate([[0], np.searchsorted(bucket, has, "right")]).astype(np.int32)
 
 
 def _lists(limits: np.ndarray, flat: pa.Array) -> pa.Array:
@@ -109,9 +122,10 @@ def _probe(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterato
         head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
         tail = np.concatenate([head[1:], [len(v)]])[:len(head)] - 1
         several = v[head[row[head] != row[tail]]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(1 << bits), pa.int32()), *_named(part, chunk, 1 << bits)] + [_lists(_dealt(x, bits), _low(x, bits)) for x in (v[head], several, blocks)],
-            ["bucket", "part", "chunk", "probes", "several", "blocks"])
+        v = v[head]
+        has, cuts = _dealt(v, bits)
+        lists = [_lists(cuts, _low(v, bits)), *(_lists(_dealt(x, bits, has)[1], _low(x, bits)) for x in (several, blocks))]
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), *_named(part, chunk, len(has)), *lists], ["bucket", "part", "chunk", "probes", "several", "blocks"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], work: Callable[[int, pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +195,7 @@ def _extend(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterat
         near = np.searchsorted(anchor, s + (window - size), "right") > np.searchsorted(anchor, s)
         s, h1 = s[near], h1[near]
         ids = c.ids[c.row[s]]
-        h2 = (window_hashes(c.h, window, _SECOND)[s] >> np.uint64(32)).astype(np.uint32) if len(s) else np.zeros(0, np.uint32)
+        h2 = c.second(window)[s] if len(s) else h1
         order = np.lexsort((ids, h1))
         h1, h2, ids = h1[order], h2[order], ids[order]
         edge = np.concatenate([[True], h1[1:] != h1[:-1], [True]]) if len(h1) else np.ones(1, bool)
@@ -189,11 +203,9 @@ def _extend(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterat
         last = tail & (ids != ids[np.maximum.accumulate(np.where(head, np.arange(len(ids)), 0))]) if len(ids) else tail
         keep = head | last
         h1, h2, ids = h1[keep], h2[keep], ids[keep]
-        cuts = _dealt(h1, bits)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(1 << bits), pa.int32()), *_named(part, chunk, 1 << bits), *(_lists(cuts, pa.array(x)) for x in (h1.view(np.int64), h2.view(np.int32), ids))],
-            ["bucket", "part", "chunk", "h1", "h2", "ids"])
-        yield out.filter(pa.array(np.diff(cuts) > 0))
+        has, cuts = _dealt(h1, bits)
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), *_named(part, chunk, len(has)), *(_lists(cuts, pa.array(x)) for x in (h1.view(np.int64), h2.view(np.int64), ids))],
+                                         ["bucket", "part", "chunk", "h1", "h2", "ids"])
 
 
 def _smaller(bucket: int, t: pa.Table) -> pa.RecordBatch:
@@ -207,23 +219,22 @@ def _smaller(bucket: int, t: pa.Table) -> pa.RecordBatch:
     least = np.full(int(new.sum()), _LAST)
     np.minimum.at(least, group, ids)
     on = ids > least[group]
-    return _answer(t, row[on], {"hits": h1[on], "least": least[group][on]})
+    return _answer(t, row[on], {"hits": h1[on], "second": h2[on], "least": least[group][on]})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Per row: words, removed words, what is left."""
     for b in batches:
-        least = b.column("least")
         for i, (_, _, c, hits) in enumerate(_chunk_rows([b])):
             gone = np.zeros(len(c.h), bool)
             if hits is not None:
-                known, low = hits.to_numpy(), least[i].values.to_numpy()
+                known, other, low = (b.column(x)[i].values.to_numpy() for x in ("hits", "second", "least"))
                 order = np.lexsort((low, known))
-                known, low = known[order], low[order]
+                known, other, low = known[order], other[order], low[order]
                 s, h1 = c.windows(window, window)
                 place = _member(h1.view(np.int64), known)
                 s, place = s[place >= 0], place[place >= 0]
-                s = s[c.ids[c.row[s]] > low[place]]
+                s = s[(c.ids[c.row[s]] > low[place]) & (c.second(window)[s].view(np.int64) == other[place])]
                 cover = np.zeros(len(c.h) + 1, np.int64)
                 np.add.at(cover, s, 1)
                 np.add.at(cover, s + window, -1)
@@ -250,38 +261,40 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Ite
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True,
-                     chunk_bytes: int = CHUNK_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
+                     chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and, if
     asked for, ``kept_text`` (kept words joined by one space)."""
     spark = docs.sparkSession
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(31, max(least_buckets, -(-size // chunk_bytes)).bit_length())
-    parts = rows.rdd.getNumPartitions()
+    bits = min(31, max(least_buckets, -(-size // bucket_bytes)).bit_length())
+    places = max(4 * rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = f"substring_chunks_{uuid.uuid4().hex}"
     packed = rows.mapInArrow(lambda b: _chunks(b, chunk_bytes), "ids array<long>, texts array<string>")
     named = packed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("chunk"), "ids", "texts")
-    named.write.bucketBy(max(4 * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part").saveAsTable(table)
-    chunks = spark.table(table)
 
     def told(answers: DataFrame, *cols: str) -> DataFrame:
-        """The chunks with what their windows were answered; only the answers move."""
-        each = answers.groupBy("part").agg(F.collect_list(F.struct("chunk", *cols)).alias("answers"))
-        joined = chunks.join(each, "part", "left")
-        own = lambda c: F.flatten(F.transform(F.filter("answers", lambda x: x["chunk"] == F.col("chunk")), lambda x: x[c]))
-        return joined.select("part", "chunk", "ids", "texts", *[F.when(F.exists("answers", lambda x: x["chunk"] == F.col("chunk")), own(c)).alias(c) for c in cols])
+        """The chunks with what their windows were answered; only the answers
+        move, to the buckets of the tasks whose chunks asked. (Written as a
+        difference, the chunk's number is no join key, which would deal the
+        texts anew.)"""
+        own = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        each = answers.repartition(places, "part").groupBy("part", "chunk").agg(*map(own, cols)).withColumnRenamed("chunk", "to")
+        return spark.table(table).join(each.withColumnRenamed("part", "of"), F.expr("part = of AND chunk - to = 0"), "left").select("part", "chunk", "ids", "texts", *cols)
 
     def asked(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
-    probes = asked(chunks.mapInArrow(lambda b: _probe(b, window, bits), "bucket int, part int, chunk long, probes array<int>, several array<int>, blocks array<int>"))
-    anchors = store(probes.mapInArrow(lambda b: _by_bucket(b, _anchors), "part int, chunk long, hits array<long>"), "anchors")
-    cover = asked(told(anchors, "hits").mapInArrow(lambda b: _extend(b, window, bits), "bucket int, part int, chunk long, h1 array<long>, h2 array<int>, ids array<long>"))
-    repeats = store(cover.mapInArrow(lambda b: _by_bucket(b, _smaller), "part int, chunk long, hits array<long>, least array<long>"), "repeats")
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    out = store(told(repeats, "hits", "least").mapInArrow(lambda b: _cut(b, window, with_text), kind), "substrings")
-    spark.sql(f"DROP TABLE {table}")
-    return out
+    try:
+        named.write.bucketBy(places, "part").option("path", os.path.join(ensure_checkpoint_dir(spark), table)).saveAsTable(table)
+        probes = asked(spark.table(table).mapInArrow(lambda b: _probe(b, window, bits), "bucket int, part int, chunk long, probes array<int>, several array<int>, blocks array<int>"))
+        anchors = store(probes.mapInArrow(lambda b: _by_bucket(b, _anchors), "part int, chunk long, hits array<long>"), "anchors")
+        cover = asked(told(anchors, "hits").mapInArrow(lambda b: _extend(b, window, bits), "bucket int, part int, chunk long, h1 array<long>, h2 array<long>, ids array<long>"))
+        repeats = store(cover.mapInArrow(lambda b: _by_bucket(b, _smaller), "part int, chunk long, hits array<long>, second array<long>, least array<long>"), "repeats")
+        kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        return store(told(repeats, "hits", "second", "least").mapInArrow(lambda b: _cut(b, window, with_text), kind), "substrings")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

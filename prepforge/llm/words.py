@@ -2,8 +2,8 @@
 array: the helper of the operators that work on words inside Arrow batches.
 
 Nothing here loops over words: a batch's UTF-8 bytes are classified with a
-256-entry table, word limits are where the class changes, and a word's hash is
-a difference of running polynomial sums. Texts are never cut or decoded.
+256-entry table, word limits are where the class changes, and all words are
+hashed together. Texts are never cut or decoded.
 """
 
 from __future__ import annotations
@@ -14,11 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes handled at once by the hashing loops (bounds their temporaries).
-SEGMENT = 1 << 20
-
-_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+from prepforge.llm.xxh import xxh64
 
 
 def space_table() -> tuple[np.ndarray, np.ndarray]:
@@ -103,29 +99,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
 def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
-    """64-bit hash of every word's bytes (``seed`` 0 or 1: two families)."""
-    base = _BASE[seed]
-    out = np.empty(len(w.starts), np.uint64)
-    i, n, pw, inv = 0, len(w.starts), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    while i < n:
-        at = w.starts[i]
-        j = max(i + 1, int(np.searchsorted(w.ends, at + SEGMENT, "right")))
-        size = int(w.ends[j - 1] - at)
-        if len(pw) < size:
-            pw, inv = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
-        pre = np.zeros(size + 1, np.uint64)
-        np.cumsum((w.low[at:at + size].astype(np.uint64) + np.uint64(1)) * pw[:size], out=pre[1:])
-        s, e = w.starts[i:j] - at, w.ends[i:j] - at
-        out[i:j] = mix((pre[e] - pre[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(_BASE[1 - seed]))
-        i = j
-    return out
+    """XXH64 of every word's bytes; hashes of two seeds are independent."""
+    return xxh64(w.low, w.starts, w.ends - w.starts, seed)
 
 
 def window_hashes(h: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
