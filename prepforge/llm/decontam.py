@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepforge.llm.util import col, fresh, read_documents, store
-from prepforge.llm.words import alnum_table, ranges, row_slices, split_words, word_hashes
+from prepforge.llm.words import alnum_table, in_one_row, ranges, row_slices, split_words, word_hashes
 
 WINDOW = 10
 NEAR_TERMS = 3
 NEAR_WORDS = 20
-#: Bytes of benchmark text searched at once (what each task gets).
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text searched at once. A task gets about 60 bytes for each
+#: of its words, some ten times the text.
+BLOCK_BYTES = 4 << 20
 #: Bytes of training text in a shard.
 SHARD_BYTES = 4 << 20
 #: Unused positions between the rows of a shard: no window or neighbourhood spans them.
@@ -81,45 +82,82 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     return store(shards.withColumn("shard", F.monotonically_increasing_id()), "postings", compression="zstd")
 
 
+class Windows(NamedTuple):
+    """Distinct windows of one length: codes of their words, and the items of
+    window x: ``items[limits[x]:limits[x + 1]]``."""
+
+    codes: np.ndarray
+    limits: np.ndarray
+    items: np.ndarray
+
+
 class Queries(NamedTuple):
     """A block of the benchmark: distinct terms and their places in byte order;
-    windows by their number of words, as codes into ``terms``; items of each
-    window; all terms of an item."""
+    windows by their number of words, as codes into ``terms``; ids of the
+    items; (item, code) of all words that an item has, each once."""
 
     terms: np.ndarray
     places: np.ndarray
-    windows: list[tuple[np.ndarray, list[list[int]]]]
+    windows: list[Windows]
     items: list[str | None]
-    item_terms: list[np.ndarray]
+    words: tuple[np.ndarray, np.ndarray]
 
 
 def parse_items(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Queries:
     texts = pa.array([t for _, t in rows], pa.string())
     w = split_words(texts, alnum_table())
     terms, at, codes = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+    codes = codes.astype(np.int32)
     names = [w.low[s:e].tobytes() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
     places = np.argsort(np.array(sorted(range(len(names)), key=names.__getitem__), np.int64))
-    found: dict[tuple[int, ...], set[int]] = {}
-    own = []
-    for i in range(len(rows)):
-        seq = codes[w.first[i]:w.first[i + 1]].tolist()
-        own.append(np.unique(seq).astype(np.int64))
-        for s in range(max(1, len(seq) - window + 1) if seq else 0):
-            found.setdefault(tuple(seq[s:s + window]), set()).add(i)
-    by: dict[int, list[tuple[int, ...]]] = {}
-    for x in found:
-        by.setdefault(len(x), []).append(x)
-    return Queries(terms, places, [(np.array(x, np.int64), [sorted(found[y]) for y in x]) for _, x in sorted(by.items())], [i for i, _ in rows], own)
-
-
-def phrase_matches(keys: np.ndarray, codes: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(w.first)
+    item = np.repeat(np.arange(len(n)), n)
+    found = []
+    for k in range(1, window + 1):
+        whole = np.flatnonzero(in_one_row(w.first, k))
+        starts = whole[n[item[whole]] >= k] if k == window else w.first[:-1][n == k]
+        if len(starts):
+            different, which = np.unique(codes[starts[:, None] + np.arange(k)], axis=0, return_inverse=True)
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(n) + item[starts])
+            found.append(Windows(different, np.searchsorted(pairs, np.arange(len(different) + 1) * len(n)), (pairs % len(n)).astype(np.int32)))
+    own = np.unique(item.astype(np.int64) * max(len(terms), 1) + codes)
+    return Queries(terms, places, found, [i for i, _ in rows], (own // max(len(terms), 1), own % max(len(terms), 1)))
+
+
+class Search(NamedTuple):
+    """What a task gets of a block, ordered by rarity once: the windows' codes,
+    rarest first, with their offsets; the items' rarest terms."""
+
+    terms: np.ndarray
+    windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    items: list[str | None]
+    rare: np.ndarray
+    rare_items: np.ndarray
+
+
+def by_rarity(q: Queries, freq: np.ndarray, near_terms: int = NEAR_TERMS) -> Search:
+    rank = np.argsort(np.lexsort((q.places, freq)), kind="stable").astype(np.int32)
+    windows = []
+    for x in q.windows:
+        order = np.argsort(rank[x.codes], axis=1, kind="stable").astype(np.int8)
+        windows.append((np.take_along_axis(x.codes, order.astype(np.int64), axis=1), order, x.limits, x.items))
+    item, code = q.words
+    by = np.lexsort((rank[code], item))
+    item, code = item[by], code[by]
+    head = np.searchsorted(item, np.arange(len(q.items)))
+    full = np.flatnonzero(np.diff(np.concatenate([head, [len(item)]])) >= near_terms)
+    return Search(q.terms, windows, q.items, code[head[full][:, None] + np.arange(near_terms)].astype(np.int32), full)
+
+
+def phrase_matches(keys: np.ndarray, codes: np.ndarray, windows: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, start) of all exact occurrences. ``keys`` are the sorted
     postings ``term << 40 | position``; ``codes`` gives the shard's term of a
-    query term (-1: absent); ``rank`` orders query terms by rarity."""
-    order = np.argsort(rank[windows], axis=1, kind="stable")
-    local = np.take_along_axis(codes[windows], order, axis=1)
-    usable = np.flatnonzero((local >= 0).all(axis=1))
-    order, local = order[usable], local[usable] << np.int64(_TERM)
+    query term (-1: absent); ``windows`` come rarest term first, ``order``
+    has the terms' offsets."""
+    usable = np.arange(len(windows))
+    for r in range(windows.shape[1]):  # a window goes with its first absent term
+        usable = usable[codes[windows[usable, r]] >= 0]
+    order, local = order[usable].astype(np.int64), codes[windows[usable]] << np.int64(_TERM)
     lo = np.searchsorted(keys, local[:, 0])
     n = np.searchsorted(keys, local[:, 0] + (np.int64(1) << np.int64(_TERM))) - lo
     which = np.repeat(np.arange(len(usable)), n)
@@ -132,11 +170,9 @@ def phrase_matches(keys: np.ndarray, codes: np.ndarray, windows: np.ndarray, ran
     return usable[which], start
 
 
-def near_matches(keys: np.ndarray, codes: np.ndarray, terms: np.ndarray, words: int) -> np.ndarray:
-    """Positions of ``terms[0]`` that have all other terms within ``words``."""
-    local = codes[terms] << np.int64(_TERM)
-    if (local < 0).any():
-        return np.zeros(0, np.int64)
+def near_matches(keys: np.ndarray, local: np.ndarray, words: int) -> np.ndarray:
+    """Positions of the shard's term ``local[0]`` that have all others within ``words``."""
+    local = local << np.int64(_TERM)
     lo, hi = np.searchsorted(keys, [local[0], local[0] + (np.int64(1) << np.int64(_TERM))])
     at = keys[lo:hi] - local[0]
     for t in local[1:]:
@@ -145,9 +181,7 @@ def near_matches(keys: np.ndarray, codes: np.ndarray, terms: np.ndarray, words:
     return at
 
 
-def _search_shards(batches: Iterator[pa.RecordBatch], q: Queries, freq: np.ndarray, near_terms: int, near_words: int) -> Iterator[pa.RecordBatch]:
-    rank = np.argsort(np.lexsort((q.places, freq)), kind="stable")
-    rare = [x[np.argsort(rank[x])][:near_terms] if len(x) >= near_terms else None for x in q.item_terms]
+def _search_shards(batches: Iterator[pa.RecordBatch], q: Search, near_words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         shard, words, terms, freqs, steps = (b.column(c) for c in ("shard", "n_words", "terms", "freqs", "steps"))
         out: list[tuple] = []
@@ -159,17 +193,17 @@ def _search_shards(batches: Iterator[pa.RecordBatch], q: Queries, freq: np.ndarr
             codes = np.where(have[at] == q.terms, at, -1) if len(have) else np.full(len(q.terms), -1)
             base = np.concatenate([[0], np.cumsum(n[:-1])]) + GAP * np.arange(len(n))
             found: dict[int, tuple[set, set, set]] = {}
-            for windows, items in q.windows:
-                which, start = phrase_matches(keys, codes, windows, rank)
+            for windows, order, limits, items in q.windows:
+                which, start = phrase_matches(keys, codes, windows, order)
                 row = np.searchsorted(base, start, "right") - 1
                 for r, s, x in zip(row.tolist(), (start - base[row]).tolist(), which.tolist(), strict=True):
                     spans, exact, _ = found.setdefault(r, (set(), set(), set()))
                     spans.add((s, s + windows.shape[1]))
-                    exact.update(items[x])
-            for x, three in enumerate(rare):
-                if three is not None:
-                    for r in np.unique(np.searchsorted(base, near_matches(keys, codes, three, near_words), "right") - 1).tolist():
-                        found.setdefault(r, (set(), set(), set()))[2].add(x)
+                    exact.update(items[limits[x]:limits[x + 1]].tolist())
+            local = codes[q.rare]
+            for x in np.flatnonzero((local >= 0).all(axis=1)).tolist():  # all its rarest terms are here
+                for r in np.unique(np.searchsorted(base, near_matches(keys, local[x], near_words), "right") - 1).tolist():
+                    found.setdefault(r, (set(), set(), set()))[2].add(int(q.rare_items[x]))
             out += [(shard[i].as_py(), r, [{"s": s, "e": e} for s, e in sorted(spans)],
                      *([q.items[x] for x in sorted(y) if q.items[x] is not None] for y in (exact, near))) for r, (spans, exact, near) in found.items()]
         cols = list(zip(*out, strict=True)) or [()] * 5
@@ -192,12 +226,14 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
         q = parse_items([tuple(r) for r in own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()], window)
         if not q.windows:
             continue
-        ask = spark.createDataFrame([(int(x),) for x in q.terms.view(np.int64)], "term long")
+        ask = spark.createDataFrame(pa.table({"term": q.terms.view(np.int64)}))
         have = index.select(F.explode(F.arrays_zip("terms", "freqs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.freqs").alias("n"))
-        total = dict(have.join(F.broadcast(ask), "term", "left_semi").groupBy("term").agg(F.sum("n")).collect())
-        freq = np.array([total.get(int(x), 0) for x in q.terms.view(np.int64)], np.int64)
+        total = have.join(F.broadcast(ask), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        freq = np.zeros(len(q.terms), np.int64)
+        freq[np.searchsorted(q.terms, total.column("term").to_numpy().view(np.uint64))] = total.column("n").to_numpy()
+        sent = spark.sparkContext.broadcast(by_rarity(q, freq, near_terms))
         hits = index.select("shard", "n_words", "terms", "freqs", "steps").mapInArrow(
-            lambda b, q=q, freq=freq: _search_shards(b, q, freq, near_terms, near_words),
+            lambda b, sent=sent: _search_shards(b, sent.value, near_words),
             "shard long, row int, spans array<struct<s:int,e:int>>, items array<string>, near array<string>")
         hits = hits if blocks == 1 else store(hits, "matches")
         found = hits if found is None else found.unionAll(hits)

@@ -329,6 +329,48 @@ def test_substrings_on_the_corpus(spark):
     same(substrings.dedup_substrings(docs, chunk_bytes=20_000, with_text=False).collect(), without_repeats([(r["doc_id"], r["text"]) for r in docs.collect()]))
 
 
+def colliding() -> list[str]:
+    """Two words of 1024 letters whose polynomial hashes modulo 2^64 agree for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return ["".join("ab"[b ^ x] for b in bits) for x in (0, 1)]
+
+
+def test_substrings_colliding_words(spark):
+    words, (x, y) = [f"w{i}" for i in range(49)], colliding()
+    docs = spark.createDataFrame([(1, " ".join([*words, x])), (2, " ".join([*words, y])), (3, " ".join([*words, x]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_decontamination_colliding_words(spark):
+    x, y = colliding()
+    docs = spark.createDataFrame([(1, f"alpha {x} beta"), (2, f"alpha {y} beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, f"alpha {y} beta")], "item_id long, text string")
+    same(decontam.search(decontam.build_index(docs), items).select("doc_id", "items").collect(), [(1, []), (2, ["9"])])
+
+
+def test_substrings_rows_are_linear(spark, monkeypatch):
+    """However many buckets: never more rows than hash values, and none without values."""
+    import numpy as np
+    import pyarrow as pa
+    texts = [" ".join(f"w{i * 7 % 500 + j}" for j in range(120)) for i in range(40)]
+    for bits in (3, 8, 14):
+        rows = values = 0
+        for lo in range(0, 40, 8):
+            b = pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "chunk": pa.array([lo]), "ids": [list(range(lo, lo + 8))], "texts": [texts[lo:lo + 8]]})
+            for out in substrings._probe(iter([b]), 50, bits):
+                n = np.diff(out.column("probes").offsets.to_numpy())
+                assert n.min() > 0
+                rows, values = rows + out.num_rows, values + int(n.sum())
+        assert rows <= min(values, 5 << bits)
+
+
+def test_substrings_table_goes_when_a_step_fails(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "store", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        substrings.dedup_substrings(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("substring_chunks")]
+
+
 def test_substrings_text(spark):
     words = [f"w{i}" for i in range(80)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "a\n" + " ".join(words[10:70]) + "\tb ä")], "doc_id long, text string")
