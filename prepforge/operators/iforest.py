@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepforge.functions.stats import numeric_cols, qcol, quantiles
+from prepforge.session import stored
 from prepforge.operators.base import Fitted, PrepOp, register
 
 # Fixed values of the reference's estimator.
@@ -167,7 +168,7 @@ class RemoveIsolationForest(PrepOp):
                                   int(self.kw.get("max_samples", MAX_SAMPLES)), int(self.kw.get("seed", SEED)))
         fitted = ForestFitted("remove.isolation_forest", cols,
                               {"_trees": trees, "psi": psi, "split_col": self.kw.get("split_col"), "threshold": None})
-        scored = df.select(fitted.score().alias("s"))
+        scored = stored(df.select(fitted.score().alias("s")), "scores")  # the profile and every pass of the cut read them
         thr = quantiles(scored, ["s"], [1.0 - CONTAMINATION])["s"][0]
         fitted.params["threshold"] = thr
         return fitted

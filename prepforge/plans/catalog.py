@@ -32,23 +32,37 @@ def status_report(results: DataFrame, status: str, time_col: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def status_ids(results: DataFrame, status: str, id_col: str, chunk_rows: int = 1000) -> DataFrame:
+    """CAT4: the ids of every outcome, sorted, in lists of at most
+    ``chunk_rows`` (an outcome may hold any share of all rows): status, chunk,
+    ids."""
+    placed, _ = global_positions(results.select(qcol(status).alias("status"), qcol(id_col).alias("id")), ["status", "id"])
+    starts = placed.groupBy(F.col("status").alias("of")).agg(F.min("_pos").alias("first"))
+    at = placed.join(starts, F.col("status").eqNullSafe(F.col("of"))).select("status", "id", F.floor((F.col("_pos") - F.col("first")) / chunk_rows).cast("long").alias("chunk"))
+    return at.groupBy("status", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
 # Rows a slice of ``global_positions`` holds on average.
 SLICE_ROWS = 100_000
 
 
 def global_positions(df: DataFrame, order_cols: list[str | Column], out: str = "_pos",
-                     slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, int]:
+                     slice_rows: int = SLICE_ROWS, weight: str | None = None) -> tuple[DataFrame, int]:
     """0-based position of every row in ``order_cols`` order without a
     single-partition window. The range-partitioned rows are written once, with
     their slice number, to the shared checkpoint folder: range bounds come
     from a sample that differs from job to job, so counts and positions must
     come from the same slices. Per-slice row numbers plus per-slice offsets (a
-    table with one row per slice) give the position. Returns (frame, rows)."""
+    table with one row per slice) give the position. With ``weight`` (a whole
+    number column) it is the weight of all earlier rows. Returns (frame, rows),
+    or the whole weight."""
     cols = [qcol(c) if isinstance(c, str) else c for c in order_cols]
     parts = max(1, -(-df.count() // slice_rows))
     r = cut_lineage(df.repartitionByRange(parts, *cols).withColumn("_pid", F.spark_partition_id()))
-    local = r.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid").orderBy(*cols)) - 1)
-    counts = sorted((row["_pid"], row["c"]) for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    before = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    each = F.lit(1) if weight is None else qcol(weight)
+    local = r.withColumn("_loc", F.coalesce(F.sum(each).over(before), F.lit(0)))
+    counts = sorted((row["_pid"], row["c"]) for row in r.groupBy("_pid").agg(F.sum(each).alias("c")).collect())
     offs, acc = [], 0
     for pid, c in counts:
         offs.append((pid, acc))
@@ -70,14 +84,3 @@ def ntile_positions(df: DataFrame, order_col: str, k: int, out: str = "chunk") -
     chunk = F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1))) \
         .otherwise(F.lit(rem) + F.floor((F.col("_pos") - big) / max(q, 1)))
     return pos.withColumn(out, chunk.cast("int")).drop("_pos")
-
-
-def top_results(results: DataFrame, score: str, tiebreak: list[str], n: int = 10) -> DataFrame:
-    """CAT6: best ``n`` rows by score (a top-k report: the limit is the
-    feature). Spark plans this as TakeOrderedAndProject (partial top-k per
-    partition, no full sort)."""
-    return results.orderBy(F.desc(score), *[F.asc(c) for c in tiebreak]).limit(n)
-
-
-def score_summary(results: DataFrame, score: str) -> DataFrame:
-    return results.agg(F.avg(qcol(score)).alias("mean_score"), F.median(qcol(score)).alias("median_score"))

@@ -6,7 +6,7 @@ computation groups by trial (one trial's epochs per group).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the stopping rule.
@@ -80,7 +80,13 @@ def result_summary(history: DataFrame) -> DataFrame:
                        F.count(F.lit(1)).alias("n_results"))
 
 
-def rank_in_trial(history: DataFrame) -> DataFrame:
-    """Epoch rank by validation loss inside each trial."""
-    w = Window.partitionBy("trial").orderBy("val_loss", "epoch")
-    return history.withColumn("rank", F.row_number().over(w))
+def option_log(spark: SparkSession, probs_log: list[tuple]) -> DataFrame:
+    """HIS2: (epoch, stage, feature, option, prob), the probabilities of a
+    search after each update."""
+    return spark.createDataFrame(probs_log, "epoch int, stage int, feature string, option string, prob double")
+
+
+def order_log(spark: SparkSession, order_log: list[tuple]) -> DataFrame:
+    """HIS4: (epoch, feature, position, stage, prob), the place that a
+    flexible search gives to each stage after each update."""
+    return spark.createDataFrame(order_log, "epoch int, feature string, position int, stage string, prob double")

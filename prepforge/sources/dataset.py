@@ -187,6 +187,50 @@ def encode_label(df: DataFrame, label: str, out: str = "label") -> DataFrame:
     return j.withColumnRenamed("label_index", out)
 
 
+def load_data(spark: SparkSession, folder: str) -> tuple[DataFrame, DatasetSpec, list[str]]:
+    """SRC6: the table of a dataset folder (``data`` with header, ``info``),
+    its spec, and its feature columns (all but label and key)."""
+    spec = load_spec(spark, f"{folder}/info")
+    df = load_csv(spark, f"{folder}/data", spec)
+    return df, spec, [c for c in df.columns if c not in (spec.label, spec.key)]
+
+
+@dataclass
+class BuiltData:
+    """SPL2, the fitted steps from a table to training input: label codes,
+    columns with too many categories (FLT1), columns without a value in train
+    (FLT2) and which of the rest have gaps anywhere (FLT3)."""
+
+    label: str
+    key: str
+    features: list[str]
+    large: list[str]
+    empty: list[str]
+    gaps: dict[str, bool]
+    labels: DataFrame
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The same steps on other rows: key, label code (NULL for a label
+        that was not there), kept features, and ``split`` if there is one."""
+        j = df.join(self.labels, qcol(self.label) == F.col("label_value"), "left")
+        keep = [self.key, *self.features, *[c for c in df.columns if c == "split"]]
+        return j.select(*[qcol(c) for c in keep], F.col("label_index").alias("label"))
+
+
+def build_data(df: DataFrame, label: str, key: str, features: list[str] | None = None, seed: int = 1) -> tuple[BuiltData, DataFrame]:
+    """SPL2: label codes, FLT1 over the whole table, splits (SPL1), FLT2 by the
+    train rows, FLT3; in this order. Returns the fitted steps and the table."""
+    from prepforge.operators.split import tag_split
+    features = features or [c for c in df.columns if c not in (label, key)]
+    large = large_categoricals(df, features)
+    left = [c for c in features if c not in large]
+    tagged = tag_split(df, key, seed=seed)
+    _, empty = drop_all_missing(tagged.select(*[qcol(c) for c in [*left, "split"]]), left, where=F.col("split") == "train")
+    kept = [c for c in left if c not in empty]
+    built = BuiltData(label, key, kept, large, empty, missing_flags(tagged, kept) if kept else {}, label_table(df, label))
+    return built, built.transform(tagged)
+
+
 def profile(df: DataFrame, label: str, name: str = "", dataset_id: int | None = None,
             task_type: str | None = None) -> DataFrame:
     """PRF1-3: one-row dataset card (missing cells, outlier rows, sizes)."""

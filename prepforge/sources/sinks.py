@@ -90,8 +90,3 @@ def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
             d["params"]["_tables"] = {c: words.where((F.col("pos") == r["pos"]) & (F.col("name") == c)).select("k", "v") for c in d["cols"]}
         out.append((r["step"], cls(op, d["cols"], d["params"])))
     return out
-
-
-def results_table(spark: SparkSession, records: list[dict]) -> DataFrame:
-    """Result records of many runs as one table (input of CAT3/CAT4/CAT6)."""
-    return spark.createDataFrame(records).withColumn("recorded", F.current_timestamp())

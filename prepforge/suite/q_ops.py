@@ -391,6 +391,15 @@ def q_sel_mi(spark, sf):
     return rounded(spark.createDataFrame(rows, "column_name string, score double, selected boolean"))
 
 
+@query("select_mi_knn")
+def q_sel_mi_knn(spark, sf):
+    """Nearest-neighbour estimate over all dimensions."""
+    fitted = SelectFeatures("mutual_info_knn", k=10, key="vec_id").fit(frame_B(spark, sf), _B_DIMS, "label")
+    keep = set(fitted.params["keep"])
+    rows = [(c, float(fitted.params["scores"][c]), c in keep) for c in _B_DIMS]
+    return rounded(spark.createDataFrame(rows, "column_name string, score double, selected boolean"))
+
+
 # ---------------------------------------------------------------- a category called like the missing one
 
 _NAN = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'nan' ELSE event_type END"

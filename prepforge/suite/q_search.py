@@ -202,7 +202,7 @@ def _search(spark, sf, flexible: bool):
 
 def _search_log(spark, state):
     """Option probabilities after each update, with that iteration's scores."""
-    probs = spark.createDataFrame(state.probs_log, "epoch int, stage int, feature string, option string, prob double")
+    probs = HI.option_log(spark, state.probs_log)
     hist = spark.createDataFrame([(h["iteration"], *[float(h[c]) for c in ("tr_loss", "val_loss", "val_acc")]) for h in state.history],
                                  "epoch int, tr_loss double, val_loss double, val_acc double")
     return probs.join(hist, "epoch")

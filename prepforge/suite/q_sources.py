@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepforge.plans.catalog import ntile_positions, pending, status_report
+import os
+import uuid
+
+from prepforge.plans.catalog import admit, ntile_positions, pending, status_ids, status_report
 from prepforge.sources import dataset as D
-from prepforge.operators.split import bounded_sample, union_train_val
+from prepforge.sources import sinks as S
+from prepforge.operators.split import batch_sample, bounded_sample, union_train_val
+from prepforge.session import ensure_checkpoint_dir
 from prepforge.suite.frames import SQL_E, SQL_O, frame_E, frame_O, sql_split, table
 from prepforge.suite.helpers import query, rounded, split_frame
 
@@ -195,3 +200,82 @@ def q_csv(spark, sf):
     spark.createDataFrame([("c_mktsegment", ["unused"], ["c_mktsegment"], "?")], "label string, drop_variables array<string>, categorical_variables array<string>, missing_value string").coalesce(1).write.json(f"{at}/info")
     df = D.load_csv(spark, f"{at}/data", D.load_spec(spark, f"{at}/info"))
     return df.select(F.col("c_custkey").cast("long").alias("c_custkey"), *[x for x in df.columns if x != "c_custkey"])
+
+
+# ---------------------------------------------------------------- composed steps, sinks, catalogue
+
+_BUILD = f"""SELECT event_id, type_m AS kind, value_m, user_m, 'e' || event_id AS name, CASE WHEN event_type = 'click' THEN 'c' END AS click, split,
+  CASE WHEN split <> 'train' THEN value_m END AS late FROM ({SQL_E_SPLIT})"""
+
+
+@query("build_data", f"""WITH s AS ({_BUILD}),
+l AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS code FROM (SELECT DISTINCT kind FROM s WHERE kind IS NOT NULL)),
+v AS (SELECT event_id, split, kind, column_name, value FROM (SELECT event_id, split, kind, value_m::VARCHAR AS value_m, user_m::VARCHAR AS user_m, name, click, late::VARCHAR AS late FROM s)
+      UNPIVOT INCLUDE NULLS (value FOR column_name IN (value_m, user_m, name, click, late))),
+k AS (SELECT column_name FROM v GROUP BY column_name
+      HAVING count(value) FILTER (WHERE split = 'train') > 0 AND (column_name NOT IN ('name', 'click') OR count(DISTINCT value) <= 1000))
+SELECT event_id, split, code::INTEGER AS label, column_name, CASE WHEN column_name = 'click' THEN value ELSE round(value::DOUBLE, 6)::VARCHAR END AS value
+FROM v JOIN k USING (column_name) LEFT JOIN l USING (kind)""")
+def q_build_data(spark, sf):
+    """SPL2: a numeric column that only val and test rows have, one with too
+    many categories, gaps, and labels to code."""
+    e = frame_E(spark, sf).join(table(spark, sf, "events").select("event_id", F.col("event_type").alias("t")), "event_id")
+    tagged = split_frame(e, "event_id").select("event_id", F.when(F.col("split") != "train", F.col("value_m")).alias("late"))
+    df = e.join(tagged, "event_id").select("event_id", F.col("type_m").alias("kind"), "value_m", "user_m", F.concat(F.lit("e"), F.col("event_id")).alias("name"),
+                                           F.when(F.col("t") == "click", "c").alias("click"), "late")
+    built, out = D.build_data(df, "kind", "event_id")
+    cells = [F.struct(F.lit(c).alias("column_name"), (F.col(c) if c == "click" else F.round(F.col(c), 6).cast("string")).alias("value")) for c in built.features]
+    return out.select("event_id", "split", "label", F.inline(F.array(*cells)))
+
+
+@query("batch_sample", """SELECT event_id FROM (
+  SELECT event_id, row_number() OVER (ORDER BY md5(concat('batch3', ':', CAST(event_id AS VARCHAR))), event_id) AS rn FROM events) WHERE rn <= 512""")
+def q_batch(spark, sf):
+    """SPL3: the batch of one epoch."""
+    return batch_sample(table(spark, sf, "events"), "event_id", 512, 3).select("event_id")
+
+
+@query("missing_flags", f"""SELECT 'value_m' AS column_name, bool_or(value_m IS NULL) AS has_missing FROM ({SQL_E})
+UNION ALL SELECT 'type_m', bool_or(type_m IS NULL) FROM ({SQL_E}) UNION ALL SELECT 'event_type', bool_or(event_type IS NULL) FROM ({SQL_E})""")
+def q_missing_flags(spark, sf):
+    flags = D.missing_flags(frame_E(spark, sf), ["value_m", "type_m", "event_type"])
+    return spark.createDataFrame(list(flags.items()), "column_name string, has_missing boolean")
+
+
+def _folder(spark, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@query("sink_dataset", f"SELECT event_id::DOUBLE AS event_id, round(value_m, 6) AS value_m, type_m, round(user_m, 6) AS user_m, event_type FROM ({SQL_E})")
+def q_sink_dataset(spark, sf):
+    """SNK1 and SRC6: the table with its card, saved and loaded again."""
+    folder = _folder(spark, "dataset")
+    e = frame_E(spark, sf)
+    S.save_dataset(e, D.profile(e, "event_type"), folder, "csv")
+    df, spec, features = D.load_data(spark, folder)
+    return rounded(df.select(*features, spec.label))
+
+
+@query("sink_trials", """SELECT o_orderstatus AS trial, count(*) AS best_epoch, round(avg(o_totalprice), 6) AS best_val_loss FROM orders GROUP BY o_orderstatus""")
+def q_sink_trials(spark, sf):
+    """SNK2 and SNK3: a result per trial, and the table of all trials."""
+    folder = _folder(spark, "trials")
+    trials = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("trial")).agg(F.count(F.lit(1)).alias("best_epoch"), F.avg("o_totalprice").alias("best_val_loss"))
+    S.save_trials(trials, folder)
+    return rounded(spark.read.parquet(folder))
+
+
+@query("catalog_admission", """SELECT p_brand AS dataset, count(DISTINCT p_size) AS num_features, count(*) % 3 <> 0 AS has_files FROM part GROUP BY p_brand
+HAVING count(*) % 3 <> 0 AND count(DISTINCT p_size) <= 45""")
+def q_admit(spark, sf):
+    """CAT1 and CAT2 over a catalogue with an entry a brand."""
+    c = table(spark, sf, "part").groupBy(F.col("p_brand").alias("dataset")).agg(F.count_distinct("p_size").alias("num_features"), (F.count(F.lit(1)) % 3 != 0).alias("has_files"))
+    return admit(c, max_features=45)
+
+
+@query("status_ids", """SELECT o_orderstatus AS status, chunk, count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS ids FROM (
+  SELECT o_orderstatus, o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 1000 AS chunk FROM orders) GROUP BY ALL""")
+def q_status_ids(spark, sf):
+    """CAT4: lists of ids by outcome (their digests)."""
+    t = status_ids(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey")
+    return t.select("status", "chunk", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"))

@@ -314,3 +314,55 @@ def test_gram_weighted(spark):
     n, s, g = gram(df, ["a", "b"], weight="w")
     assert n == 3.0 and s.tolist() == [1 + 4, 2 + 8] and g[0, 1] == 1 * 2 + 2 * 2 * 4
     _ = F
+
+
+def _mi_by_hand(x, y, keys, name, k=3, seed=0):
+    """Ross's estimator over sorted rows, with the operator's noise."""
+    import hashlib
+    import math
+
+    def digamma(n):
+        return -0.5772156649015329 + sum(1.0 / j for j in range(1, int(n)))
+
+    def unit(part, key):
+        return (int(hashlib.md5(f"{seed}:{part}:{name}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    sd = x.std() or 1.0
+    z = np.array([v / sd + 1e-10 * max(1.0, np.abs(x).mean() / sd) * math.sqrt(-2 * math.log(unit(0, i))) * math.cos(2 * math.pi * unit(1, i)) for v, i in zip(x, keys, strict=True)])
+    size = {c: int((y == c).sum()) for c in set(y.tolist())}
+    on = np.array([size[c] > 1 for c in y.tolist()])
+    z, y = z[on], y[on]
+    total = digamma(len(z))
+    for v, c in zip(z, y.tolist(), strict=True):
+        kk = min(k, size[c] - 1)
+        r = np.sort(np.abs(z[y == c] - v))[kk]
+        near = int((np.abs(z - v) < r - 1e-15).sum())
+        total += (digamma(kk) - digamma(size[c]) - digamma(max(near, 1))) / len(z)
+    return max(0.0, total)
+
+
+def test_knn_mutual_information(spark, monkeypatch):
+    """Every class, ties, classes of one and two rows, several slices."""
+    from prepforge.operators.selection import SelectFeatures, knn_mutual_info
+    from prepforge.plans import catalog
+    monkeypatch.setattr(catalog, "SLICE_ROWS", 50)
+    monkeypatch.setattr(catalog.global_positions, "__defaults__", ("_pos", 50, None))
+    rng = np.random.default_rng(31)
+    y = rng.integers(0, 3, 200)
+    y[0], y[1:3] = 7, 8
+    x = np.column_stack([y + 0.3 * rng.normal(size=200), rng.normal(size=200), np.round(rng.normal(size=200)), np.full(200, 2.0)])
+    rows = [(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, d double, y int").repartition(4)
+    got = knn_mutual_info(df, ["a", "b", "c", "d"], "y", "k")
+    for j, c in enumerate("abcd"):
+        assert got[c] == pytest.approx(_mi_by_hand(x[:, j], y, range(200), c), abs=5e-3 if c in "cd" else 1e-6), c
+    assert got["a"] > 0.5 > got["b"]
+    fitted = SelectFeatures("mutual_info_knn", k=1, key="k").fit(df, ["a", "b"], "y")
+    assert fitted.params["keep"] == ["a"]
+
+
+def test_digamma(spark):
+    from prepforge.operators.selection import digamma
+    rows = spark.range(1, 40).select("id", digamma(F.col("id")).alias("d")).collect()
+    for r in rows:
+        assert r["d"] == pytest.approx(-0.5772156649015329 + sum(1.0 / j for j in range(1, r["id"])), abs=1e-12)
