@@ -1,11 +1,9 @@
 """Distributed column statistics.
 
 * ``agg_row``      - every statistic of a stage in ONE aggregation job.
-* ``order_stats``  - exact k-th smallest values. Columns whose distinct count
-  is provably small use Spark's exact ``percentile_disc``/``percentile``
-  aggregate (its buffer holds one entry per distinct value); other columns use
-  a distributed radix select that only ever ships bucket histograms and at
-  most ``prepforge.radix.collectMax`` values to the driver.
+* ``order_stats``  - exact k-th smallest values of many columns and ranks at
+  once: one histogram per range, shared by all its ranks, and one value per
+  rank to the driver.
 * ``quantiles``    - linear-interpolation percentiles (numpy ``linear``).
 * ``value_counts`` / ``modes`` - per-column value histograms computed as one
   exploded ``groupBy`` (map-side partial aggregation absorbs hot values).
@@ -14,14 +12,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepforge.session import conf_int
-
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -54,140 +53,141 @@ def agg_row(df: DataFrame, named: dict[str, Column]) -> dict:
 # exact order statistics
 # --------------------------------------------------------------------------
 
-_BUCKETS = 4096
+#: Buckets of a histogram; rows of a bucket that are put in order at once.
+BUCKETS = 4096
+FINISH_ROWS = 4096
+#: Ranges counted in one pass (bounds the histograms a task holds: 50 MB).
+PASS_RANGES = 512
 
 
-def _radix_select(df: DataFrame, exprs: dict[str, Column], targets: list[tuple[str, int]],
-                  bounds: dict[str, tuple[float, float]]) -> dict[tuple[str, int], float]:
-    """Exact order statistics by iterative range bucketing.
+class _Range(NamedTuple):
+    """A range of one column's values (as ordered integers) that still holds
+    wanted ranks; ``before`` values of the column lie below it."""
 
-    targets: (column name, 0-based rank among non-null values). Each pass is
-    one scan + a ``groupBy(target, bucket)`` with at most targets x 4096
-    result rows; a bucket holding a single value (hot key) resolves at once.
-    """
-    spark = df.sparkSession
-    collect_max = conf_int(spark, "prepforge.radix.collectMax")
-    state = {}
-    for i, (c, r) in enumerate(targets):
-        lo, hi = bounds[c]
-        state[i] = {"c": c, "r": r, "lo": lo, "hi": hi, "off": 0, "collect": False}
-    out: dict[tuple[str, int], float] = {}
-    for _ in range(12):
-        active = {i: s for i, s in state.items() if (targets[i] not in out) and not s["collect"]}
-        for i, s in list(active.items()):
-            if s["lo"] == s["hi"]:
-                out[targets[i]] = s["lo"]
-                del active[i]
-        if not active:
-            break
-        items = []
-        for i, s in active.items():
-            x = exprs[s["c"]].cast("double")
-            width = s["hi"] - s["lo"]
-            b = F.least(F.lit(_BUCKETS - 1), F.floor((x - F.lit(s["lo"])) / F.lit(width) * F.lit(_BUCKETS)).cast("int"))
-            items.append(F.when(x.between(s["lo"], s["hi"]), F.struct(F.lit(i).alias("t"), b.alias("b"), x.alias("x"))))
-        hist = (df.select(F.inline(F.filter(F.array(*items), lambda e: e.isNotNull())))
-                .groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-                .collect())
-        per = {}
-        for row in hist:
-            per.setdefault(row["t"], []).append(row)
-        for i, s in active.items():
-            cum = s["off"]
-            for row in sorted(per.get(i, []), key=lambda r: r["b"]):
-                if cum + row["n"] > s["r"]:
-                    if row["mn"] == row["mx"]:
-                        out[targets[i]] = row["mn"]
-                    else:
-                        s["lo"], s["hi"], s["off"] = row["mn"], row["mx"], cum
-                        s["collect"] = row["n"] <= collect_max
-                    break
-                cum += row["n"]
-        pending = {i: s for i, s in state.items() if s["collect"] and targets[i] not in out}
-        if pending:
-            items = [F.when(exprs[s["c"]].cast("double").between(s["lo"], s["hi"]),
-                            F.struct(F.lit(i).alias("t"), exprs[s["c"]].cast("double").alias("x")))
-                     for i, s in pending.items()]
-            rows = (df.select(F.inline(F.filter(F.array(*items), lambda e: e.isNotNull())))
-                    .groupBy("t").agg(F.sort_array(F.collect_list("x")).alias("xs")).collect())
-            got = {r["t"]: r["xs"] for r in rows}
-            for i, s in pending.items():
-                out[targets[i]] = got[i][s["r"] - s["off"]]
-    missing = [t for t in targets if t not in out]
-    if missing:  # pathological spread after 12 passes: exact aggregate on the narrowed range
-        for i, (c, r) in enumerate(targets):
-            if (c, r) in out:
-                continue
-            s = state[i]
-            x = exprs[c].cast("double")
-            sub = df.select(x.alias("x")).filter(F.col("x").between(s["lo"], s["hi"]))
-            n = sub.count()
-            out[(c, r)] = sub.agg(_pdisc("x", [(r - s["off"] + 0.5) / n])).collect()[0][0][0]
-    return out
+    col: int
+    low: int
+    high: int
+    before: int
+    rows: int
 
+    @property
+    def width(self) -> int:
+        """Of a bucket, in integers."""
+        return (self.high - self.low) // BUCKETS + 1
 
-def order_stats(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, Sequence[int]],
-                profile: dict | None = None) -> dict[str, list[float]]:
-    """Exact ``rank``-th smallest non-null value (0-based) of each expression.
 
-    ``profile`` may carry ``{name: (n, ndv, min, max)}`` from an earlier pass.
-    """
-    spark = df.sparkSession
-    if profile is None:
-        profile = profile_numeric(df, exprs)
-    limit = conf_int(spark, "prepforge.percentile.maxDistinct")
-    small = [c for c in ranks if ranks[c] and profile[c][1] <= limit]
-    large = [c for c in ranks if ranks[c] and profile[c][1] > limit]
-    out: dict[str, list[float]] = {c: [] for c in ranks}
-    if small:
-        got = _ranked_values(df, {c: exprs[c] for c in small}, {c: list(ranks[c]) for c in small})
-        for c in small:
-            out[c] = [got[(c, r)] for r in ranks[c]]
-    if large:
-        targets = [(c, r) for c in large for r in ranks[c]]
-        got = _radix_select(df, exprs, targets, {c: (profile[c][2], profile[c][3]) for c in large})
-        for c in large:
-            out[c] = [float(got[(c, r)]) for r in ranks[c]]
-    return out
+def ordered_keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as signed integers in the same order (-0.0 as 0.0)."""
+    k = (x + 0.0).view(np.int64)
+    return k ^ ((k >> np.int64(63)) & np.int64((1 << 63) - 1))
 
 
-def _ranked_values(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, list[int]]) -> dict:
-    """Exact order statistics of several columns in ONE job: value counts of
-    every column (exploded, map-side combined) -> running count per column
-    (a window partitioned by column; each partition holds that column's
-    distinct values, whose number was checked to be small) -> range join
-    with the tiny (column, rank) target table."""
-    names = list(exprs)
-    items = [F.when(exprs[c].isNotNull(), F.struct(F.lit(i).alias("cid"), exprs[c].cast("double").alias("x")))
-             for i, c in enumerate(names)]
-    vc = (df.select(F.inline(F.filter(F.array(*items), lambda e: e.isNotNull())))
-          .groupBy("cid", "x").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("cid").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = vc.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
-    spark = df.sparkSession
-    tgt = spark.createDataFrame([(i, int(r)) for i, c in enumerate(names) for r in set(ranks[c])], "tcid int, r long")
-    hit = cum.join(F.broadcast(tgt), (F.col("cid") == F.col("tcid")) & (F.col("lo") <= F.col("r")) & (F.col("r") < F.col("hi")))
-    return {(names[row["cid"]], row["r"]): float(row["x"]) for row in hit.select("cid", "r", "x").collect()}
+def _key(x: float) -> int:
+    return int(ordered_keys(np.array([x], float))[0])
+
+
+def _values(batch: pa.RecordBatch, col: int) -> np.ndarray:
+    x = batch.column(col).to_numpy(zero_copy_only=False).astype(float)
+    return x[~np.isnan(x)]
+
+
+def _inside(x: np.ndarray, k: np.ndarray, r: _Range) -> tuple[np.ndarray, np.ndarray]:
+    on = (k >= r.low) & (k <= r.high)
+    return x[on], k[on]
+
 
+def _histograms(batches: Iterator[pa.RecordBatch], ranges: list[_Range]) -> Iterator[pa.RecordBatch]:
+    """A task's counts, least and greatest values of every bucket of every range."""
+    counts = np.zeros((len(ranges), BUCKETS), np.int64)
+    least, most = np.full(counts.shape, np.inf), np.full(counts.shape, -np.inf)
+    for batch in batches:
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i, r in enumerate(ranges):
+            if r.col not in seen:
+                x = _values(batch, r.col)
+                seen = {r.col: (x, ordered_keys(x))}
+            x, k = _inside(*seen[r.col], r)
+            b = ((k.view(np.uint64) - np.uint64(r.low & (1 << 64) - 1)) // np.uint64(r.width)).astype(np.int64)
+            counts[i] += np.bincount(b, minlength=BUCKETS)
+            np.minimum.at(least[i], b, x)
+            np.maximum.at(most[i], b, x)
+    i, b = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[i, b]), pa.array(least[i, b]), pa.array(most[i, b])], ["i", "b", "n", "mn", "mx"])
 
-def _pdisc(colname: str, fracs: list[float]) -> Column:
-    parts = [F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY {colname})") for f in fracs]
-    return F.array(*parts)
 
+def _within(batches: Iterator[pa.RecordBatch], ranges: list[_Range]) -> Iterator[pa.RecordBatch]:
+    """The values of some (small) ranges."""
+    ranges = sorted(enumerate(ranges), key=lambda e: e[1].col)
+    for batch in batches:
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i, r in ranges:
+            if r.col not in seen:
+                x = _values(batch, r.col)
+                seen = {r.col: (x, ordered_keys(x))}
+            x, _ = _inside(*seen[r.col], r)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i), pa.int32()), pa.array(x)], ["i", "x"])
 
-def profile_numeric(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple[int, int, float, float]]:
+
+def order_stats(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, Sequence[int]],
+                profile: dict | None = None) -> dict[str, list[float]]:
+    """Exact ``rank``-th smallest value (0-based, missing ones left out) of
+    each expression; all columns and ranks together.
+
+    Each pass counts the values of the ranges that still hold a wanted rank in
+    ``BUCKETS`` buckets, in numpy per task. A range's histogram serves all its
+    ranks: a window over the summed buckets (``BUCKETS`` rows a range) gives
+    running counts, and the bucket of each rank comes back, one row a rank. A
+    bucket of one value answers at once, however many rows have it; one of at
+    most ``FINISH_ROWS`` rows is put in order by an executor; any other is the
+    next range. Buckets divide the doubles' own order, so six passes end it
+    for any spread. ``profile`` may carry ``{name: (rows, least, greatest)}``.
+    """
+    names = [c for c in ranks if len(ranks[c])]
+    if not names:
+        return {c: [] for c in ranks}
+    profile = profile or profile_numeric(df, {c: exprs[c] for c in names})
+    rows = df.select(*[exprs[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    spark = df.sparkSession
+    found: dict[tuple[int, int], float] = {}
+    wanted: dict[_Range, list[int]] = {}
+    for i, c in enumerate(names):
+        n, least, most = profile[c]
+        wanted[_Range(i, _key(least), _key(most), 0, n)] = sorted(set(ranks[c]))
+    while wanted:
+        small = [r for r in wanted if r.rows <= FINISH_ROWS]
+        large = sorted((r for r in wanted if r.rows > FINISH_ROWS), key=lambda r: r.col)
+        ask = lambda part: F.broadcast(spark.createDataFrame([(i, k - r.before) for i, r in enumerate(part) for k in wanted[r]], "t int, k long"))
+        following = {r: wanted[r] for r in large[PASS_RANGES:]}
+        large = large[:PASS_RANGES]
+        if small:
+            lists = rows.mapInArrow(lambda it, small=small: _within(it, small), "i int, x double").groupBy("i").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+            for t in lists.join(ask(small), F.col("i") == F.col("t")).select("t", "k", F.expr("element_at(xs, cast(k + 1 AS int))").alias("x")).collect():
+                found[small[t["t"]].col, t["k"] + small[t["t"]].before] = t["x"]
+        if large:
+            parts = rows.mapInArrow(lambda it, large=large: _histograms(it, large), "i int, b int, n long, mn double, mx double")
+            hist = parts.groupBy("i", "b").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+            upto = F.sum("n").over(Window.partitionBy("i").orderBy("b"))
+            hit = hist.withColumn("before", upto - F.col("n")).join(ask(large), (F.col("i") == F.col("t")) & (F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("n")))
+            for t in hit.select("t", "k", "n", "mn", "mx", "before").collect():
+                r = large[t["t"]]
+                k = t["k"] + r.before
+                if t["mn"] == t["mx"]:
+                    found[r.col, k] = t["mn"]
+                else:
+                    following.setdefault(_Range(r.col, _key(t["mn"]), _key(t["mx"]), r.before + t["before"], t["n"]), []).append(k)
+        wanted = following
+    place = {c: i for i, c in enumerate(names)}
+    return {c: [float(found[place[c], k]) for k in ranks[c]] for c in ranks}
+
+
+def profile_numeric(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple[int, float, float]]:
+    """Number of values, least and greatest of each expression, in one job (NaN counts as missing)."""
     named = {}
     for i, (c, e) in enumerate(exprs.items()):
-        x = e.cast("double")
-        named[f"n{i}"] = F.count(x)
-        named[f"d{i}"] = F.approx_count_distinct(x)
-        named[f"mn{i}"] = F.min(x)
-        named[f"mx{i}"] = F.max(x)
+        x = F.nanvl(e.cast("double"), F.lit(None).cast("double"))
+        named |= {f"n{i}": F.count(x), f"mn{i}": F.min(x), f"mx{i}": F.max(x)}
     row = agg_row(df, named)
-    # the HyperLogLog estimate has ~5% relative error: inflate it so the
-    # in-memory path is only taken with a safe margin
-    return {c: (row[f"n{i}"], int(row[f"d{i}"] * 1.25) + 1, row[f"mn{i}"], row[f"mx{i}"])
-            for i, c in enumerate(exprs)}
+    return {c: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(exprs)}
 
 
 def quantiles(df: DataFrame, cols: Sequence[str] | dict[str, Column], probs: Sequence[float],

@@ -16,12 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 # Tunables read from the session conf (``spark.conf.set(key, value)``), with
 # the defaults below. They bound what may be held by one task or the driver.
 CONF_DEFAULTS = {
-    # exact percentile through Spark's in-memory ``percentile`` aggregate only
-    # when the (approximate) number of distinct values is below this bound;
-    # above it a distributed radix select is used.
-    "prepforge.percentile.maxDistinct": "200000",
-    # largest number of values the radix select fetches to the driver
-    "prepforge.radix.collectMax": "100000",
     # rows of a cell's block, and queries of a slice, in the exact kNN
     "prepforge.knn.blockRows": "4096",
 }

@@ -37,18 +37,36 @@ def test_median_quartiles_linear(spark, quad):
     assert q == pytest.approx([1.75, 2.5, 3.25])
 
 
-def test_radix_path_matches_numpy(spark):
+@pytest.mark.parametrize(("buckets", "finish", "ranges"), [(4096, 4096, 512), (16, 3, 512), (8, 1, 2)])
+def test_order_statistics_match_numpy(spark, monkeypatch, buckets, finish, ranges):
+    """Hot values, any spread, signed zeros, missing values; few buckets force many passes."""
+    monkeypatch.setattr(S, "BUCKETS", buckets)
+    monkeypatch.setattr(S, "FINISH_ROWS", finish)
+    monkeypatch.setattr(S, "PASS_RANGES", ranges)
     rng = np.random.default_rng(0)
-    vals = np.concatenate([rng.normal(size=3000), np.full(1500, 7.0)])   # a hot value: a third of the rows
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    spark.conf.set("prepforge.percentile.maxDistinct", "10")
-    spark.conf.set("prepforge.radix.collectMax", "40")
-    try:
-        got = S.quantiles(df, ["x"], [0.1, 0.5, 0.9, 0.99])["x"]
-    finally:
-        spark.conf.unset("prepforge.percentile.maxDistinct")
-        spark.conf.unset("prepforge.radix.collectMax")
-    assert got == pytest.approx(np.percentile(vals, [10, 50, 90, 99]).tolist())
+    n = 900
+    cols = {"a": np.concatenate([rng.normal(size=600), np.full(300, 7.0)]),          # a hot value: a third of the rows
+            "b": 10.0 ** rng.integers(-300, 300, n) * rng.choice([-1, 1], n), "c": rng.integers(0, 3, n) * 1.0, "d": np.where(rng.uniform(size=n) < 0.4, np.nan, rng.uniform(size=n)),
+            "e": np.where(rng.uniform(size=n) < 0.5, -0.0, 0.0), "f": np.full(n, np.nan)}
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*cols.values(), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    got = S.quantiles(df, list(cols), probs)
+    for c, v in cols.items():
+        v = v[~np.isnan(v)]
+        assert got[c] == ([None] * len(probs) if not len(v) else pytest.approx(np.percentile(v, [100 * p for p in probs]).tolist(), rel=1e-12)), c
+
+
+def test_order_statistics_of_many_columns(spark):
+    """200 columns, 20 cuts each, against DuckDB; what comes to the driver is a value a cut."""
+    import duckdb
+    df = spark.range(6000, numPartitions=4).select(*[((F.xxhash64("id", F.lit(i)) % 100_000) / (i + 1)).alias(f"c{i}") for i in range(200)])
+    cuts = [i / 21 for i in range(1, 21)]
+    got = S.quantiles(df, df.columns, cuts)
+    t = df.toArrow()  # noqa: F841
+    want = duckdb.sql("SELECT " + ", ".join(f"quantile_cont(c{i}, {cuts}) AS c{i}" for i in range(200)) + " FROM t").fetchall()[0]
+    for i in range(200):
+        assert got[f"c{i}"] == pytest.approx(want[i], rel=1e-9)
 
 
 def test_mode_tie_smallest_missing_ignored(spark):
