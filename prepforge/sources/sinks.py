@@ -90,3 +90,69 @@ def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
             d["params"]["_tables"] = {c: words.where((F.col("pos") == r["pos"]) & (F.col("name") == c)).select("k", "v") for c in d["cols"]}
         out.append((r["step"], cls(op, d["cols"], d["params"])))
     return out
+
+
+# ---------------------------------------------------------------- searched pipelines
+
+def _classes() -> dict[str, type]:
+    """All kinds of fitted operators by name."""
+    from prepforge.operators import discretize, encoding, iforest, imputation, model_impute, neighbors, outliers, reduction, scaling, selection  # noqa: F401
+
+    def below(c: type) -> list[type]:
+        return [c, *[x for s in c.__subclasses__() for x in below(s)]]
+    return {c.__name__: c for c in below(Fitted)}
+
+
+def _write_fitted(f: Fitted, path: str) -> str:
+    """A fitted operator as JSON; tables and trees that it holds are written
+    below ``path`` and named in it."""
+    from prepforge.operators.model_impute import TreeChainFitted
+    plain, tables = {}, []
+    for k, v in f.params.items():
+        if isinstance(v, DataFrame):
+            v.write.mode("overwrite").parquet(f"{path}/{k}")
+            tables.append(k)
+        elif not (isinstance(f, TreeChainFitted) and k == "rounds"):
+            plain[k] = v
+    if isinstance(f, TreeChainFitted):
+        for i, r in enumerate(f.params["rounds"]):
+            for j, step in enumerate(r):
+                step["_model"].write().overwrite().save(f"{path}/tree-{i}-{j}")
+        plain["rounds"] = [[{k: v for k, v in step.items() if k != "_model"} for step in r] for r in f.params["rounds"]]
+    return json.dumps({"kind": type(f).__name__, "op": f.op, "cols": f.cols, "params": plain, "tables": tables}, default=float)
+
+
+def _read_fitted(spark: SparkSession, text: str, path: str) -> Fitted:
+    from pyspark.ml.regression import RandomForestRegressionModel
+    d = json.loads(text)
+    f = _classes()[d["kind"]](d["op"], d["cols"], d["params"])
+    f.params |= {k: spark.read.parquet(f"{path}/{k}") for k in d["tables"]}
+    if d["kind"] == "TreeChainFitted":
+        for i, r in enumerate(f.params["rounds"]):
+            for j, step in enumerate(r):
+                step["_model"] = RandomForestRegressionModel.load(f"{path}/tree-{i}-{j}")
+    return f
+
+
+def save_space_model(spark: SparkSession, model, path: str) -> None:
+    """SNK5 for searched pipelines: choices, order and vocabulary as one row;
+    a row per fitted option; kNN rows, removed keys and trees as tables beside
+    them. Nothing is held by the driver but parameters."""
+    p = model.parts
+    slots = [("numeric", 0, 0, t, f) for t, f in enumerate(p.numeric)] + [("categorical", 0, 0, t, f) for t, f in enumerate(p.categorical)]
+    slots += [("later", pos, k, t, f) for (pos, k), fits in p.later.items() for t, f in enumerate(fits)]
+    rows = [(s, pos, k, t, None if f is None else _write_fitted(f, f"{path}/side/{s}-{pos}-{k}-{t}")) for s, pos, k, t, f in slots]
+    spark.createDataFrame(rows, "slot string, pos int, stage int, option int, fitted string").coalesce(1).write.mode("overwrite").parquet(f"{path}/options")
+    head = json.dumps({"space": p.space, "choices": p.choices, "num": p.num, "cat": p.cat, "key": p.key, "order": p.order, "vocab": p.vocab}, default=float)
+    spark.createDataFrame([(head,)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_space_model(spark: SparkSession, path: str):
+    """The saved pipeline, in any session: the same expressions, rebuilt."""
+    from prepforge.plans.space import SpaceParts
+    parts = SpaceParts(**json.loads(spark.read.parquet(f"{path}/model").first()["model"]))
+    for r in spark.read.parquet(f"{path}/options").orderBy("slot", "pos", "stage", "option").collect():
+        where = f"{path}/side/{r['slot']}-{r['pos']}-{r['stage']}-{r['option']}"
+        f = None if r["fitted"] is None else _read_fitted(spark, r["fitted"], where)
+        (parts.later.setdefault((r["pos"], r["stage"]), []) if r["slot"] == "later" else getattr(parts, r["slot"])).append(f)
+    return parts.model()
