@@ -171,19 +171,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Every block against every template, and phrase places from the words in order."""
+    """Every block against every template, every window of a block that shares
+    enough against the marks, and phrase places from the words in order."""
     known = templates()
-    rows = ", ".join(f"({n}, '{t.label}', {t.words!r}, {t.need}, {str(t.base).lower()})" for n, t in enumerate(known))
+    rows = ", ".join(f"({n}, '{t.label}', {t.words!r}, {t.need}, {str(t.base).lower()}, {[m.split('|') for m in t.marks]!r}::VARCHAR[][])" for n, t in enumerate(known))
     stride = max([MIN_STRIDE, *(len(t.words) for t in known)])
     return rf"""
-WITH t(n, label, words, need, base) AS (VALUES {rows}),
+WITH t(n, label, words, need, base, marks) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i, w FROM d),
 places AS (SELECT p.doc_id, p.i, t.label FROM p JOIN t ON t.base AND p.a = t.words[1] AND p.w[p.i + 1:p.i + len(t.words)] = t.words),
 b AS (SELECT doc_id, unnest(list_transform(range(0, len(w), {stride}), lambda s: w[s + 1:s + {2 * stride}])) AS tokens FROM d),
-m AS (SELECT doc_id, t.label, len(list_intersect(list_distinct(tokens), list_distinct(t.words))) AS shared, t.need, len(list_distinct(t.words)) AS size
-      FROM b JOIN t ON NOT t.base),
-g AS (SELECT doc_id, label, shared / size AS score FROM m WHERE shared >= need UNION ALL SELECT doc_id, label, 1.0 FROM places)
+m AS (SELECT doc_id, t.n, tokens, label, words, need, marks, len(list_intersect(list_distinct(tokens), list_distinct(t.words))) AS shared, len(list_distinct(t.words)) AS size
+      FROM b JOIN t ON NOT t.base WHERE len(list_intersect(list_distinct(tokens), list_distinct(t.words))) >= need),
+s AS (SELECT doc_id, n, label, need, marks, shared / size AS score, tokens, words, unnest(list_transform(range(len(tokens)), lambda i: tokens[i + 1:i + least(2 * len(words), {stride})])) AS piece FROM m),
+g AS (SELECT DISTINCT doc_id, label, score FROM s
+      WHERE len(list_intersect(list_distinct(piece), list_distinct(words))) >= need
+        AND list_bool_and(list_transform(marks, lambda m: list_bool_or(list_transform(m, lambda x: contains(' ' || array_to_string(piece, ' ') || ' ', ' ' || x || ' ')))))
+      UNION ALL SELECT doc_id, label, 1.0 FROM places)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (SELECT count(*) FROM places x WHERE x.doc_id = d.doc_id) AS n_base,
        (SELECT min(i)::BIGINT FROM places x WHERE x.doc_id = d.doc_id) AS first_word, (SELECT max(i)::BIGINT FROM places x WHERE x.doc_id = d.doc_id) AS last_word,
        coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM places x WHERE x.doc_id = d.doc_id), '') AS base_labels,

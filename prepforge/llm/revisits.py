@@ -32,7 +32,8 @@ from prepforge.session import cut_lineage
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 SCHEME = "[A-Za-z][A-Za-z0-9+.-]*://"
 #: A host at the start of a URL without scheme: a dotted name that is no file's, IPv4, or localhost, with an optional port.
-HOST = r"^(?!(?i)[^/?]*[.](?:html?|php|aspx?|jsp|js|css|png|jpe?g|gif|svg|pdf|txt|xml|json)(?:[/?]|$))(?:(?:[A-Za-z0-9_-]+[.])+[A-Za-z][A-Za-z0-9-]*|(?:[0-9]{1,3}[.]){3}[0-9]{1,3}|[Ll][Oo][Cc][Aa][Ll][Hh][Oo][Ss][Tt])(?::[0-9]+)?(?:[/?]|$)"
+FILE_NAME = "[^/?]*[.](?:html?|php|aspx?|jsp|js|css|png|jpe?g|gif|svg|pdf|txt|xml|json)(?:[/?]|$)"
+HOST_NAME = "(?:(?:[A-Za-z0-9_-]+[.])+[A-Za-z][A-Za-z0-9-]*|(?:[0-9]{1,3}[.]){3}[0-9]{1,3}|[Ll][Oo][Cc][Aa][Ll][Hh][Oo][Ss][Tt])(?::[0-9]+)?(?:[/?]|$)"
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
 
 FULL = ["record_id", "ts", "etag", "last_modified", "digest", "headers"]
@@ -46,7 +47,7 @@ def canonical_url(url: Column) -> Column:
     no host (relative, ``mailto:``, empty) has no canonical URL: NULL."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     named = u.rlike(f"^(?:{SCHEME}|//)[^/?]")
-    bare = ~named & u.rlike(HOST)
+    bare = ~named & u.rlike(f"^{HOST_NAME}") & ~u.rlike(f"(?i)^{FILE_NAME}")
     rest = F.when(bare, u).otherwise(F.regexp_replace(u, f"^(?:{SCHEME}|//)", ""))
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), "^www[.]|:(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "(/index[.]html?)?/*$", "")
@@ -128,10 +129,12 @@ _PERMITTED = ", ".join(f"'{x}'" for x in PERMITTED)
 SQL = rf"""
 WITH a AS (SELECT page_id, md5(html) AS digest, coalesce(strlen(html), 0) AS bytes, regexp_replace(trim(url), '#.*$', '') AS u, 1700000000 + page_id * 60 AS seen FROM pages),
 q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))) AS params FROM a),
-p AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[.]|:(80|443)$', '', 'g')
-              || regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '(/index[.]html?)?/*$', '')
-              || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical,
-             '"' || substr(digest, 1, 16) || '"' AS tag FROM q),
+k AS (SELECT *, regexp_matches(u, '^(?:{SCHEME}|//)[^/?]') AS named, regexp_matches(u, '^{HOST_NAME}') AND NOT regexp_matches(u, '(?i)^{FILE_NAME}') AS bare FROM q),
+o AS (SELECT *, CASE WHEN NOT named AND bare THEN u ELSE regexp_replace(u, '^(?:{SCHEME}|//)', '') END AS rest FROM k),
+h AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[.]|:(80|443)$', '', 'g') AS host FROM o),
+p AS (SELECT *, CASE WHEN (named OR bare) AND host <> '' THEN host || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '(/index[.]html?)?/*$', '')
+              || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical,
+             '"' || substr(digest, 1, 16) || '"' AS tag FROM h),
 f AS (SELECT 'r' || page_id AS record_id, page_id, canonical, seen AS ts, tag, (seen - 3600)::VARCHAR AS modified, digest,
              ['content-type=text/html', 'content-length=' || bytes, 'cache-control=max-age=' || ((page_id % 7) * 600), 'etag=' || tag,
               'last-modified=' || (seen - 3600), 'date=' || seen] AS headers FROM p),
