@@ -5,7 +5,8 @@ count, ordinal and binary encoders keep theirs as a stored (category, number)
 table, whatever its size, and apply it with a left join on the category: Spark
 broadcasts the table or shuffles by its bytes, and splits hot categories with
 AQE's skew join. NULL needs no table: its number is a parameter. One-hot
-makes a column per category, so its vocabulary is bounded by the width.
+makes a column per category, so its vocabulary is bounded by the width; its
+sparse form keeps a stored table as well.
 """
 
 from __future__ import annotations
@@ -113,7 +114,25 @@ class BinaryFitted(MapFitted):
         return [c for c in cols if c not in self.cols] + new
 
 
-@register("encoding", "onehot", "frequency", "count", "ordinal", "binary", "none")
+class SparseOneHotFitted(MapFitted):
+    """One sparse vector a column instead of a column a category: slots in
+    category order, the missing category (if the fit had one) last; a category
+    that the fit had not is the zero vector. The categories stay in the stored
+    table, so their number is bounded by neither plan nor driver."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import OneHotEncoder
+        sizes = self.params["sizes"]
+        out = super().transform(df)
+        places = {c: f"_slot_{i}" for i, c in enumerate(self.cols)}
+        # the table counts from 1; what has no slot goes to the one that is left out
+        out = out.withColumns({s: F.when(qcol(c) >= 1, qcol(c) - 1).otherwise(F.lit(float(sizes[c]))) for c, s in places.items()}).drop(*self.cols)
+        encoder = OneHotEncoder(inputCols=list(places.values()), outputCols=list(self.cols), handleInvalid="keep", dropLast=True)
+        widest = df.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in self.cols)], list(places.values()))
+        return encoder.fit(widest).transform(out).drop(*places.values())
+
+
+@register("encoding", "onehot", "onehot_sparse", "frequency", "count", "ordinal", "binary", "none")
 class Encode(PrepOp):
     stage = "encoding"
 
@@ -125,7 +144,7 @@ class Encode(PrepOp):
         if m == "onehot":
             voc = _vocab(df, cols, keep_null=True)
             return OneHotFitted("encode.onehot", cols, {"vocab": {c: [v for v, _, _ in voc[c]] for c in cols}})
-        if m in ("frequency", "count", "ordinal", "binary"):
+        if m in ("frequency", "count", "ordinal", "binary", "onehot_sparse"):
             return _table_encoder(df, cols, m, self.kw.get("key"))
         raise ValueError(f"unknown encoding {m}")
 
@@ -148,19 +167,23 @@ def _table_encoder(df: DataFrame, cols: list[str], m: str, key: str | None) -> F
         table = known.select("name", F.col("s").alias("k"), (F.col("cnt") / F.lit(total)).cast("double").alias("v"))
         default = 0.0
     else:
-        before, acc = {}, 0
+        before, acc, key = {}, 0, None if m == "onehot_sparse" else key
         for c in sorted(cols):
             n = sizes[c]["known"] if c in sizes else 0
             before[c], nulls[c], bits[c] = acc, MISSING_CODE, max(1, n.bit_length())
+            if m == "onehot_sparse" and c in sizes and sizes[c]["missing"]:
+                nulls[c] = n + 1
             acc += n
+        slots = {c: max(1, max(nulls[c], sizes[c]["known"] if c in sizes else 0)) for c in cols}
         placed, _ = global_positions(known, ["name", *(["first_key"] if key else []), "s"])
         start = F.create_map(*[F.lit(x) for c, n in before.items() for x in (c, n)])
         table = placed.select("name", F.col("s").alias("k"), (F.col("_pos") - start[F.col("name")] + 1).cast("double").alias("v"))
         default = UNSEEN_CODE
     table = stored(table, "encoder")
     tables = {c: table.where(F.col("name") == c).select("k", "v") for c in cols}
-    cls = BinaryFitted if m == "binary" else MapFitted
-    return cls(f"encode.{m}", cols, {"nulls": nulls, "default": default, "bits": bits, "_tables": tables})
+    cls = {"binary": BinaryFitted, "onehot_sparse": SparseOneHotFitted}.get(m, MapFitted)
+    more = {"sizes": slots} if m == "onehot_sparse" else {}
+    return cls(f"encode.{m}", cols, {"nulls": nulls, "default": default, "bits": bits, **more, "_tables": tables})
 
 
 def union_vocab(df: DataFrame, variants: dict[str, list[str]]) -> dict[str, list]:

@@ -59,7 +59,7 @@ def save_model(spark: SparkSession, steps: list[tuple[str, Fitted]], path: str)
 def _saves(f: Fitted) -> bool:
     from prepforge.operators import discretize, encoding, imputation, outliers, reduction, scaling, selection
     plain = (Fitted, imputation.FillFitted, scaling.ScaleFitted, outliers.RepairFitted, outliers.RowFilterFitted, discretize.BinFitted,
-             selection.SelectFitted, reduction.ProjectFitted, encoding.OneHotFitted, encoding.BinaryFitted, encoding.MapFitted)
+             selection.SelectFitted, reduction.ProjectFitted, encoding.OneHotFitted, encoding.SparseOneHotFitted, encoding.BinaryFitted, encoding.MapFitted)
     return type(f) in plain and not any(k.startswith("_") and k != "_tables" and v for k, v in f.params.items())
 
 
@@ -78,6 +78,8 @@ def load_model(spark: SparkSession, path: str) -> list[tuple[str, Fitted]]:
         op = d["op"]
         if op == "encode.onehot":
             cls = encoding.OneHotFitted
+        elif op == "encode.onehot_sparse":
+            cls = encoding.SparseOneHotFitted
         elif op in ("encode.binary",):
             cls = encoding.BinaryFitted
         elif op.startswith("encode.") and op != "encode.none":

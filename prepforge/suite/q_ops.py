@@ -400,6 +400,21 @@ def q_sel_mi_knn(spark, sf):
     return rounded(spark.createDataFrame(rows, "column_name string, score double, selected boolean"))
 
 
+_USER = "CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id END"
+
+
+@query("encode_onehot_sparse", f"""WITH s AS ({sql_split(f"SELECT event_id, {_USER} AS who FROM events", "event_id")}),
+v AS (SELECT who, row_number() OVER (ORDER BY who NULLS LAST) - 1 AS slot FROM (SELECT DISTINCT who FROM s WHERE split = 'train'))
+SELECT s.event_id, s.split, coalesce(v.slot, -1)::INTEGER AS slot, (SELECT count(*) FROM v)::INTEGER AS width
+FROM s LEFT JOIN v ON s.who IS NOT DISTINCT FROM v.who""")
+def q_onehot_sparse(spark, sf):
+    """The slot that is 1 in each row's vector (-1: none)."""
+    from pyspark.ml.functions import vector_to_array
+    e = table(spark, sf, "events").select("event_id", F.expr("CASE WHEN event_id % 11 <> 0 THEN concat('u', user_id) END").alias("who"))
+    out = fit_apply(split_frame(e, "event_id"), Encode("onehot_sparse"), ["who"]).withColumn("who", vector_to_array("who"))
+    return out.select("event_id", "split", (F.array_position("who", 1.0) - 1).cast("int").alias("slot"), F.size("who").alias("width"))
+
+
 # ---------------------------------------------------------------- a category called like the missing one
 
 _NAN = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'nan' ELSE event_type END"

@@ -212,3 +212,20 @@ def test_em_keeps_other_columns(spark):
     out = EMImpute("em").fit(df, ["a", "b"]).transform(df)
     assert out.where("b is null").count() == 0 and dict(out.dtypes)["w"] == "bigint"
     assert sorted(r["w"] or 0 for r in out.collect()) == sorted([0] + [big] * 39)
+
+
+def test_sparse_onehot_of_a_hundred_thousand_categories(spark, tmp_path):
+    """Encodes, saves and reloads; unseen and missing categories."""
+    from pyspark.sql import functions as F
+    from prepforge.operators.encoding import Encode
+    from prepforge.sources.sinks import load_model, save_model
+    df = spark.range(120_000).select("id", F.when(F.col("id") < 110_000, F.format_string("c%06d", F.col("id") % 100_000)).alias("s"), F.lit("a").alias("t"))
+    fitted = Encode("onehot_sparse").fit(df, ["s", "t"])
+    save_model(spark, [("encoding", fitted)], str(tmp_path / "m"))
+    again = load_model(spark.newSession(), str(tmp_path / "m"))[0][1]
+    rows = spark.createDataFrame([(0, "c000000", "a"), (1, "c099999", "b"), (2, "new", None), (3, None, "a")], "id long, s string, t string")
+    for f in (fitted, again):
+        got = {r["id"]: (r["s"], r["t"]) for r in f.transform(rows).collect()}
+        assert {s.size for s, _ in got.values()} == {100_001} and {t.size for _, t in got.values()} == {1}
+        assert [list(got[i][0].indices) for i in range(4)] == [[0], [99_999], [], [100_000]]
+        assert [list(got[i][1].indices) for i in range(4)] == [[0], [], [], [0]]
