@@ -24,6 +24,7 @@ span. Rows are scanned one by one, repeated ones alike.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,36 +56,41 @@ MIN_RATIO = 1.5
 MASK = "[SECRET]"
 
 _CHUNK = 256
+_BLOCK = 4096
 
 
-def _before(steps: Column) -> Column:
-    """Sum of the entries before each one, in runs, so that it stays near-linear."""
-    zero = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), lambda r: total(F.slice(steps, r * _CHUNK + 1, F.lit(_CHUNK))))
-    heads = F.transform(runs, lambda _, i: total(F.slice(runs, F.lit(1), i)))
-    return F.transform(steps, lambda _, i: F.element_at(heads, (F.floor(i / _CHUNK) + 1).cast("int"))
-                       + total(F.slice(steps, (F.floor(i / _CHUNK) * _CHUNK + 1).cast("int"), (i % _CHUNK).cast("int"))))
+def _running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """All entries up to each one, joined; in runs, so that it stays near-linear.
+    Arrays are bound before they are looked into: a lambda that named a column
+    would work it out anew for each element."""
+    def scan(x: Column) -> Column:
+        whole = lambda a: F.aggregate(a, zero, join)
+        run = lambda i: F.floor(i / _CHUNK).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), run(F.size(x) - 1)), lambda r: whole(F.slice(x, r * _CHUNK + 1, F.lit(_CHUNK))))
+        heads = lambda rs: F.transform(rs, lambda _, i: whole(F.slice(rs, F.lit(1), i)))
+        return let(let(runs, heads), lambda before: F.transform(x, lambda _, i: join(
+            F.element_at(before, run(i) + 1), whole(F.slice(x, run(i) * _CHUNK + 1, (i % _CHUNK + 1).cast("int"))))))
+    return let(values, lambda x: F.when(F.size(x) > 0, scan(x)).otherwise(F.slice(x, 1, 0)))
+
+
+_SPANS = "array<struct<s:bigint,e:bigint,v:string>>"
 
 
 def _spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Per pattern an array of (s, e, v): limits in code points, end exclusive,
     and the first group, or the match itself. Leftmost, non-overlapping."""
-    out = df.withColumns({f"{k}_hits": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()})
-    some = lambda k, x: F.when(F.size(f"{k}_hits") > 0, x)
-    grouped = [k for k, p in patterns.items() if re_groups(p)]
-    out = out.withColumns({f"{k}_gaps": some(k, F.transform(F.split(text, p, -1), lambda x: F.length(x).cast("long"))) for k, p in patterns.items()}
-                          | {f"{k}_vals": some(k, F.regexp_extract_all(text, F.lit(patterns[k]), F.lit(1))) if k in grouped else F.col(f"{k}_hits") for k in patterns})
-    out = out.withColumns({f"{k}_steps": some(k, F.zip_with(F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_hits")), f"{k}_hits", lambda g, h: g + F.length(h))) for k in patterns})
-    out = out.withColumns({f"{k}_heads": some(k, _before(F.col(f"{k}_steps"))) for k in patterns})
+    def spans(pattern: str, hits: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if re_groups(pattern) else hits
+        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
+        steps = lambda g: F.zip_with(F.slice(g, F.lit(1), F.size(hits)), hits, lambda x, h: x + F.length(h))
+        ends = _running(let(gaps, steps), lambda x, y: x + y, F.lit(0).cast("long"))
+        ended = lambda e: F.zip_with(e, hits, lambda x, h: F.struct((x - F.length(h)).alias("s"), x.alias("e")))
+        return F.zip_with(let(ends, ended), values, lambda x, v: F.struct(x["s"].alias("s"), x["e"].alias("e"), v.alias("v")))
 
-    def spans(k: str) -> Column:
-        start = lambda i: F.element_at(f"{k}_heads", i + 1) + F.element_at(f"{k}_gaps", i + 1)
-        return F.transform(f"{k}_vals", lambda v, i: F.struct(start(i).alias("s"), (start(i) + F.length(F.element_at(f"{k}_hits", i + 1))).alias("e"), v.alias("v")))
+    def found(pattern: str) -> Column:
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, spans(pattern, hits)).otherwise(F.array().cast(_SPANS)))
 
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>")
-    out = out.withColumns({k: F.coalesce(some(k, spans(k)), empty) for k in patterns})
-    return out.drop(*[f"{k}_{x}" for k in patterns for x in ("hits", "gaps", "vals", "steps", "heads")])
+    return df.withColumns({k: found(p) for k, p in patterns.items()})
 
 
 def re_groups(pattern: str) -> bool:
@@ -174,9 +180,17 @@ def scan(df: DataFrame, text: str, model: list[float] | None, min_ratio: float =
     out = base_spans(df, text, {"markov": TOKEN})
     if model is None:
         return out.withColumn("markov", F.slice("markov", 1, 0))
-    base = reduce(lambda a, b: F.concat(a, b), [F.col(k) for k in PATTERNS])
-    beyond = lambda c: ~F.exists(base, lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"]))
-    return out.withColumn("markov", F.filter("markov", lambda c: beyond(c) & (log_ratio(c["v"], model) > min_ratio)))
+    # a token lies within a base span if one that begins no later ends no earlier:
+    # all by start, base spans first, with the last end so far
+    tagged = lambda k, n: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("n"), x["e"].alias("e"), x["v"].alias("v")))
+    merged = F.array_sort(reduce(lambda a, b: F.concat(a, b), [*[tagged(k, 0) for k in PATTERNS], tagged("markov", 1)]))
+
+    def beyond(every: Column) -> Column:
+        last = _running(F.transform(every, lambda x: F.when(x["n"] == 0, x["e"]).otherwise(F.lit(-1).cast("long"))), lambda a, b: F.greatest(a, b), F.lit(-1).cast("long"))
+        kept = F.filter(F.zip_with(every, last, lambda x, e: F.struct(x.alias("x"), e.alias("last"))), lambda y: (y["x"]["n"] == 1) & (y["last"] < y["x"]["e"]) & (log_ratio(y["x"]["v"], model) > min_ratio))
+        return F.transform(kept, lambda y: F.struct(y["x"]["s"].alias("s"), y["x"]["e"].alias("e"), y["x"]["v"].alias("v")))
+
+    return out.withColumn("markov", F.when(F.size("markov") > 0, let(merged, beyond)).otherwise(F.slice("markov", 1, 0)))
 
 
 def listing(kinds: list[str]) -> Column:
@@ -199,15 +213,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """``text`` with its (sorted) spans replaced; overlapping ones together."""
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    merged = F.aggregate(spans, none, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda x: x["e"]))
-    heads = F.concat(F.transform(merged, lambda x: x["s"]), F.array(F.length(text).cast("long")))
-    return F.array_join(F.zip_with(ends, heads, lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))), mask)
+    """``text`` with its (sorted) spans replaced; overlapping ones together.
+    Pieces are cut from blocks of the text, not from its beginning."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / _BLOCK).cast("int")), lambda i: F.substr(text, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _BLOCK).cast("int")
+        near = F.slice(parts, first + 1, F.floor((b - 1) / _BLOCK).cast("int") - first + 1)
+        return F.when(b > a, F.substr(F.array_join(near, ""), (a - first * _BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+    def cut(x: Column, last: Column) -> Column:
+        # what follows the last end so far opens a new hole
+        limits = F.zip_with(x, F.concat(F.array(F.lit(-1).cast("long")), F.slice(last, F.lit(1), F.size(last) - 1)), lambda y, e: F.struct(y["s"].alias("s"), e.alias("e")))
+        opened = F.filter(limits, lambda y: y["s"] > y["e"])
+        heads = F.concat(F.transform(opened, lambda y: y["s"]), F.array(F.length(text).cast("long")))
+        ends = F.concat(F.transform(opened, lambda y: F.greatest(y["e"], F.lit(0).cast("long"))), F.array(F.element_at(last, -1)))
+        return let(blocks, lambda parts: F.array_join(F.zip_with(ends, heads, lambda a, b: piece(parts, a, b)), mask))
+
+    return let(spans, lambda x: let(_running(F.transform(x, lambda y: y["e"]), lambda a, b: F.greatest(a, b), F.lit(-1).cast("long")), lambda last: cut(x, last)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

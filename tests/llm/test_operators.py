@@ -148,6 +148,10 @@ def test_licenses_by_their_names(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["labels"]) for r in licenses.op1_license_scan(spark, str(tmp_path)).collect()}
     assert got == set(enumerate(want.values()))
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest($1) AS doc_id, unnest($2) AS text", [list(range(len(want))), [f"y y {t} z z" for t in want]])
+    assert {r[0]: r[6] for r in con.execute(licenses.SQL).fetchall()} == dict(enumerate(want.values()))
 
 
 # ------------------------------------------------------------------ operator 2
@@ -207,6 +211,10 @@ def test_canonical_urls(spark):
             "?q=1": None, "http://": None, "http:///x": None, None: None}
     df = spark.createDataFrame([(u,) for u in want], "url string")
     assert {r["url"]: r["c"] for r in df.select("url", revisits.canonical_url(F.col("url")).alias("c")).collect()} == want
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT unnest($1)::BIGINT AS page_id, unnest($2)::VARCHAR AS url, 'x' AS html", [list(range(len(want))), list(want)])
+    assert {r[1]: r[2] for r in con.execute(revisits.SQL).fetchall() if r[0][0] == "r"} == dict(enumerate(want.values()))
     pages = [(1, "mailto:me@a.com"), (2, ""), (3, "rel/page"), (4, "a.com/x"), (5, "b.com/x"), (6, "http://a.com/x")]
     df = spark.createDataFrame([(i, u, "same") for i, u in pages], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in revisits.resolve(revisits.page_records(df)).where("not full").collect()}
@@ -499,6 +507,20 @@ def test_many_secrets_in_one_text(spark):
     assert got == listed(secrets(text))
 
 
+def test_a_hundred_thousand_secrets_in_one_text(spark):
+    """Scan and mask stay near-linear in the matches of a text."""
+    import time
+    text = " ".join(f"token={i:08x} x81vQ7bR4kLm2pW0Zy6H{i:05d}" for i in range(50_000))
+    model = [2.0] * (len(secretscan.ALPHABET) * (len(secretscan.ALPHABET) + 1))
+    df = spark.createDataFrame([(text,), ("none",)], "t string")
+    began = time.time()
+    found = secretscan.scan(df, "t", model)
+    spans = F.array_sort(F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in [*secretscan.PATTERNS, "markov"]]))
+    got = found.select("t", spans.alias("spans")).select(F.size("spans").alias("n"), F.when(F.size("spans") > 0, secretscan.masked(F.col("t"), F.col("spans"))).alias("m")).collect()
+    assert [r["n"] for r in got] == [100_000, 0] and got[0]["m"] == " ".join(["[SECRET] [SECRET]"] * 50_000) and got[1]["m"] is None
+    assert time.time() - began < 240
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_stages_on_messy_rows(spark, sf, ran, rows):
