@@ -33,9 +33,11 @@ their ids (equal rows can't be told apart). An empty table has no file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,15 +48,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prepforge.llm.util import col, read_documents, store
-from prepforge.llm.words import ranges, row_slices, space_table, split_words
+from prepforge.llm.words import Words, alnum_table, ranges, row_slices, space_table, split_words
 from prepforge.session import ensure_checkpoint_dir
 
 END_ID = 2
 BLOCK_IDS = 8192
 #: About so many bytes of encoded ids in a file; texts encoded at once; ids read at once.
 FILE_BYTES = 64 << 20
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 READ_IDS = 1 << 20
+#: Words whose ids a task remembers (some 200 bytes each) before it starts anew; texts in one call of the library (bounds its working memory).
+KNOWN_PIECES = 400_000
+CALL_TEXTS = 1024
 
 MAGIC = b"TOKBITS1"
 _TAIL = "<3Q2I8s"
@@ -169,30 +174,99 @@ class TokenFile:
 
 # ------------------------------------------------------------------ encoding
 
-def _encoded(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    counts = np.fromiter(map(len, got), np.int64, len(got))
-    return np.fromiter((i for ids in got for i in ids), np.uint32, int(counts.sum())), counts
-
-
-def encode(tokenizer, texts: pa.Array, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the rows one after another, and the number of each row.
+class Encoder:
+    """Encodes slices of texts with a tokenizer of the tokenizers library.
 
     ``by_word`` is for tokenizers that drop white space and join nothing
-    across it: each different word (``[^\\x20\\x09-\\x0D]+``) of the slice is
-    then encoded once, which gives the whole texts' ids."""
-    if not by_word:
-        return _encoded(tokenizer, texts.fill_null("").to_pylist())
-    w = split_words(texts, space_table())
-    lens = w.ends - w.starts
-    limits = pa.py_buffer(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64))
-    body = pa.py_buffer(np.ascontiguousarray(w.low[space_table()[0][w.low]]))
-    words = pa.LargeStringArray.from_buffers(len(lens), limits, body).dictionary_encode()
-    flat, each = _encoded(tokenizer, words.dictionary.to_pylist())
-    at, index = np.cumsum(each) - each, words.indices.to_numpy()
-    count = each[index]
-    total = np.concatenate([[0], np.cumsum(count)])
-    return flat[ranges(at[index], count)], np.diff(total[w.first])
+    across it: each different word (``[^\x20\x09-\x0D]+``) of a slice is
+    then encoded once, which gives the whole texts' ids. If it also lower-cases
+    and takes runs of letters as pieces, words are compared in lower case and
+    without closing punctuation, and a word of letters goes straight to the
+    library's model. Which characters are letters, and how they are spelt
+    there, is asked of the library: those of which one or two in a row make
+    one piece, spelt one by one."""
+
+    def __init__(self, path: str, by_word: bool) -> None:
+        from tokenizers import Tokenizer
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.known: dict[str, bytes] = {}
+        letters = self._letters() if by_word else {}
+        self.spelling = str.maketrans(letters)
+        self.plain = re.compile(f"[{''.join(letters)}]+") if "a" in letters and "A" in letters and letters["A"] == letters["a"] == "a" else None
+
+    def _letters(self) -> dict[str, str]:
+        out = {}
+        for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)]):
+            low = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            pieces = [[x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(low * n)] for n in (1, 2)] if self.tokenizer.pre_tokenizer else []
+            if len(low) == 1 and low.isalpha() and pieces and len(pieces[0]) == 1 and pieces[1] == [pieces[0][0] * 2]:
+                out[c] = pieces[0][0]
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(texts), CALL_TEXTS):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo:lo + CALL_TEXTS], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as 32-bit integers."""
+        if self.plain is None:
+            return self._whole(words)
+        if len(self.known) > KNOWN_PIECES:
+            self.known.clear()
+        known, tokenize, plain, spelling = self.known, self.tokenizer.model.tokenize, self.plain.fullmatch, self.spelling
+        out: list = [known.get(word) for word in words]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            word = words[i]
+            if (word.isascii() and word.isalpha()) or plain(word):
+                out[i] = known[word] = array("I", [t.id for t in tokenize(word.translate(spelling))]).tobytes()
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._whole([words[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def _parts(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes of all words, and the limits and first one (per
+        row) of their parts: closing punctuation after a letter or digit is a
+        part of its own, as it is a piece of its own to the tokenizer."""
+        lower, alnum = alnum_table()[1], np.zeros(256, bool)
+        low = lower[w.low]
+        for i in np.unique(np.searchsorted(w.starts, np.flatnonzero(w.low == 60), "right") - 1).tolist():
+            low[w.starts[i]:w.ends[i]] = w.low[w.starts[i]:w.ends[i]]  # may hold a special token, whose case counts
+        alnum[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+        closing = np.zeros(256, bool)
+        closing[[*b".,;:!?"]] = True
+        last = np.maximum.accumulate(np.where(closing[low], -1, np.arange(len(low)))) if len(low) else np.zeros(0, np.int64)
+        core = last[w.ends - 1] + 1
+        cut = (core > w.starts) & (core < w.ends)
+        cut[cut] = alnum[low[core[cut] - 1]]
+        at = np.arange(len(cut)) + np.cumsum(cut) - cut
+        lens = np.empty(len(cut) + int(cut.sum()), np.int64)
+        lens[at] = np.where(cut, core, w.ends) - w.starts
+        lens[at[cut] + 1] = (w.ends - core)[cut]
+        return low[space_table()[0][low]], lens, w.first + np.concatenate([[0], np.cumsum(cut)])[w.first]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows one after another, and the number of each row."""
+        if not self.by_word:
+            return _flat(self._whole(texts.fill_null("").to_pylist()))
+        w = split_words(texts, space_table())
+        if self.plain is None:
+            body, lens, first = w.low[space_table()[0][w.low]], w.ends - w.starts, w.first
+        else:
+            body, lens, first = self._parts(w)
+        limits = pa.py_buffer(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64))
+        words = pa.LargeStringArray.from_buffers(len(lens), limits, pa.py_buffer(np.ascontiguousarray(body))).dictionary_encode()
+        flat, each = _flat(self._words(words.dictionary.to_pylist()))
+        at, index = np.cumsum(each) - each, words.indices.to_numpy()
+        count = each[index]
+        total = np.concatenate([[0], np.cumsum(count)])
+        return flat[ranges(at[index], count)], np.diff(total[first])
+
+
+def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
 
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,17 +277,22 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, counts + 1
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, by_word: bool, size: int) -> Iterator[pa.RecordBatch]:
+def _cell_type(bits: int) -> np.dtype:
+    """What an id takes between the tasks that encode and those that write."""
+    return np.dtype("<u2" if bits <= 16 else "<u4")
+
+
+def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, by_word: bool, size: int, bits: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
+    import zstandard
+    encoder, press = Encoder(path, by_word), zstandard.ZstdCompressor(1)  # what is stored and shuffled before the files
     for b in batches:
         for lo, hi in row_slices(b.column("text"), size):
-            ids, counts = _with_end(*encode(tokenizer, b.column("text").slice(lo, hi - lo), by_word), end_id)
-            raw = ids.astype("<u4")
-            limits = np.concatenate([[0], np.cumsum(counts)]) * 4
-            cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(counts), cells.cast(pa.binary())], ["doc_id", "n", "ids"])
+            ids, counts = _with_end(*encoder.ids(b.column("text").slice(lo, hi - lo)), end_id)
+            raw = memoryview(ids.astype(_cell_type(bits)).view(np.uint8))
+            at = (np.concatenate([[0], np.cumsum(counts)]) * _cell_type(bits).itemsize).tolist()
+            cells = pa.array([press.compress(raw[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(counts), cells], ["doc_id", "n", "ids"])
 
 
 def _write_files(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: int, block_ids: int) -> Iterator[pa.RecordBatch]:
@@ -224,18 +303,18 @@ def _write_files(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: int
             name = f"ids-{part:07d}-{uuid.uuid4().hex}.tok"
             writer = TokenWriter(f"{folder}/{name}", vocabulary, block_ids)
         if b.num_rows:
-            ids, _ = _flat_ids(b.column("ids"))
-            writer.add(b.column("doc_id"), b.column("n").to_numpy(), ids)
+            writer.add(b.column("doc_id"), b.column("n").to_numpy(), _flat_ids(b.column("ids"), writer.bits))
             docs += b.num_rows
     if writer is not None:
         writer.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "docs": pa.array([docs], pa.int64()), "ids": pa.array([writer.n], pa.int64())})
 
 
-def _flat_ids(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    _, limits, body = cells.buffers()
-    at = np.frombuffer(limits, np.int32 if pa.types.is_binary(cells.type) else np.int64, len(cells) + 1, cells.offset * (4 if pa.types.is_binary(cells.type) else 8))
-    return np.frombuffer(body, np.uint8)[at[0]:at[-1]].view("<u4"), at
+def _flat_ids(cells: pa.Array, bits: int) -> np.ndarray:
+    """All ids of a column of encoded rows."""
+    import zstandard
+    press = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(press.decompress(c) for c in cells.to_pylist()), _cell_type(bits)).astype(np.uint32)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", by_word: bool = False,
@@ -252,7 +331,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, ids binary"
     # stored: the range shuffle samples its input, which would encode it twice
-    encoded = store(rows.mapInArrow(lambda b: _encode_rows(b, tokenizer, end_id, by_word, slice_bytes), kind), "encoded")
+    encoded = store(rows.mapInArrow(lambda b: _encode_rows(b, tokenizer, end_id, by_word, slice_bytes, width(vocabulary)), kind), "encoded")
     size = (encoded.agg(F.sum("n")).first()[0] or 0) * 4
     parts = max(1, -(-size // file_bytes), min(encoded.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
     order = [F.asc_nulls_last("doc_id"), "hash", "row"]  # the last two spread an id that very many rows share

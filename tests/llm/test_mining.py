@@ -128,15 +128,30 @@ def test_token_files_whole_texts(spark, tmp_path):
     assert [(r["doc_id"], r["ids"]) for r in got] == list(zip(["a", "b", None], want, strict=True))
 
 
-@given(st.lists(st.text(max_size=60), max_size=8))
-@settings(max_examples=60, deadline=None)
-def test_words_alone_give_whole_texts(tokenizer, texts):
-    texts = [t + x for t, x in zip(texts, ["<|endoftext|> A", "\u0301\u212b e\u0301", "\u1100\u1161 \u11a8", "\u2000 x\u00a0y", "", "İ ΣΑΣ'S can't", "\x00", "a" * 300], strict=False)]
-    ids, counts = tokenfiles.encode(tokenizer, pa.array([*texts, None], pa.string()), True)
+@pytest.fixture(scope="module")
+def by_word():
+    import public_tokenizers
+    return tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"), True)
+
+
+LETTERS = st.text(st.sampled_from("abyzABYZßéÉüÜŉİıſŒ\u0131\u00d7\u00f7.,;:!?'\u0301|<>s1 \u00a0"), max_size=30)
+
+
+@given(st.lists(st.one_of(st.text(max_size=60), LETTERS), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_words_alone_give_whole_texts(tokenizer, by_word, texts):
+    texts = texts + ["<|endoftext|> A <|ENDOFTEXT|>.", "\u0301\u212b e\u0301 \u00c9\u0301", "\u1100\u1161 \u11a8", "\u2000 x\u00a0y", "", "İ ΣΑΣ'S can't He's! x.' It'LL... a'", "\x00", "a" * 300 + "?!"]
+    ids, counts = by_word.ids(pa.array([*texts, None], pa.string()))
     got = np.split(ids, np.cumsum(counts)[:-1])
     assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
 
 
+def test_words_alone_give_the_corpus(spark, tokenizer, by_word):
+    texts = [r["text"] for r in read_documents(spark, "/root/testdata/sf0.001").collect()]
+    ids, counts = by_word.ids(pa.array(texts, pa.string()))
+    assert ids.tolist() == [x for t in texts for x in tokenizer.encode(t or "", add_special_tokens=False).ids] and len(by_word.known) > 100
+
+
 @given(st.integers(1, 32), st.lists(st.integers(0, (1 << 32) - 1), max_size=200))
 @settings(max_examples=80, deadline=None)
 def test_packing_round_trip(bits, ids):
