@@ -409,10 +409,11 @@ SELECT s.event_id, s.split, coalesce(v.slot, -1)::INTEGER AS slot, (SELECT count
 FROM s LEFT JOIN v ON s.who IS NOT DISTINCT FROM v.who""")
 def q_onehot_sparse(spark, sf):
     """The slot that is 1 in each row's vector (-1: none)."""
-    from pyspark.ml.functions import vector_to_array
     e = table(spark, sf, "events").select("event_id", F.expr("CASE WHEN event_id % 11 <> 0 THEN concat('u', user_id) END").alias("who"))
-    out = fit_apply(split_frame(e, "event_id"), Encode("onehot_sparse"), ["who"]).withColumn("who", vector_to_array("who"))
-    return out.select("event_id", "split", (F.array_position("who", 1.0) - 1).cast("int").alias("slot"), F.size("who").alias("width"))
+    out = fit_apply(split_frame(e, "event_id"), Encode("onehot_sparse"), ["who"])
+    # the vectors stay sparse: a row costs its own entries, not a slot per category
+    out = out.withColumn("who", F.unwrap_udt("who"))
+    return out.select("event_id", "split", F.coalesce(F.get("who.indices", F.lit(0)), F.lit(-1)).alias("slot"), F.col("who.size").alias("width"))
 
 
 # ---------------------------------------------------------------- a category called like the missing one

@@ -229,3 +229,23 @@ def test_sparse_onehot_of_a_hundred_thousand_categories(spark, tmp_path):
         assert {s.size for s, _ in got.values()} == {100_001} and {t.size for _, t in got.values()} == {1}
         assert [list(got[i][0].indices) for i in range(4)] == [[0], [99_999], [], [100_000]]
         assert [list(got[i][1].indices) for i in range(4)] == [[0], [], [], [0]]
+
+
+def test_sparse_onehot_query_keeps_vectors_sparse(spark, tmp_path):
+    """The slots of the query, without an array as wide as the categories in each row."""
+    import os
+
+    import __spark_entry__ as entry
+    d = str(tmp_path / "t")
+    os.makedirs(d)
+    spark.range(3000).selectExpr("id AS event_id", "id % 900 AS user_id").write.parquet(f"{d}/events.parquet")
+    out = entry.queries()["encode_onehot_sparse"](spark, d)
+    rows = out.collect()
+    who = {i: f"u{i % 900}" if i % 11 else None for i in range(3000)}
+    known = sorted({who[r["event_id"]] for r in rows if r["split"] == "train"} - {None}) + [None]
+    place = {w: n for n, w in enumerate(known)}
+    assert len(rows) == 3000
+    assert all(r["slot"] == place.get(who[r["event_id"]], -1) and r["width"] == len(known) for r in rows)
+    assert dict(out.dtypes)["slot"] == "int" and dict(out.dtypes)["width"] == "int"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 1    # the encoder's own, none that fills an array
