@@ -5,11 +5,15 @@ Base rows lie in cells around pivots, a bounded sample of them. A cell knows
 its radius, so by the triangle inequality no row of it is nearer to a query
 than the query's distance to the pivot less the radius. Each query searches
 the cell of its nearest pivot first; its k-th distance there then rules out
-most other cells, and it is sent to the rest only. Rows are compared in
-tiles of one block of a cell and one slice of the queries that need it, both
-of at most ``prepforge.knn.blockRows`` rows, in numpy, a few hundred queries
-at a time; a tile emits its k best per query and a window merges them. Base
-rows are copied only where a cell has more queries than a slice holds.
+most other cells, and it is sent to the rest only. Small cells lie together
+in groups of at most ``prepforge.knn.blockRows`` rows, larger ones in several
+blocks; a query is sent once to a group, with the cells of it that it needs.
+Rows are compared in tiles of one block of a group and one slice of the
+queries that need it, both of at most that many rows, in numpy, a few hundred
+queries at a time. A tile emits its k best per query, after the first cell
+only those that are no farther than the k-th known, and a window merges them.
+Base rows are copied only where a group has more queries than a slice holds.
+Of base rows that coincide only as many are searched as one query may take.
 
 With missing values the distance is no metric. It is never less than the
 distance over the columns that are complete everywhere, times
@@ -20,6 +24,7 @@ those columns. Without any such column there is one cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -38,6 +43,8 @@ LOF_CUT = 1.5
 LOF_EPS = 1e-10
 #: Most pivots (their coordinates go to every task).
 MAX_PIVOTS = 1024
+#: Most cells of a group (bits of a long).
+MASK_BITS = 62
 
 
 def _nan_sq_dist(q: np.ndarray, b: np.ndarray, nan_aware: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +66,25 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(_nan_sq_dist(x, pivots, False)[0])
 
 
-def _tile(Q: np.ndarray, qk: np.ndarray, B: np.ndarray, bk: np.ndarray, k: int, exclude_self: bool, per_column: bool) -> pd.DataFrame:
-    """The k best base rows of each query (and missing column) of a tile."""
+def _slack(tau):
+    """A distance to beat, with room for rounding."""
+    return tau * (1 + 1e-9) + 1e-9
+
+
+def _tile(Q: np.ndarray, qk: np.ndarray, tau: np.ndarray, B: np.ndarray, bk: np.ndarray, k: int, exclude_self: bool, per_column: bool,
+          wanted: Callable[[slice], np.ndarray] | None = None) -> pd.DataFrame:
+    """The k best base rows of each query (and missing column) of a tile, no
+    farther than ``tau``; only the ``wanted`` pairs of a slice of queries."""
+    beyond = _slack(tau) ** 2
     border = np.argsort(bk, kind="stable")          # ties -> smaller base key first
     B, bk = B[border], bk[border]
+    kept = lambda s: None if wanted is None else wanted(s)[:, border]
     out = [pd.DataFrame({"qk": qk[:0], "j": np.zeros(0, np.int32), "bk": bk[:0], "dist": np.zeros(0), "value": np.zeros(0)})]
     for s in range(0, len(Q) if len(B) else 0, _SLICE):
         Qs, qks = Q[s:s + _SLICE], qk[s:s + _SLICE]
         d, _ = _nan_sq_dist(Qs, B, per_column)
+        if (pairs := kept(slice(s, s + _SLICE))) is not None:
+            d = np.where(pairs, d, np.inf)
         if exclude_self:
             d = np.where(qks[:, None] == bk[None, :], np.inf, d)
         targets = [(j, ~np.isnan(B[:, j]), np.isnan(Qs[:, j])) for j in range(Q.shape[1])] if per_column else \
@@ -78,7 +96,7 @@ def _tile(Q: np.ndarray, qk: np.ndarray, B: np.ndarray, bk: np.ndarray, k: int,
             dj = np.where(donor_ok[None, :], d[rows], np.inf)
             kk = min(k, dj.shape[1])
             # the k smallest with their ties, then those in order
-            edge = np.partition(dj, kk - 1, axis=1)[:, kk - 1:kk]
+            edge = np.minimum(np.partition(dj, kk - 1, axis=1)[:, kk - 1:kk], beyond[s:s + _SLICE][rows, None])
             r, c = np.nonzero((dj <= edge) & np.isfinite(dj))
             dist = dj[r, c]
             order = np.lexsort((c, dist, r))
@@ -104,7 +122,22 @@ class CellIndex:
         self.size, self.radius = np.zeros(len(self.pivots), np.int64), np.zeros(len(self.pivots))
         for r in rows:
             self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
-        self.blocks = np.maximum(1, -(-self.size // block_rows))
+        self._group()
+
+    def _group(self) -> None:
+        """Cells to groups: neighbours in the pivots' order, together not above
+        a block's rows and MASK_BITS cells; a larger cell is its own group."""
+        self.group, self.bit = np.zeros(len(self.size), np.int64), np.zeros(len(self.size), np.int64)
+        rows: list[int] = []
+        cells = 0
+        for c, n in enumerate(self.size.tolist()):
+            if not rows or rows[-1] + n > self.block_rows or cells == MASK_BITS:
+                rows.append(0)
+                cells = 0
+            rows[-1] += n
+            self.group[c], self.bit[c] = len(rows) - 1, cells
+            cells += 1
+        self.blocks = np.maximum(1, -(-np.array(rows, np.int64) // self.block_rows))
 
     def assigned(self, df: DataFrame, key: str) -> DataFrame:
         """Rows with their cell and the distance to its pivot."""
@@ -113,8 +146,9 @@ class CellIndex:
         def work(it):
             for pdf in it:
                 if len(pdf):
-                    d = _distances(np.array(pdf["x"].tolist(), float)[:, metric], pivots)
-                    yield pdf.assign(cell=d.argmin(1).astype(np.int32), dist=d.min(1))
+                    x = np.array(pdf["x"].tolist(), float)[:, metric]
+                    parts = [_distances(x[s:s + _SLICE], pivots) for s in range(0, len(x), _SLICE)]
+                    yield pdf.assign(cell=np.concatenate([d.argmin(1) for d in parts]).astype(np.int32), dist=np.concatenate([d.min(1) for d in parts]))
 
         return df.mapInPandas(work, f"{key} {dict(df.dtypes)[key]}, x array<double>, cell int, dist double")
 
@@ -129,31 +163,62 @@ class CellIndex:
                     continue
                 x = np.array(pdf["x"].tolist(), float)
                 grow = np.sqrt(p / np.maximum((~np.isnan(x)).sum(1), 1))
-                least = (_distances(x[:, metric], pivots) - radius) * grow[:, None]
-                need = (least <= pdf["tau"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9) & (size > 0)
-                need[np.arange(len(x)), pdf["cell"].to_numpy()] = False
-                yield pd.DataFrame({"qk": pdf["qk"], "x": pdf["x"], "need": [np.flatnonzero(r).astype(np.int32) for r in need]})
+                own, tau = pdf["cell"].to_numpy(), pdf["tau"].to_numpy()
+                found = []
+                for s in range(0, len(x), _SLICE):
+                    t = slice(s, s + _SLICE)
+                    least = (_distances(x[t][:, metric], pivots) - radius) * grow[t, None]
+                    need = (least <= _slack(tau[t])[:, None]) & (size > 0)
+                    need[np.arange(len(need)), own[t]] = False
+                    found += [np.flatnonzero(r).astype(np.int32) for r in need]
+                yield pd.DataFrame({"qk": pdf["qk"], "x": pdf["x"], "tau": pdf["tau"], "need": found})
+
+        return queries.mapInPandas(work, f"qk {dict(queries.dtypes)['qk']}, x array<double>, tau double, need array<int>")
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """A row per query and group of the cells in ``need``, those as bits of ``mask``."""
+        group, bit = self.group, np.int64(1) << self.bit
 
-        return queries.mapInPandas(work, f"qk {dict(queries.dtypes)['qk']}, x array<double>, need array<int>")
+        def work(it):
+            for pdf in it:
+                groups, masks = [], []
+                for cells in pdf["need"]:
+                    g = group[cells]                    # cells ascend, and so do groups
+                    head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+                    groups.append(g[head].astype(np.int32))
+                    masks.append(np.bitwise_or.reduceat(bit[cells], head) if len(g) else np.zeros(0, np.int64))
+                yield pd.DataFrame({"qk": pdf["qk"], "x": pdf["x"], "tau": pdf["tau"], "groups": groups, "masks": masks})
+
+        kind = f"qk {dict(queries.dtypes)['qk']}, x array<double>, tau double, groups array<int>, masks array<long>"
+        each = queries.select("qk", "x", "tau", "need").mapInPandas(work, kind)
+        return each.select("qk", "x", "tau", F.inline(F.arrays_zip(F.col("groups").alias("group"), F.col("masks").alias("mask"))))
 
     def search(self, queries: DataFrame, k: int, exclude_self: bool, per_column: bool) -> DataFrame:
-        """The k best rows of ``cell`` for each query row (qk, x, cell), by tiles."""
+        """The k best rows of the cells in ``need`` for each query row (qk, x,
+        tau, need), by tiles; none farther than ``tau``."""
         spark = self.base.sparkSession
-        asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        cells = [(c, int(self.blocks[c]), max(1, math.ceil(n / self.block_rows))) for c, n in asked.items()]
+        asked = self._asked(queries)
+        counts = {r["group"]: r["n"] for r in asked.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
+        groups = [(g, int(self.blocks[g]), max(1, math.ceil(n / self.block_rows))) for g, n in counts.items()]
         kinds = dict(queries.dtypes)["qk"], dict(self.base.dtypes)["bk"]
         schema = f"qk {kinds[0]}, j int, bk {kinds[1]}, dist double, value double"
-        shape = F.broadcast(spark.createDataFrame(cells, "cell int, blocks int, slices int"))  # a row per pivot, MAX_PIVOTS at most
-        q = queries.join(shape, "cell").select("cell", "qk", "x", F.pmod(F.xxhash64("qk"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        b = self.base.join(shape, "cell").select("cell", "bk", "x", F.pmod(F.xxhash64("bk"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        shape = F.broadcast(spark.createDataFrame(groups, "group int, blocks int, slices int"))  # a row per group, MAX_PIVOTS at most
+        places = F.broadcast(spark.createDataFrame([(c, int(g), int(b)) for c, (g, b) in enumerate(zip(self.group, self.bit, strict=True))], "cell int, group int, bit int"))
+        q = asked.join(shape, "group").select("group", "qk", "x", "tau", "mask", F.pmod(F.xxhash64("qk"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        b = self.base.join(places, "cell").join(shape, "group").select("group", "bit", "bk", "x", F.pmod(F.xxhash64("bk"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
 
         p = self.p
 
         def tile(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
             rows = [np.array(t["x"].tolist(), float).reshape(len(t), p) for t in (qpdf, bpdf)]
-            return _tile(rows[0], qpdf["qk"].to_numpy(), rows[1], bpdf["bk"].to_numpy(), k, exclude_self, per_column)
-
-        on = ["cell", "block", "slice"]
+            qk, tau, mask, bk, bit = qpdf["qk"].to_numpy(), qpdf["tau"].to_numpy(), qpdf["mask"].to_numpy(), bpdf["bk"].to_numpy(), bpdf["bit"].to_numpy()
+            wanted = [(((mask >> c) & 1).astype(bool), bit == c) for c in np.unique(bit)]
+            if 2 * sum(int(a.sum()) * int(b.sum()) for a, b in wanted) > len(mask) * len(bit):    # most pairs: all at once
+                return _tile(rows[0], qk, tau, rows[1], bk, k, exclude_self, per_column, lambda s: ((mask[s, None] >> bit[None, :]) & 1).astype(bool))
+            return pd.concat([_tile(rows[0][:0], qk[:0], tau[:0], rows[1], bk, k, exclude_self, per_column)]
+                             + [_tile(rows[0][a], qk[a], tau[a], rows[1][b], bk[b], k, exclude_self, per_column) for a, b in wanted if a.any()], ignore_index=True)
+
+        on = ["group", "block", "slice"]
         return q.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(tile, schema)
 
 
@@ -187,9 +252,15 @@ def neighbour_search(query: DataFrame, base: DataFrame, qkey: str, bkey: str, co
     nb, *base_gaps = b.agg(F.count(F.lit(1)), *gaps).first()
     query_gaps = q.agg(*gaps).first()
     metric = [i for i in range(p) if not base_gaps[i] and not query_gaps[i]]
+    if len(metric) == p:
+        # of rows that coincide no query takes more than k, itself left out: the first keys do
+        same = Window.partitionBy("x").orderBy("bk")
+        b = stored(b.withColumn("_r", F.dense_rank().over(same)).where(F.col("_r") <= k + 2).drop("_r"), "base")
+        nb = b.count()
     index = CellIndex(b, nb, metric, p, conf_int(query.sparkSession, "prepforge.knn.blockRows"))
     own = stored(index.assigned(q, "qk"), "queries")
-    first = stored(_best(index.search(own, k, exclude_self, per_column), k), "near")
+    home = own.select("qk", "x", F.lit(float("inf")).alias("tau"), F.array("cell").alias("need"))
+    first = stored(_best(index.search(home, k, exclude_self, per_column), k), "near")
     # the distance to beat: the k-th so far, for every column wanted; none where one has fewer
     lists = first.groupBy("qk", "j").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("d"))
     reached = lists.where(F.col("n") >= k).groupBy("qk").agg(F.count(F.lit(1)).alias("lists"), F.max("d").alias("tau"))
@@ -197,7 +268,7 @@ def neighbour_search(query: DataFrame, base: DataFrame, qkey: str, bkey: str, co
     tau = F.when(F.col("lists") >= wanted, F.col("tau")).otherwise(F.lit(float("inf")))
     queries = own.join(reached, "qk", "left").select("qk", "x", "cell", tau.alias("tau"))
     need = stored(index.still_needed(queries, p), "needed")
-    rest = index.search(need.select("qk", "x", F.explode("need").alias("cell")), k, exclude_self, per_column)
+    rest = index.search(need, k, exclude_self, per_column)
     return _best(first.unionByName(rest), k), index, need
 
 
@@ -272,8 +343,9 @@ class _Chain(Fitted):
 
 def lof_scores(df: DataFrame, key: str, cols: list[str], k: int = LOF_K) -> DataFrame:
     """Local outlier factor of every row of ``df`` among ``df`` (self
-    excluded): three joins over the n*k edge table."""
-    e = knn_candidates(df, df, key, key, cols, k, exclude_self=True).select("qk", "bk", "dist")
+    excluded): three joins over the stored n*k edge table."""
+    df = stored(df.select(qcol(key), *[qcol(c) for c in cols]), "rows")
+    e = stored(knn_candidates(df, df, key, key, cols, k, exclude_self=True).select("qk", "bk", "dist"), "edges")
     kd = e.groupBy("qk").agg(F.max("dist").alias("kdist"))
     reach = (e.join(kd.withColumnRenamed("qk", "bk").withColumnRenamed("kdist", "kd_b"), "bk")
              .withColumn("reach", F.greatest("kd_b", "dist")))
@@ -312,6 +384,6 @@ class RemoveLOF(PrepOp):
         n = df.count()
         k = min(int(self.kw.get("k", LOF_K)), max(n - 1, 1))
         sc = lof_scores(df.select(qcol(key), *[qcol(c) for c in cols]), key, cols, k)
-        flagged = sc.filter(F.col("lof") > LOF_CUT).select(key)
+        flagged = stored(sc.filter(F.col("lof") > LOF_CUT).select(key), "flagged")
         return KeyedRowFilter("remove.lof", cols, {"key": key, "split_col": self.kw.get("split_col"),
                                                    "_flagged": flagged, "k": k})

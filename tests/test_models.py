@@ -79,6 +79,58 @@ def test_knn_impute_over_cells_and_blocks(spark, block):
                 assert got[i][j] == pytest.approx(want)
 
 
+def test_neighbour_search_sends_little(spark, monkeypatch):
+    """A query goes to groups of cells, not to each cell, and only candidates
+    that can still be among the nearest come back; wide batches are compared
+    with the pivots in slices."""
+    from prepforge.operators import neighbors as N
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(900, 12))                       # nothing to rule out by distance
+    df = _frame(spark, x, with_nan=False)
+    cols, sent, seen = [f"c{j}" for j in range(12)], [], []
+    search, distances = N.CellIndex.search, N._distances
+
+    def counted(self, queries, *args):
+        sent.append((self._asked(queries).count(), queries.selectExpr("sum(size(need))").first()[0]))
+        out = search(self, queries, *args)
+        sent[-1] += (out.count(),)
+        return out
+
+    monkeypatch.setattr(N.CellIndex, "search", counted)
+    got = {}
+    for r in knn_candidates(df, df, "k", "k", cols, 5, exclude_self=True).collect():
+        got.setdefault(r["qk"], []).append((r["dist"], r["bk"]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        assert [b for _, b in sorted(got[i])] == sorted(range(len(x)), key=lambda j: (d[i, j], j))[:5]
+    (_, _, _), (copies, cells, back) = sent
+    assert cells > 20 * len(x) and copies <= 2 * len(x) and back <= 5 * len(x)
+    monkeypatch.setattr(N, "_distances", lambda a, b: seen.append(len(a)) or distances(a, b))
+    index = N.CellIndex.__new__(N.CellIndex)
+    index.metric, index.pivots = list(range(12)), x[:30]
+
+    class Once:
+        dtypes = [("bk", "bigint")]
+
+        def mapInPandas(self, work, schema):
+            return list(work([__import__("pandas").DataFrame({"bk": range(5000), "x": [x[0]] * 5000})]))
+
+    (part,) = index.assigned(Once(), "bk")
+    assert len(part) == 5000 and (part["cell"] == 0).all() and max(seen) <= N._SLICE
+
+
+def test_rows_that_coincide_are_searched_a_few_times(spark):
+    x = np.vstack([np.tile([[1.0, 2.0]], (300, 1)), np.arange(40).reshape(20, 2) + 10.0])
+    df = _frame(spark, x, with_nan=False)
+    cand, index, _ = neighbour_search(df, df, "k", "k", ["c0", "c1"], 3, exclude_self=True)
+    got = {}
+    for r in cand.collect():
+        got.setdefault(r["qk"], []).append((r["dist"], r["bk"]))
+    assert sorted(b for _, b in got[0]) == [1, 2, 3] and sorted(b for _, b in got[2]) == [0, 1, 3] and sorted(b for _, b in got[299]) == [0, 1, 2]
+    assert index.base.count() <= 25 and len(got) == len(x) and all(len(v) == 3 for v in got.values())
+
+
 def test_knn_without_a_complete_column(spark):
     x = np.array([[1.0, np.nan], [np.nan, 2.0], [1.5, 2.5], [3.0, 4.0]])
     got = {r["k"]: (r["c0"], r["c1"]) for r in KnnImpute("knn", key="k", k=1).fit(_frame(spark, x), ["c0", "c1"]).transform(_frame(spark, x)).collect()}
