@@ -10,7 +10,8 @@
   maximisation is a p x p loop on the driver; the prediction is a linear
   column expression.
 * ``dt``: the same chain with a single regression tree per column (MLlib
-  random forest with one tree, sqrt feature subsets, no bootstrap).
+  random forest with one tree, sqrt feature subsets, no bootstrap). Rows with
+  nothing missing are written once; a round predicts and writes the others.
 * ``em``: Gaussian expectation-maximisation from the same statistics: one
   scan, whatever the number of iterations. Imputation = conditional mean
   given the observed coordinates.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from prepforge.functions.patterns import LOCAL_BYTES, Pattern, Patterns, by_pattern, matrix
 from prepforge.functions.stats import agg_row, numeric_cols, qcol
 from prepforge.operators.base import Fitted, PrepOp, register
-from prepforge.session import cut_lineage
+from prepforge.session import stored
 
 # Fixed values of the reference's estimators.
 MAX_ROUNDS = 10
@@ -170,14 +171,24 @@ class TreeChainFitted(ChainFitted):
         miss = {c: f"_miss_{i}" for i, c in enumerate(cols)}
         out = df.withColumns({miss[c]: qcol(c).isNull() for c in cols})
         out = out.withColumns({c: F.coalesce(qcol(c).cast("double"), F.lit(p["means"][c])) for c in cols})
+        if not p["rounds"]:
+            return out.drop(*miss.values())
+        whole, out = _by_gaps(out, miss)
         for rnd in p["rounds"]:
             for step in rnd:
                 c = step["col"]
                 va = VectorAssembler(inputCols=step["inputs"], outputCol="_fv")
                 scored = step["_model"].setFeaturesCol("_fv").setPredictionCol("_pred").transform(va.transform(out))
                 out = scored.withColumn(c, F.when(F.col(miss[c]), F.col("_pred")).otherwise(qcol(c))).drop("_fv", "_pred")
-            out = cut_lineage(out)
-        return out.drop(*miss.values())
+            out = stored(out, "chain")
+        return whole.unionByName(out).drop(*miss.values())
+
+
+def _by_gaps(df: DataFrame, miss: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The stored rows without a missing value, which no link of a chain changes, and the others."""
+    df = stored(df, "chain")
+    gaps = F.exists(F.array(*[F.col(m) for m in miss.values()]), lambda m: m)
+    return df.where(~gaps), df.where(gaps)
 
 
 def _tree_column(cur: DataFrame, target: str, inputs: list[str], miss_col: str):
@@ -208,18 +219,21 @@ class TreeImpute(PrepOp):
         miss = {c: f"_miss_{i}" for i, c in enumerate(cols)}
         cur = df.select(*[qcol(c).cast("double").alias(c) for c in cols])
         cur = cur.withColumns({miss[c]: qcol(c).isNull() for c in cols})
-        cur = cut_lineage(cur.withColumns({c: F.coalesce(qcol(c), F.lit(means[c])) for c in cols}))
+        cur = cur.withColumns({c: F.coalesce(qcol(c), F.lit(means[c])) for c in cols})
+        if not order:
+            return TreeChainFitted("impute.dt", cols, {"means": means, "rounds": []})
+        whole, cur = _by_gaps(cur, miss)
         rounds = []
-        for _ in range(max_rounds if order else 0):
+        for _ in range(max_rounds):
             steps = []
             for c in order:
                 inputs = [x for x in cols if x != c]
-                step, _ = _tree_column(cur, c, inputs, miss[c])
+                step, _ = _tree_column(whole.unionByName(cur), c, inputs, miss[c])
                 steps.append(step)
                 va = VectorAssembler(inputCols=inputs, outputCol="_fv")
                 scored = step["_model"].transform(va.transform(cur))
                 cur = scored.withColumn(c, F.when(F.col(miss[c]), F.col("_pred")).otherwise(qcol(c))).drop("_fv", "_pred")
-            cur = cut_lineage(cur)
+            cur = stored(cur, "chain")
             rounds.append(steps)
         return TreeChainFitted("impute.dt", cols, {"means": means, "rounds": rounds})
 

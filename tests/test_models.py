@@ -418,3 +418,17 @@ def test_digamma(spark):
     rows = spark.range(1, 40).select("id", digamma(F.col("id")).alias("d")).collect()
     for r in rows:
         assert r["d"] == pytest.approx(-0.5772156649015329 + sum(1.0 / j for j in range(1, r["id"])), abs=1e-12)
+
+
+def test_tree_chain_writes_whole_rows_once(spark, monkeypatch):
+    """A round predicts and stores only the rows with gaps; the others pass through unchanged."""
+    rng = np.random.default_rng(31)
+    a = rng.normal(size=200)
+    x = np.column_stack([a, 3 * a, rng.normal(size=200)])
+    x[::10, 1] = np.nan
+    df, written, store = _frame(spark, x), [], M.stored
+    monkeypatch.setattr(M, "stored", lambda d, name: written.append(d.count()) or store(d, name))
+    got = {r["k"]: (r["c0"], r["c1"], r["c2"]) for r in TreeImpute("dt", max_rounds=3).fit(df, ["c0", "c1", "c2"]).transform(df).collect()}
+    assert written == [200, 20, 20, 20] * 2 and len(got) == 200
+    assert all(got[i] == tuple(x[i]) for i in range(200) if i % 10)
+    assert all(abs(got[i][1] - 3 * a[i]) < 1.5 for i in range(0, 200, 10))
