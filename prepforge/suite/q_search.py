@@ -11,6 +11,7 @@ from prepforge.plans.pipeline import PrepPipeline
 from prepforge.plans.space import SPACE_B, SpacePipeline, random_choices
 from prepforge.suite.frames import SQL_C, SQL_H, frame_C, frame_H, frame_Q
 from prepforge.suite.helpers import query, rounded, split_frame
+from prepforge.session import stored
 from prepforge.sources.dataset import encode_label
 
 _C = f"({SQL_C})"
@@ -163,8 +164,9 @@ def q_grid(spark, sf):
 
 @query("random_search")
 def q_random(spark, sf):
-    """EVL7: seeded pipelines of search space B, each with every grid point."""
-    df = _Q(spark, sf)
+    """EVL7: seeded pipelines of search space B, each with every grid point;
+    the rows are joined and split once for all."""
+    df = stored(_Q(spark, sf), "rows")
 
     def prepare(seed):
         m = SpacePipeline(SPACE_B, random_choices(SPACE_B, ["n_chars"], ["lang", "source"], seed=seed)).fit(df, Q_FEATS, "label", "split", key="doc_id")

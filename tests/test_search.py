@@ -222,3 +222,21 @@ def test_default_order_unchanged(spark, table):
 
 def test_forms_without_columns():
     assert Form("identity").values(np.zeros((3, 2)))[1].tolist() == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["random_search", "prep_random_per_feature"])
+def test_pipelines_fit_on_rows_joined_and_split_once(spark, monkeypatch, name):
+    """What the pipelines are fitted on is read back, not joined and split again by each of their jobs."""
+    import __spark_entry__ as entry
+    from prepforge.plans import space
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, df, *args, **kw):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(space.SpacePipeline, "fit", fit)
+    with pytest.raises(Seen) as plan:
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert str(plan.value).startswith("Relation") and "Join" not in str(plan.value) and "Window" not in str(plan.value)
