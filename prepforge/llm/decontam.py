@@ -73,13 +73,14 @@ def _index_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterat
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The stored index, a row per shard: ids, text marks and word counts of
     its rows; its terms, their frequencies and the steps between successive
-    positions of all lists, one list after another."""
+    positions of all lists, one list after another. A shard is a row group of
+    its own, so tasks write and read one at a time, however many a file has."""
     kind = T.StructType([T.StructField("doc_id", T.ArrayType(docs.schema[doc_id].dataType)), T.StructField("mark", T.ArrayType(T.LongType())),
                          T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("terms", T.ArrayType(T.LongType())),
                          T.StructField("freqs", T.ArrayType(T.IntegerType())), T.StructField("steps", T.ArrayType(T.IntegerType()))])
     rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text), F.lit("row")).alias("mark"), col(text).alias("text"))
     shards = rows.mapInArrow(lambda b: _index_shards(b, shard_bytes), kind)
-    return store(shards.withColumn("shard", F.monotonically_increasing_id()), "postings", compression="zstd")
+    return store(shards.withColumn("shard", F.monotonically_increasing_id()), "postings", compression="zstd", group_rows=1)
 
 
 class Windows(NamedTuple):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,14 @@ def test_decontamination_repeated_items(spark, monkeypatch):
     assert sorted(seen) == [("8", "alpha beta gamma"), ("9", "alpha beta gamma")]
 
 
+def test_postings_row_groups(spark):
+    """A file may hold many shards; a row group holds one, so a reader never has all at once."""
+    docs = spark.createDataFrame([(i, f"word{i} " * 40) for i in range(30)], "doc_id long, text string").coalesce(1)
+    index = decontam.build_index(docs, shard_bytes=500)
+    sizes = [g.row_group(i).num_rows for f in index.inputFiles() for g in [pq.read_metadata(f.removeprefix("file://"))] for i in range(g.num_row_groups)]
+    assert len(index.inputFiles()) == 1 and sizes == [1] * 30
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "gamma far alpha and beta"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
