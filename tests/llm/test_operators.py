@@ -271,7 +271,7 @@ def test_decontamination_repeated_items(spark, monkeypatch):
 def test_postings_row_groups(spark):
     """A file may hold many shards; a row group holds one, so a reader never has all at once."""
     docs = spark.createDataFrame([(i, f"word{i} " * 40) for i in range(30)], "doc_id long, text string").coalesce(1)
-    index = decontam.build_index(docs, shard_bytes=500)
+    index = decontam.build_index(docs, shard_bytes=200)
     sizes = [g.row_group(i).num_rows for f in index.inputFiles() for g in [pq.read_metadata(f.removeprefix("file://"))] for i in range(g.num_row_groups)]
     assert len(index.inputFiles()) == 1 and sizes == [1] * 30
 
