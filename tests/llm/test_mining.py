@@ -181,6 +181,20 @@ def test_collocations(spark, shards, chunk, tell):
     assert max(len(r["phrase"].split()) for r in got) == 5 and len({r["lang"] for r in got}) >= 3
 
 
+def test_collocation_tasks_add_up_their_chunks():
+    """A task's chunks are two blobs each; its words and pairs leave it once, with their sums."""
+    chunks = [collocations._chunk(pa.array([None] * len(x), pa.string()), pa.array(x, pa.string())) for x in (["a b a b", "b c"], ["a b. c a", None], ["z"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*part, strict=True)], ["words", "codes"]) for part in (chunks[:1], chunks[1:])]
+    words = [r for b in collocations._words(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["key"], r["n"]) for r in words) == [("und a", 4), ("und b", 4), ("und c", 2), ("und z", 1)]
+    known = collocations.level(pa.table({"key": ["und a", "und b", "und c"], "code": [7, 5, 9], "step": pa.array([1, 1, 1], pa.int32())}), None)
+    pairs = [r for b in collocations._told(iter(batches), [known], 1, 4) for r in b.to_pylist()]
+    assert sorted((r["level"], r["c1"], r["c2"], r["n"], r["first"]) for r in pairs) == [(2, 5, 7, 1, 1), (2, 5, 9, 1, 1), (2, 7, 5, 3, 1), (2, 9, 7, 1, 1)]
+    again = [pa.RecordBatch.from_pylist(pairs, b.schema) for b in collocations._told(iter(batches), [known], 1, 4)] * 2
+    total = [r for b in collocations._added(iter(again)) for r in b.to_pylist()]
+    assert sorted((r["c1"], r["c2"], r["n"]) for r in total) == [(5, 7, 2), (5, 9, 2), (7, 5, 6), (9, 7, 2)]
+
+
 def test_collocation_scores_are_exact(spark):
     """Products beyond 64 bits."""
     from pyspark.sql import functions as F
