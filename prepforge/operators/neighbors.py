@@ -297,6 +297,8 @@ class KnnImputeFitted(Fitted):
         p = self.params
         key, cols, k = p["key"], self.cols, p["k"]
         base = p["_base"]
+        if df.where(F.exists(F.array(*[qcol(c).cast("double") for c in cols]), F.isnull)).isEmpty():
+            return df.withColumns({c: qcol(c).cast("double") for c in cols})    # nothing to search for
         cand = knn_candidates(df, base, key, key, cols, k, per_column=True)
         fill = cand.groupBy("qk", "j").agg(F.avg("value").alias("v"))
         wide = fill.groupBy("qk").agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(f"_f{i}")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -27,6 +28,8 @@ FEATURES = "features"
 LABEL = "label"
 # Fixed value: probabilities are floored before the log in the log-loss.
 EPS = 1e-15
+#: Pipelines of a random search that run side by side.
+MAX_PIPELINES = 6
 
 
 def assemble(df: DataFrame, feats: list[str], label: str | None = None) -> DataFrame:
@@ -111,35 +114,48 @@ TRIALS_SCHEMA = ("trial long, params string, best_epoch long, best_val_loss doub
                  "best_val_acc double, best_test_acc double, seconds double, status string")
 
 
+def _trial(i: int, p: dict, run, skip_failed: bool) -> tuple:
+    try:
+        r = run(p)
+        return (i, str(sorted(p.items())), r.best_epoch, r.best_val_loss, r.best_tr_acc, r.best_val_acc, r.best_test_acc, r.seconds, "ok")
+    except Exception as e:  # noqa: BLE001
+        if not skip_failed:
+            raise
+        return (i, str(sorted(p.items())), None, math.inf, None, None, None, None, f"failed: {e}")
+
+
 def grid_search(spark, run, params: dict, skip_failed: bool = False) -> DataFrame:
     """EVL6: run every grid point. A failure raises, or with ``skip_failed``
     becomes a trial whose status holds the whole message."""
-    rows = []
-    for i, p in enumerate(expand_grid(params)):
-        try:
-            r = run(p)
-            rows.append((i, str(sorted(p.items())), r.best_epoch, r.best_val_loss, r.best_tr_acc, r.best_val_acc,
-                         r.best_test_acc, r.seconds, "ok"))
-        except Exception as e:  # noqa: BLE001
-            if not skip_failed:
-                raise
-            rows.append((i, str(sorted(p.items())), None, math.inf, None, None, None, None, f"failed: {e}"))
-    return spark.createDataFrame(rows, TRIALS_SCHEMA)
+    return spark.createDataFrame([_trial(i, p, run, skip_failed) for i, p in enumerate(expand_grid(params))], TRIALS_SCHEMA)
 
 
 def random_search(spark, prepare, n: int = 20, grid: dict | None = None, seed: int = 0, skip_failed: bool = False) -> DataFrame:
     """EVL7: ``n`` random pipelines, each with all points of the model's grid.
     ``prepare(seed)`` gives the ``vectors`` of one pipeline; they are made
-    once a pipeline."""
-    made: dict = {}
-
-    def run(p: dict) -> RunResult:
-        if p["seed"] not in made:
-            made.clear()
-            made[p["seed"]] = prepare(p["seed"])
-        return score_vectors(made[p["seed"]], **{k: v for k, v in p.items() if k != "seed"})[1]
-
-    return grid_search(spark, run, {"seed": list(range(seed, seed + n)), **(grid or {})}, skip_failed)
+    once a pipeline. Pipelines are independent, so ``MAX_PIPELINES`` of them
+    run side by side, each from a driver thread: their many small jobs wait
+    for the driver rather than for executors."""
+    def runs(part: list[tuple[int, dict]]) -> list[tuple]:
+        made: list[DataFrame] = []
+
+        def run(p: dict) -> RunResult:
+            if not made:
+                made.append(prepare(p["seed"]))
+            return score_vectors(made[0], **{k: v for k, v in p.items() if k != "seed"})[1]
+
+        return [_trial(i, p, run, skip_failed) for i, p in part]
+
+    points = list(enumerate(expand_grid({"seed": list(range(seed, seed + n)), **(grid or {})})))
+    parts = [list(x) for _, x in itertools.groupby(points, lambda e: e[1]["seed"])]
+    with ThreadPoolExecutor(max_workers=MAX_PIPELINES) as pool:
+        begun = [pool.submit(runs, x) for x in parts]
+        try:
+            rows = [r for x in begun for r in x.result()]
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+    return spark.createDataFrame(rows, TRIALS_SCHEMA)
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

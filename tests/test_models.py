@@ -432,3 +432,19 @@ def test_tree_chain_writes_whole_rows_once(spark, monkeypatch):
     assert written == [200, 20, 20, 20] * 2 and len(got) == 200
     assert all(got[i] == tuple(x[i]) for i in range(200) if i % 10)
     assert all(abs(got[i][1] - 3 * a[i]) < 1.5 for i in range(0, 200, 10))
+
+
+def test_knn_imputation_without_gaps_searches_nothing(spark, monkeypatch):
+    from prepforge.operators import neighbors
+
+    def search(*args, **kw):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(neighbors, "knn_candidates", search)
+    rows = spark.createDataFrame([(1, 1, 2.0, "x"), (2, 3, 4.0, "y"), (3, 5, None, "z")], "k long, a int, b double, s string")
+    fitted = KnnImpute("knn", key="k").fit(rows, ["a", "b"])
+    out = fitted.transform(rows.where("k < 3"))
+    assert out.columns == ["k", "a", "b", "s"] and dict(out.dtypes)["a"] == "double"
+    assert sorted(map(tuple, out.collect())) == [(1, 1.0, 2.0, "x"), (2, 3.0, 4.0, "y")]
+    with pytest.raises(AssertionError, match="searched"):
+        fitted.transform(rows)

@@ -240,3 +240,34 @@ def test_pipelines_fit_on_rows_joined_and_split_once(spark, monkeypatch, name):
     with pytest.raises(Seen) as plan:
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert str(plan.value).startswith("Relation") and "Join" not in str(plan.value) and "Window" not in str(plan.value)
+
+
+def test_random_search_runs_pipelines_side_by_side(spark, monkeypatch):
+    """Each pipeline is prepared once, two at least at a time; the trials come in the order of the grid."""
+    import threading
+
+    from prepforge.plans import evaluate
+    together, made = threading.Barrier(2), []
+
+    def prepare(seed):
+        made.append(seed)
+        together.wait(60)
+        return seed
+
+    monkeypatch.setattr(evaluate, "score_vectors", lambda data, reg: (None, evaluate.RunResult(data, reg, 0.0, 0.0, 0.0, 0.0)))
+    got = evaluate.random_search(spark, prepare, n=4, grid={"reg": [0.0, 0.5]}, seed=3).orderBy("trial").collect()
+    assert sorted(made) == [3, 4, 5, 6]
+    assert [(r["trial"], r["best_epoch"], r["best_val_loss"], r["status"]) for r in got] == [(2 * i + j, 3 + i, reg, "ok") for i in range(4) for j, reg in enumerate((0.0, 0.5))]
+
+
+def test_random_search_failures(spark):
+    """A failure is raised, or becomes the trials of its pipeline."""
+    from prepforge.plans.evaluate import random_search
+
+    def prepare(seed):
+        raise ValueError(f"no {seed}")
+
+    with pytest.raises(ValueError, match="no 0"):
+        random_search(spark, prepare, n=2, grid={"reg": [0.0]})
+    got = random_search(spark, prepare, n=2, grid={"reg": [0.0, 0.5]}, skip_failed=True).orderBy("trial").collect()
+    assert [r["status"] for r in got] == ["failed: no 0", "failed: no 0", "failed: no 1", "failed: no 1"]
